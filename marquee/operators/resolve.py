@@ -162,6 +162,11 @@ def with_cell_keys(listings: DataFrame) -> DataFrame:
     )
 
 
+def keyed_rows(listings: DataFrame, *more: str | None) -> DataFrame:
+    """The columns resolution needs, and no others."""
+    return with_cell_keys(match_columns(listings)).select(*_ROW, "kind", "slot", *filter(None, more))
+
+
 CELL = ["title_key", "city", "kind", "slot"]
 
 
@@ -274,12 +279,9 @@ def similar_titles(keyed: DataFrame) -> DataFrame:
     threes, twos = _grams(F.col("title_key"), 3), _grams(F.col("title_key"), 2)
     inner = _rarest(titles, F.when(F.size(threes) > 0, threes).otherwise(twos)).select(
         "title_key", F.get("ranked", F.lit(0)).alias("key"))
-    # Two-letter keys matter only where some title is that short.
-    short_keys = inner.filter(F.length("key") == 2).select("key").distinct()
-    outer = (
-        titles.select("title_key", F.explode(threes).alias("key"))
-        .unionByName(titles.select("title_key", F.explode(twos).alias("key")).join(short_keys, "key", "left_semi"))
-    )
+    # Of the n-grams of a containing title only those some title is looked up by.
+    outer = titles.select("title_key", F.explode(F.concat(threes, twos)).alias("key")).join(
+        inner.select("key").distinct(), "key", "left_semi")
 
     around = F.explode(F.array(*[F.col("bin") + d for d in (-1, 0, 1)]))
     spot = presence.select(F.col("title_key").alias("t1"), "block", F.col("visitor").alias("v1"),
@@ -305,12 +307,15 @@ def similar_titles(keyed: DataFrame) -> DataFrame:
     return jaccard.unionByName(ordered).distinct()
 
 
+_ROW = ["id", "title_key", "tokens", "venue_key", "address_key", "long", "all_day",
+        "start_at", "day_low", "day_high", "city"]
+
+
 def similar_pairs(keyed: DataFrame) -> DataFrame:
     """Matching pairs of listings whose titles differ, as (a, b) with ``a < b``."""
-    pairs = similar_titles(keyed)
+    pairs = cut_lineage(similar_titles(keyed))
     rows = _blocks(keyed.withColumn("bin", F.floor(F.col("slot") / BIN_SLOTS)))
-    used = ["id", "title_key", "tokens", "venue_key", "address_key", "long", "all_day",
-            "start_at", "day_low", "day_high", "city", "block", "visitor", "bin"]
+    used = [*_ROW, "block", "visitor", "bin"]
 
     def side(prefix: str) -> DataFrame:
         return rows.select(*[F.col(c).alias(f"{prefix}{c}") for c in used])
@@ -375,11 +380,11 @@ def duplicate_groups(listings: DataFrame, prior: str | None = None) -> DataFrame
     together, so groups only ever merge, and ``kept_id`` is the smallest earlier
     id of the group (null for a new one).
     """
-    keyed = with_cell_keys(match_columns(listings))
+    keyed = cut_lineage(keyed_rows(listings, prior))  # read by every branch below
     cells = title_cells(keyed)
     where = keyed.select("id", *CELL, *([prior] if prior else []))
-    nodes = where.join(cells.select(*CELL, "node"), CELL, "left").select(
-        "id", F.coalesce("node", "id").alias("node"), *([prior] if prior else []))
+    nodes = cut_lineage(where.join(cells.select(*CELL, "node"), CELL, "left").select(
+        "id", F.coalesce("node", "id").alias("node"), *([prior] if prior else [])))
     node_of = nodes.select("id", "node")
     similar = similar_pairs(keyed)
     edges = equal_title_edges(cells).unionByName(

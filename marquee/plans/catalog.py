@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from marquee.plans import resolve_queries  # noqa: F401
+from marquee.plans import listing_queries, resolve_queries  # noqa: F401
 from marquee.plans.registry import ORACLES, QUERIES  # noqa: F401

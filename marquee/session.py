@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,19 +43,23 @@ def local_session(cores: str = "8", app: str = "marquee", memory: str = "16g") -
     return configure(spark)
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="marquee-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder named by ``spark.checkpoint.dir``.
+    """Write ``df`` to the shared folder named by ``spark.checkpoint.dir``, read it back.
 
-    The files outlive lost executors. Without the setting a temporary folder is
-    used, but only when the driver is also the only executor.
+    The files outlive lost executors, and unlike a checkpointed RDD the table
+    keeps column pruning and size statistics. A temporary folder is used only
+    where the setting is missing and the driver is the only executor.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="marquee-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{_shared_folder(df.sparkSession)}/marquee-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
