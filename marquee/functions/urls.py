@@ -40,7 +40,8 @@ def path_segments(c: Column) -> Column:
 
 def path_id(c: Column) -> Column:
     """Id from the whole path: separators become dashes."""
-    return F.regexp_replace(F.regexp_replace(url_path(c), r"^/+|/+$", ""), "/+", "-")
+    path = F.regexp_replace(F.regexp_replace(url_path(c), r"^/", ""), r"/+$", "")
+    return F.coalesce(F.nullif(F.replace(path, F.lit("/"), F.lit("-")), F.lit("")), c)
 
 
 def plausible_image(c: Column) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
 from marquee.plans import (  # noqa: F401
-    ingest_queries, listing_queries, place_queries, resolve_queries, search_queries,
+    extract_queries, ingest_queries, listing_queries, place_queries, resolve_queries, search_queries,
 )
 from marquee.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -392,13 +392,13 @@ def validation_rejects(t):
     return V.split_valid(rows, V.EVENT_RULES())[1].select("id", F.array_join("errors", ",").alias("errors"))
 
 
-@query("text_cleanup", """SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '[\\x00-\\x1f\\x7f]', '', 'g'), '\\s+', ' ', 'g')) AS inline_text FROM pages""")
+@query("text_cleanup", """SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '[\\x00-\\x1f\\x7f]', '', 'g'), '\\s+', ' ', 'g')) AS inline_text FROM pages""")
 def text_cleanup(t):
     return t.raw("pages").select("page_id", text.clean_inline(F.col("html")).alias("inline_text"))
 
 
 @query("html_plain_text", """WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<\\s*br\\s*/?\\s*>', chr(10), 'gi'), '</\\s*(?:p|div|li|h[1-6]|blockquote|tr)\\s*>', chr(10) || chr(10), 'gi'), '</?[a-zA-Z][^>]*>', '', 'g') AS s FROM pages),
-b AS (SELECT page_id, replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&') AS s FROM a)
+b AS (SELECT page_id, replace(replace(replace(replace(s, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS s FROM a)
 SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '', 'g'), '[ \\t]+', ' ', 'g'), '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS plain FROM b""")
 def html_plain_text(t):
     return t.raw("pages").select("page_id", text.html_to_text(F.col("html")).alias("plain"))
