@@ -191,12 +191,17 @@ CHALLENGE_PATTERNS = [
 CAPTCHA_PATTERNS = [r"g-recaptcha-response", r"h-captcha-response", r"captcha"]
 
 
+def _literal(value: object) -> str:
+    if isinstance(value, str):
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{escaped}'"
+    return f"{value}D" if isinstance(value, float) else str(value)
+
+
 def lookup(values: dict[str, object], key: Column, default: Column | None = None) -> Column:
     """Small constant map probed per row; no join, no shuffle."""
-    flat: list[Column] = []
-    for k, v in values.items():
-        flat += [F.lit(k), F.lit(v)]
-    found = F.try_element_at(F.create_map(*flat), key)
+    entries = ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in values.items())
+    found = F.try_element_at(F.expr(f"map({entries})"), key)
     return found if default is None else F.coalesce(found, default)
 
 

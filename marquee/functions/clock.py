@@ -8,7 +8,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, functions as F
 
 from marquee.dims import TZ
-from marquee.functions.text import strip
+from marquee.functions.text import let, strip
 
 _ZONE = ZoneInfo(TZ)
 _LAST = time(23, 59, 59, 999000)
@@ -76,13 +76,15 @@ def parse_local(text: Column) -> Column:
 
     A numeric offset or ``Z`` at the end names the instant itself.
     """
-    value = strip(text)
-    full = F.when(F.length(value) <= 10, F.concat(value, F.lit("T00:00:00"))).otherwise(value)
-    shaped = F.rlike(full, F.lit(
-        r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?$"))
-    zoned = F.rlike(full, F.lit(
-        r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?([zZ]|[+-]\d{2}:?\d{2})$"))
-    return F.when(shaped, to_utc(full.try_cast("timestamp"))).when(zoned, full.try_cast("timestamp"))
+    stamp = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?"
+
+    def parse(full: Column) -> Column:
+        instant = full.try_cast("timestamp")
+        return F.when(F.rlike(full, F.lit(stamp + "$")), to_utc(instant)).when(
+            F.rlike(full, F.lit(stamp + r"([zZ]|[+-]\d{2}:?\d{2})$")), instant)
+
+    # A bare date gets midnight.
+    return let(F.regexp_replace(strip(text), r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00"), parse)
 
 
 def format_day(ts: Column) -> Column:
@@ -139,17 +141,16 @@ _LOCAL_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 
 def iso_to_local(text: Column) -> Column:
     """ISO date or date-time to a local string; offsets are converted."""
-    value = strip(text)
-    offset = F.rlike(value, F.lit(r"[zZ]|[+-]\d{2}:?\d{2}$"))
-    head = F.regexp_extract(value, r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2})?)", 1)
-    return (
-        F.when(value == "", None)
-        .when(F.rlike(value, F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.concat(value, F.lit("T00:00:00")))
-        .when(offset, F.date_format(local(value.try_cast("timestamp")), _LOCAL_FORMAT))
-        .when(head == "", None)
-        .when(F.length(head) == 16, F.concat(head, F.lit(":00")))
-        .otherwise(head)
-    )
+    def convert(value: Column) -> Column:
+        head = F.regexp_extract(value, r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2})?)", 1)
+        return (
+            F.when(F.rlike(value, F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.concat(value, F.lit("T00:00:00")))
+            .when(F.rlike(value, F.lit(r"[zZ]|[+-]\d{2}:?\d{2}$")),
+                  F.date_format(local(value.try_cast("timestamp")), _LOCAL_FORMAT))
+            .otherwise(let(head, lambda h: F.when(F.length(h) == 16, F.concat(h, F.lit(":00"))).when(h != "", h)))
+        )
+
+    return let(strip(text), convert)
 
 
 def ics_to_local(value: Column, is_date: Column, is_utc: Column) -> Column:

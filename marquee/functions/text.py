@@ -12,6 +12,11 @@ ZERO_WIDTH = r"[\u200b-\u200f\u202a-\u202e\u2060\ufeff]"
 CONTROL = r"[\u0000-\u001f\u007f-\u009f]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim all white space, not only blanks."""
     return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
@@ -19,7 +24,7 @@ def strip(c: Column) -> Column:
 
 def nonempty(c: Column) -> Column:
     """Null for the empty string."""
-    return F.nullif(c, F.lit(""))
+    return let(c, lambda t: F.when(t != "", t))
 
 
 def _code_point(text: Column, base: int) -> Column:
@@ -33,17 +38,15 @@ def _decode_refs(text: Column, name_pattern: str, value_of) -> Column:
     """Replace ``&name;`` references in one pass over the pieces between ``&``."""
 
     def piece(p: Column) -> Column:
-        name = F.regexp_extract(p, f"^({name_pattern});", 1)
-        value = F.when(name != "", value_of(name))
-        return F.coalesce(
-            F.concat(value, F.substr(p, F.length(name) + 2)), F.concat(F.lit("&"), p)
-        )
+        return let(F.regexp_extract(p, f"^({name_pattern});", 1), lambda name: F.coalesce(
+            F.concat(F.when(name != "", value_of(name)), F.substr(p, F.length(name) + 2)),
+            F.concat(F.lit("&"), p)))
+
+    def decoded(pieces: Column) -> Column:
+        rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece)
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
 
-    pieces = F.split(text, "&")
-    rest = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), piece)
-    return F.when(
-        F.contains(text, F.lit("&")), F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
-    ).otherwise(text)
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), let(F.split(t, "&"), decoded)).otherwise(t))
 
 
 def decode_entities(c: Column) -> Column:
@@ -142,11 +145,14 @@ def place_slug(name: Column, city: Column) -> Column:
 
 def detect_city(location: Column) -> Column:
     """First city whose hint occurs in the text, else ``other``."""
-    chain = None
-    for key, pattern in CITY_HINTS:
-        hit = F.rlike(location, F.lit(f"(?i){pattern}"))
-        chain = F.when(hit, key) if chain is None else chain.when(hit, key)
-    return F.coalesce(chain, F.lit("other"))
+    def first_hint(text: Column) -> Column:
+        chain = None
+        for key, pattern in CITY_HINTS:
+            hit = F.rlike(text, F.lit(f"(?i){pattern}"))
+            chain = F.when(hit, key) if chain is None else chain.when(hit, key)
+        return F.coalesce(chain, F.lit("other"))
+
+    return let(location, first_hint)
 
 
 def refine_city(city: Column, location: Column) -> Column:
@@ -170,7 +176,8 @@ def join_parts(parts: list[Column], sep: str = ", ") -> Column:
 
 
 def ellipsis(c: Column, limit: int) -> Column:
-    return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit - 3), F.lit("..."))).otherwise(c)
+    return let(c, lambda t: F.when(
+        F.length(t) > limit, F.concat(F.substring(t, 1, limit - 3), F.lit("..."))).otherwise(t))
 
 
 def ordered_distinct(items: Column, limit: int | None = None) -> Column:

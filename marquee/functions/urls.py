@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from urllib.parse import urljoin, urlsplit, urlunsplit
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+
+from marquee.functions.text import let
 
 
 def _absolute(c: Column) -> Column:
@@ -16,18 +13,17 @@ def _absolute(c: Column) -> Column:
 
 def http_url(c: Column) -> Column:
     """The URL when it is absolute http(s), with host lower-cased and a root path."""
-    value = F.trim(c)
-    scheme = F.lower(F.regexp_extract(value, r"^([A-Za-z]+)://", 1))
-    host = F.lower(F.regexp_extract(value, r"^[A-Za-z]+://([^\s/?#]+)", 1))
-    rest = F.regexp_extract(value, r"^[A-Za-z]+://[^\s/?#]+(.*)$", 1)
-    path = F.when(F.rlike(rest, F.lit(r"^/")), rest).otherwise(F.concat(F.lit("/"), rest))
-    path = F.replace(path, F.lit(" "), F.lit("%20"))
-    return F.when(_absolute(value), F.concat(scheme, F.lit("://"), host, path))
+    def clean(value: Column) -> Column:
+        origin = F.lower(F.regexp_extract(value, r"^[A-Za-z]+://[^\s/?#]+", 0))
+        rest = F.regexp_replace(value, r"^[A-Za-z]+://[^\s/?#]+/?", "/")
+        return F.when(_absolute(value), F.concat(origin, F.replace(rest, F.lit(" "), F.lit("%20"))))
+
+    return let(F.trim(c), clean)
 
 
 def url_path(c: Column) -> Column:
     path = F.regexp_extract(F.trim(c), r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#]*([^?#]*)", 1)
-    return F.when(path == "", F.lit("/")).otherwise(path)
+    return F.regexp_replace(path, "^$", "/")
 
 
 def url_host(c: Column) -> Column:
@@ -60,31 +56,49 @@ def valid_image(c: Column) -> Column:
     return F.coalesce(_absolute(F.trim(c)) & (F.length(url_path(c)) >= 2), F.lit(False))
 
 
-_SCHEME = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:")
-
-
-def join_url(href: str | None, base: str | None) -> str | None:
-    """Resolve ``href`` against ``base``; null when the result is not absolute."""
-    if href is None:
-        return None
-    href = re.sub(r"[\t\n\r]", "", href).strip(" \x00\x1f")
-    try:
-        joined = href if _SCHEME.match(href) else urljoin(base or "", href)
-        parts = urlsplit(joined)
-    except ValueError:
-        return None
-    if not parts.scheme:
-        return None
-    if parts.scheme.lower() in ("http", "https"):
-        if not parts.netloc:
-            return None
-        path = (parts.path or "/").replace(" ", "%20")
-        return urlunsplit((parts.scheme.lower(), parts.netloc.lower(), path, parts.query.replace(" ", "%20"),
-                           parts.fragment))
-    return joined
-
-
-@F.pandas_udf(StringType())
-def resolve_url(href: pd.Series, base: pd.Series) -> pd.Series:
-    """Arrow-batched relative reference resolution."""
-    return pd.Series([join_url(h, b) for h, b in zip(href, base)], dtype=object)
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def _fold_dots(path: Column) -> Column:
+    """Remove ``.`` and ``..`` segments."""
+
+    def step(kept: Column, part: Column) -> Column:
+        return (
+            F.when(part == ".", kept)
+            .when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1))))
+            .otherwise(F.array_append(kept, part)))
+
+    parts = F.split(F.regexp_replace(path, r"/\.{1,2}$", "$0/"), "/")
+    folded = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.when(F.rlike(path, F.lit(r"/\.{1,2}(/|$)")), F.array_join(folded, "/")).otherwise(path)
+
+
+def _tidy(url: Column) -> Column:
+    """Lower-case origin, a path of at least ``/``, dots folded, blanks encoded."""
+    origin = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+", 0))
+    path = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1)
+    tail = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+[^?#]*(.*)$", 1)
+    rooted = F.regexp_replace(path, "^$", "/")
+    whole = F.concat(origin, let(rooted, _fold_dots), tail)
+    return F.when(F.rlike(url, F.lit(r"^(?i:https?)://[^/?#]+")), F.replace(whole, F.lit(" "), F.lit("%20"))).when(
+        ~F.rlike(url, F.lit(r"^(?i:https?):")), url)
+
+
+def resolve_url(href: Column, base: Column) -> Column:
+    """Resolve a reference against ``base``; null when the result is not absolute."""
+
+    def join(h: Column) -> Column:
+        origin = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+        scheme = F.regexp_extract(base, _SCHEME, 0)
+        page = F.regexp_extract(base, "^[^#]*", 0)
+        folder = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*((?:/[^/?#]*)*)/", 1)
+        return (
+            F.when(F.rlike(h, F.lit(_SCHEME)), h)
+            .when(origin == "", None)
+            .when(F.startswith(h, F.lit("//")), F.concat(scheme, h))
+            .when(F.startswith(h, F.lit("/")), F.concat(origin, h))
+            .when(F.startswith(h, F.lit("?")), F.concat(F.regexp_extract(base, "^[^?#]*", 0), h))
+            .when((h == "") | F.startswith(h, F.lit("#")), F.concat(page, h))
+            .otherwise(F.concat(origin, folder, F.lit("/"), h)))
+
+    return let(let(F.regexp_replace(F.trim(href), r"[\t\n\r]", ""), join), _tidy)

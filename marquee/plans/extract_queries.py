@@ -179,7 +179,7 @@ def page_images(t):
         cat('<meta property="og:image" content=""><link rel="image_src" href="pic', i, '.gif">'), F.lit("<title>none</title>"))
     pages = t.listings("id").select(
         "id", F.posexplode_outer(H.image_candidates(cat("<html><head>", head, "</head></html>"))).alias("pos", "raw"))
-    resolved = pages.withColumn("u", urls.resolve_url("raw", F.lit("https://v.example.com/a/b")))
+    resolved = pages.withColumn("u", urls.resolve_url(F.col("raw"), F.lit("https://v.example.com/a/b")))
     good = F.when(urls.valid_image(F.col("u")), F.struct("pos", "u"))
     return resolved.groupBy("id").agg(F.min(good)["u"].alias("image_url"))
 

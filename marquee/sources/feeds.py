@@ -9,7 +9,7 @@ from marquee.functions.clock import feed_local_iso, ics_to_local, pick_local_iso
 from marquee.functions.prices import currency, says_free
 from marquee.functions.tags import canonical_tags, plain_tags
 from marquee.functions.text import (
-    clean_inline, decode_entities, detect_city, html_to_text, join_parts, nonempty, strip,
+    clean_inline, decode_entities, detect_city, html_to_text, join_parts, let, nonempty, strip,
 )
 from marquee.functions.urls import http_url
 from marquee.sources.structured import offer_struct
@@ -25,8 +25,8 @@ def _unescape(c: Column) -> Column:
 
 def _property(block: Column, name: str) -> tuple[Column, Column]:
     """(parameters, value) of the last line with this name; null when absent."""
-    line = F.element_at(F.regexp_extract_all(block, F.lit(rf"(?im)^{name}(?:;[^:\n]*)?:.*$"), 0), -1)
-    line = F.when(F.rlike(block, F.lit(rf"(?im)^{name}(?:;[^:\n]*)?:")), line)
+    lines = F.regexp_extract_all(block, F.lit(rf"(?im)^{name}(?:;[^:\n]*)?:.*$"), 0)
+    line = F.get(F.reverse(lines), F.lit(0))
     head = F.regexp_extract(line, r"^[^:]*", 0)
     value = F.regexp_extract(line, r"(?s)^[^:]*:(.*)$", 1)
     return F.upper(head), _unescape(value)
@@ -85,9 +85,11 @@ def prefer_feed(items: DataFrame, feed: DataFrame, key: str, fields: list[str])
 
 
 def _element(item: Column, name: str) -> Column:
-    body = F.regexp_extract(item, rf"(?is)<{name}\b[^>]*>(.*?)</{name}\s*>", 1)
-    cdata = F.regexp_extract(body, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", 1)
-    return F.when(cdata != "", cdata).otherwise(decode_entities(body))
+    def text(body: Column) -> Column:
+        cdata = F.regexp_extract(body, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", 1)
+        return F.coalesce(nonempty(cdata), decode_entities(body))
+
+    return let(F.regexp_extract(item, rf"(?is)<{name}\b[^>]*>(.*?)</{name}\s*>", 1), text)
 
 
 def rss_items(feeds: DataFrame, key: list[str], text: str = "text", origin: str = "https://cityofsafetyharbor.com") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from marquee.functions.text import decode_entities, strip
+from marquee.functions.text import decode_entities, let, strip
 
 _ATTRS = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+"""
 
@@ -26,9 +26,8 @@ def tags(html: Column, name: str) -> Column:
 def attribute(tag: Column, name: str) -> Column:
     """Decoded attribute value of a start tag; null when absent."""
     pattern = rf"""(?i)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-    raw = F.regexp_extract(tag, pattern, 1)
-    value = F.regexp_replace(raw, r"""^["']|["']$""", "")
-    return F.when(raw != "", decode_entities(value))
+    return let(F.regexp_extract(tag, pattern, 1), lambda raw: F.when(
+        raw != "", decode_entities(F.regexp_replace(raw, r"""^["']|["']$""", ""))))
 
 
 def hrefs(html: Column) -> Column:
@@ -45,12 +44,14 @@ def first_meta(metas: Column, key: str, value: str, content: str = "content") ->
 
 def image_candidates(html: Column) -> Column:
     """Image links a page declares, best first."""
-    page = visible_markup(html)
-    metas, links = tags(page, "meta"), tags(page, "link")
-    found = F.array(
-        first_meta(metas, "property", "og:image"), first_meta(metas, "name", "twitter:image"),
-        first_meta(metas, "property", "og:image:secure_url"), first_meta(links, "rel", "image_src", "href"))
-    return F.filter(F.transform(found, strip), lambda u: u.isNotNull() & (u != ""))
+    def declared(page: Column) -> Column:
+        metas = let(tags(page, "meta"), lambda m: F.array(
+            first_meta(m, "property", "og:image"), first_meta(m, "name", "twitter:image"),
+            first_meta(m, "property", "og:image:secure_url")))
+        found = F.concat(metas, F.array(first_meta(tags(page, "link"), "rel", "image_src", "href")))
+        return F.filter(F.transform(found, strip), lambda u: u.isNotNull() & (u != ""))
+
+    return let(visible_markup(html), declared)
 
 
 def calendar_link(html: Column) -> Column:

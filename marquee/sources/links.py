@@ -174,9 +174,9 @@ ANY_PAGE = LinkRule("", _any_page)
 
 
 def page_links(pages: DataFrame, key: list[str], base: Column, html: str = "html") -> DataFrame:
-    """(key, pos, href, url) for every anchor; references are resolved in Arrow batches."""
+    """(key, pos, href, url) for every anchor; with references resolved."""
     anchors = pages.select(*key, base.alias("base"), F.posexplode(hrefs(F.col(html))).alias("pos", "href"))
-    return anchors.withColumn("url", resolve_url("href", "base")).drop("base").filter("url is not null")
+    return anchors.withColumn("url", resolve_url(F.col("href"), F.col("base"))).drop("base").filter("url is not null")
 
 
 def listing_links(pages: DataFrame, source: str = "source_slug", key: tuple[str, ...] = ("page_id",)) -> DataFrame:
