@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from marquee.functions import clock, prices, urls
-from marquee.operators.places import fill_images  # noqa: F401
+from marquee.operators import normalize as N
 from marquee.plans.registry import query
 from marquee.plans.views import ny
+from marquee.schemas import EXTRACTED_EVENT_TYPES
 from marquee.sources import feeds as X, html as H, links as K, reduce as D, structured as J
 
 
@@ -327,3 +328,47 @@ def parsed_prices(t):
     i = F.col("id")
     text = cases(i % 4, F.lit("Free"), cat("$", i % 97, ".50 USD"), F.lit("1.2.3"), F.lit("$1,200"))
     return t.listings("id").select("id", prices.parse_price(text).alias("price"), prices.says_free(text).alias("free"))
+
+
+# --- normalization -----------------------------------------------------------------
+
+
+@query("normalized_events", f"""WITH {_JSONLD}, loc AS (SELECT *, CASE WHEN id % 3 = 2 THEN NULL END AS z FROM jl)
+SELECT loc.id, title, city, CASE WHEN loc.id % 3 = 2 THEN s.start_at WHEN loc.id % 3 = 0 THEN (s.start_at AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC')
+  ELSE (CAST(CAST(s.start_at AS DATE) AS TIMESTAMP) AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC') END AS start_at,
+  price_min, ticket_url, status AS ticket_status, loc.image_url, CASE WHEN loc.id % 5 = 3 THEN 2 END AS tiers, CAST(NULL AS VARCHAR) AS reject_reason
+FROM loc JOIN (SELECT id, start_at FROM v_listings) s ON s.id = loc.id WHERE extract(hour FROM s.start_at) > 3""")
+def normalized_events(t):
+    # Hours 0 to 3 are left out: a wall time inside a clock change names no single instant.
+    rows = jsonld(t).join(t.listings("id", "start_at").filter(F.hour("start_at") > 3).select("id"), "id", "left_semi")
+    out = N.normalize_events(rows.withColumn("content_hash", N.structured_hash()), ["id"])
+    return out.select("id", "title", "city", "start_at", F.col("price_min").cast("double").alias("price_min"), "ticket_url",
+                      "ticket_status", "image_url", F.size("price_tiers").alias("tiers"), "reject_reason")
+
+
+@query("normalization_rejects", """SELECT id, CASE WHEN id % 7 = 0 THEN 'invalid startLocal: soon' ELSE 'empty title after sanitization' END AS reject_reason
+FROM v_listings WHERE id % 7 = 0 OR id % 5 = 0""")
+def normalization_rejects(t):
+    i = F.col("id")
+    rows = t.listings("id", "title", "start_at").select(
+        "id", F.when(i % 5 == 0, "&nbsp; ​").otherwise(F.col("title")).alias("title"), F.lit("<p></p>").alias("description"),
+        F.when(i % 7 == 0, "soon").otherwise(F.date_format("start_at", "yyyy-MM-dd")).alias("start_local"),
+        *[F.lit(None).cast(EXTRACTED_EVENT_TYPES[c]).alias(c) for c in ("end_local", "venue_name", "address", "price_min", "price_max", "categories", "image_url", "offer")],
+        F.lit(False).alias("all_day"), F.lit("other").alias("city"), F.lit(False).alias("is_free"), F.lit("u").alias("event_url"), F.lit("h").alias("content_hash"))
+    return N.normalize_events(rows, ["id"]).filter("reject_reason is not null").select("id", "reject_reason")
+
+
+@query("normalized_places", """SELECT id, name, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, category, city, address FROM v_places""")
+def normalized_places(t):
+    rows = t.places().withColumn("price_range", F.lit(" $$ "))
+    return N.normalize_places(rows, ["id"]).select(
+        "id", "name", "slug", "category",
+        F.when(F.col("city") == "other", "other").otherwise(F.col("city")).alias("city"), "address")
+
+
+@query("extractions_kept", "SELECT page_id FROM pages WHERE page_id % 3 = 0")
+def extractions_kept(t):
+    body = F.struct(F.col("url").alias("title"))
+    rows = t.raw("pages").select("page_id", (F.col("page_id") % 3 != 2).alias("is_event"),
+                                 F.when(F.col("page_id") % 3 != 1, body).alias("event"))
+    return N.events_only(rows).select("page_id")
