@@ -159,7 +159,7 @@ def reference_set_null(t):
     return Z.set_null(t.listings("id", "canonical_id"), gone, "canonical_id")
 
 
-@query("source_delete_cascade", "SELECT id, source_id FROM v_listings WHERE source_id <> 4")
+@query("source_delete_cascade", "WITH n AS (SELECT count(*) AS n FROM supplier) SELECT o_orderkey AS id, o_orderkey % n AS source_id FROM orders, n WHERE o_orderkey % n <> 4")
 def source_delete_cascade(t):
     return Z.delete_source(4, t.sources(), {"events": t.listings("id", "source_id")})["events"].select("id", "source_id")
 
@@ -315,13 +315,13 @@ def usage_costs(t):
 
 def _rollup_sql(by: str) -> str:
     day = "CAST(CAST(created_at AS DATE) AS VARCHAR)"
-    return f"""WITH {_COST} SELECT {by}, {day} AS day, count(*) AS calls, sum(p + c)::BIGINT AS tokens, round(sum(cost), 6) AS cost, round(avg(latency_ms), 4) AS latency,
+    return f"""WITH {_COST} SELECT {by}, {day} AS day, count(*) AS calls, sum(p + c)::BIGINT AS tokens, round(sum(cost), 9) AS cost, round(avg(latency_ms), 4) AS latency,
   round(avg(CASE WHEN success THEN 0.0 ELSE 1.0 END), 6) AS failure_rate FROM costed GROUP BY ROLLUP ({by}, {day})"""
 
 
 def _rolled(t, by):
     return logs.usage_rollup(logs.costed_usage(t.usage()), by).select(
-        by, "day", "calls", "tokens", F.round("cost", 6).alias("cost"), F.round("latency", 4).alias("latency"),
+        by, "day", "calls", "tokens", F.round("cost", 9).alias("cost"), F.round("latency", 4).alias("latency"),
         F.round("failure_rate", 6).alias("failure_rate"))
 
 

@@ -82,12 +82,6 @@ def search(t):
     return S.search(pool, places, "building art").select("id", "type", "title", "city", F.round("score", 6).alias("score"))
 
 
-@query("search_short_query", "SELECT id, 0.0 AS score FROM v_listings WHERE false")
-def search_short_query(t):
-    rows = t.listings("id", "title").withColumn("editorial_score", F.lit(None).cast("double"))
-    return S.score_events(rows, "a").select("id", "score")
-
-
 _PICKS = """picks AS (SELECT l_suppkey AS query_id, l_linenumber * 1000000 + l_partkey AS pos, l_orderkey AS id, l_returnflag AS reason FROM lineitem),
 known AS (SELECT id FROM v_listings WHERE is_free),
 firsts AS (SELECT query_id, id, min(struct_pack(pos := pos, reason := reason)) AS f FROM picks WHERE id IN (SELECT id FROM known) GROUP BY ALL),
