@@ -20,52 +20,62 @@ LIST_LIMIT = 8
 MIN_DESCRIPTION = 20
 
 
-def row_set_hash(group: str, rows: DataFrame, *fields: str) -> DataFrame:
+def row_set_hash(group: str, rows: DataFrame, *fields: str, extra: tuple = ()) -> DataFrame:
     """(group, editorial_hash): hash of the multiset of rows, order-free.
 
+    ``extra`` holds further aggregates to take in the same pass.
+
     Sums four lanes of each row's SHA-256, so it is a partial aggregate and no
     group is collected.
     """
     digest = stable_hash(**{f: F.col(f) for f in fields})
     lanes = [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
     sums = rows.groupBy(group).agg(
-        F.count("*").alias("n"), *[F.sum(lane).alias(f"l{i}") for i, lane in enumerate(lanes)])
+        F.count("*").alias("n"), *[F.sum(lane).alias(f"l{i}") for i, lane in enumerate(lanes)], *extra)
     text = F.concat_ws("|", "n", *[f"l{i}" for i in range(4)])
-    return sums.select(group, F.sha2(text, 256).alias("editorial_hash"))
+    return sums.withColumn("editorial_hash", F.sha2(text, 256)).drop("n", *[f"l{i}" for i in range(4)])
 
 
-def first_values(rows: DataFrame, group: str, value: Column, order: list[str], name: str, limit: int = LIST_LIMIT) -> DataFrame:
-    """(group, name): first ``limit`` distinct non-empty values in ``order``."""
-    firsts = (
-        rows.select(group, value.alias("v"), F.struct(*order).alias("o")).filter("v <> ''")
-        .groupBy(group, "v").agg(F.min("o").alias("o")))
-    at = F.row_number().over(Window.partitionBy(group).orderBy("o", "v"))
-    return (
-        firsts.withColumn("at", at).filter(F.col("at") <= limit)
-        .groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias(name)))
+def first_values(rows: DataFrame, group: str, limit: int = LIST_LIMIT) -> DataFrame:
+    """(group, kind, values): first ``limit`` distinct non-empty values per kind.
+
+    ``rows`` has group, kind, v and o (their order).
+    """
+    firsts = rows.filter("v <> ''").groupBy(group, "kind", "v").agg(F.min("o").alias("o"))
+    at = F.row_number().over(Window.partitionBy(group, "kind").orderBy("o", "v"))
+    return firsts.withColumn("at", at).filter(F.col("at") <= limit)
 
 
 def editorial_inputs(members: DataFrame, group: str = "canonical_id") -> DataFrame:
     """One row per group: hash, title and description variants, slugs, category hints.
 
-    ``members`` are listings of enabled sources with source_slug.
+    ``members`` are listings of enabled sources with source_slug. Two passes: one
+    aggregate, and one over all values of all kinds.
     """
-    rows = members.withColumn("title", clean_inline(F.col("title"))).withColumn(
-        "description", html_to_text(F.col("description")))
-    order = ["start_at", "id"]
+    rows = members.withColumns({
+        "title": clean_inline(F.col("title")), "description": html_to_text(F.col("description"))})
+    slugs = F.array_sort(F.collect_set("source_slug")).alias("source_slugs")
+    hashed = row_set_hash(group, rows, "source_slug", "title", "description", extra=(slugs,))
+
+    def one(kind: str, value: Column, at: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), value.alias("v"))
+
     long_text = F.when(F.length("description") >= MIN_DESCRIPTION, F.col("description"))
-    hints = rows.select(group, *order, F.posexplode("categories").alias("at", "hint"))
-    slugs = rows.groupBy(group).agg(F.array_sort(F.collect_set("source_slug")).alias("source_slugs"))
-    out = row_set_hash(group, rows, "source_slug", "title", "description")
-    for part in (
-        first_values(rows, group, F.col("title"), order, "titles"),
-        first_values(rows, group, long_text, order, "descriptions"),
-        first_values(hints, group, F.trim("hint"), [*order, "at"], "hints"),
-        slugs,
-    ):
-        out = out.join(part, group, "left")
+    values = F.concat(
+        F.array(one("titles", F.col("title"), F.lit(0)), one("descriptions", long_text, F.lit(0))),
+        F.transform("categories", lambda c, i: one("hints", F.trim(c), i)))
+    flat = rows.select(group, "start_at", "id", F.inline(values)).select(
+        group, "kind", "v", F.struct("start_at", "id", "at").alias("o"))
+    kept = first_values(flat, group)
+
+    def listed(kind: str) -> Column:
+        pair = F.when(F.col("kind") == kind, F.struct("at", "v"))
+        return F.transform(F.array_sort(F.collect_list(pair)), lambda s: s["v"]).alias(kind)
+
+    lists = kept.groupBy(group).agg(*[listed(k) for k in ("titles", "descriptions", "hints")])
     empty = F.array().cast("array<string>")
-    return out.withColumns({c: F.coalesce(c, empty) for c in ("titles", "descriptions", "hints", "source_slugs")})
+    return hashed.join(lists, group, "left").withColumns(
+        {c: F.coalesce(c, empty) for c in ("titles", "descriptions", "hints")})
 
 
 def fallback_editorial(title: Column, description: Column, hints: Column, categories: Column) -> Column:

@@ -39,7 +39,7 @@ def plain_price(df: DataFrame) -> DataFrame:
     return df
 
 
-def group_display(rows: DataFrame, payload: list[str]) -> DataFrame:
+def group_display(rows: DataFrame, payload: list[str], keys: tuple[str, ...] = ("canonical_id",)) -> DataFrame:
     """Display row, duplicate count and other sources per canonical group.
 
     Two partial aggregations, by (group, source) and by group: no window and no
@@ -48,13 +48,13 @@ def group_display(rows: DataFrame, payload: list[str]) -> DataFrame:
     best = F.min(F.struct(
         (~has_image(F.col("image_url"))).alias("bare"), "source_rank", "start_at", "id",
         F.struct(*payload).alias("row"), F.col("source_slug").alias("slug")))
-    per_source = rows.groupBy("canonical_id", "source_slug").agg(best.alias("best"), F.count("*").alias("n"))
-    grouped = per_source.groupBy("canonical_id").agg(
+    per_source = rows.groupBy(*keys, "source_slug").agg(best.alias("best"), F.count("*").alias("n"))
+    grouped = per_source.groupBy(*keys).agg(
         F.min("best").alias("best"), F.sum("n").alias("duplicate_count"),
         F.collect_list(F.struct("source_slug", "n")).alias("slugs"))
     others = F.filter("slugs", lambda s: (s["source_slug"] != F.col("best.slug")) | (s["n"] > 1))
     return grouped.select(
-        "canonical_id", F.col("best.start_at").alias("start_at"), F.col("best.id").alias("id"),
+        *keys, F.col("best.start_at").alias("start_at"), F.col("best.id").alias("id"),
         "best.row.*", "duplicate_count",
         F.array_sort(F.transform(others, lambda s: s["source_slug"])).alias("also_on"))
 
@@ -74,30 +74,33 @@ def overlay(rows: DataFrame, canonicals: DataFrame, how: str = "inner") -> DataF
     )
 
 
-def legacy_rows(rows: DataFrame, payload: list[str]) -> DataFrame:
-    """Rows without a group in the shape of grouped ones."""
-    none = F.array().cast("array<string>")
-    return rows.filter(F.col("canonical_id").isNull()).select(
-        F.col("canonical_id"), "start_at", "id", *payload,
-        F.lit(1).cast("bigint").alias("duplicate_count"), none.alias("also_on"),
-        F.lit(None).cast("double").alias("editorial_score"),
-        F.lit(None).cast("timestamp").alias("editorial_updated_at"),
-        F.lit(None).cast("string").alias("why_its_cool"), none.alias("vibes"))
-
-
 PAYLOAD = ["title", "description", "city", "categories", "image_url", "venue_name",
            "is_free", "all_day", "end_at", "price_min", "price_max"]
 
 
 def listing(rows: DataFrame, canonicals: DataFrame, now: datetime,
             payload: list[str] | None = None) -> DataFrame:
-    """Visible rows, one per group plus the ungrouped ones, with their ``rank_score``."""
+    """Visible rows, one per group plus the ungrouped ones, with their ``rank_score``.
+
+    One pass: an ungrouped row is a group of its own, keyed by its id (``solo``).
+    The join carries that key too, so the null group ids spread over all tasks.
+    """
     payload = payload or [c for c in PAYLOAD if c in rows.columns]
-    grouped = overlay(group_display(rows.filter(F.col("canonical_id").isNotNull()), payload), canonicals)
-    merged = grouped.unionByName(legacy_rows(rows, payload))
-    score = effective_score(F.col("editorial_score"), F.col("editorial_updated_at"),
-                            F.col("why_its_cool"), F.lit(now))
-    return plain_price(merged).withColumn("rank_score", score)
+    solo = F.when(F.col("canonical_id").isNull(), F.col("id").cast("string")).otherwise("")
+    units = group_display(rows.withColumn("solo", solo), payload, ("canonical_id", "solo"))
+    groups = canonicals.select(
+        "canonical_id", F.lit("").alias("solo"), "deduped_title", "summary", "tags", *EDITORIAL, F.lit(True).alias("known"))
+    joined = units.join(groups, ["canonical_id", "solo"], "left").filter(
+        F.col("canonical_id").isNull() | F.col("known"))
+    out = joined.withColumns({
+        "title": F.coalesce("deduped_title", "title"),
+        "description": F.coalesce("summary", "description"),
+        "categories": F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.col("categories")),
+        "vibes": F.coalesce("vibes", F.array().cast("array<string>")),
+        "rank_score": effective_score(F.col("editorial_score"), F.col("editorial_updated_at"),
+                                      F.col("why_its_cool"), F.lit(now)),
+    })
+    return plain_price(out.drop("deduped_title", "summary", "tags", "known", "solo"))
 
 
 def ranking() -> list[Column]:
@@ -125,10 +128,11 @@ def upcoming_by_ids(rows: DataFrame, sources: DataFrame, ids: DataFrame, now: da
 
 def city_facet(rows: DataFrame) -> DataFrame:
     """Events per city: one vote per group (its smallest city), one per legacy row."""
-    votes = rows.filter("canonical_id is not null").groupBy("canonical_id").agg(F.min("city").alias("city"))
-    grouped = votes.groupBy("city").agg(F.count("*").alias("n"))
-    legacy = rows.filter("canonical_id is null").groupBy("city").agg(F.count("*").alias("n"))
-    return grouped.unionByName(legacy).groupBy("city").agg(F.sum("n").alias("n"))
+    legacy = F.col("canonical_id").isNull()
+    units = rows.groupBy("canonical_id", F.when(legacy, F.col("city")).alias("own")).agg(
+        F.min("city").alias("city"), F.count("*").alias("n"))
+    votes = F.when(legacy, F.col("n")).otherwise(F.lit(1))
+    return units.groupBy("city").agg(F.sum(votes).alias("n"))
 
 
 def all_cities(spark) -> DataFrame:

@@ -10,6 +10,7 @@ from marquee.functions import clock, prices, tags
 from marquee.operators import listing as L, resolve as R
 from marquee.plans.registry import query
 from marquee.plans.views import NOW, NOW_SQL, ny
+from marquee.session import cut_lineage
 
 WEEK = clock.window_bounds("week", NOW)
 YEAR = (datetime(1997, 1, 1, tzinfo=timezone.utc), datetime(1997, 12, 31, 23, 59, 59, tzinfo=timezone.utc))
@@ -229,7 +230,8 @@ def standout_events(t):
 st AS (SELECT id FROM scored WHERE editorial_score >= 0.7 AND editorial_updated_at >= {NOW_SQL} - INTERVAL 48 HOUR ORDER BY rank_score DESC, start_at, id LIMIT 3)
 SELECT id, title FROM scored WHERE id NOT IN (SELECT id FROM st)""")
 def feed_without_standouts(t):
-    ranked = L.listing(rows_in(t, WEEK), t.canonicals(), NOW, ["image_url", "title", "description", "categories"])
+    ranked = cut_lineage(L.listing(
+        rows_in(t, WEEK), t.canonicals(), NOW, ["image_url", "title", "description", "categories"]))
     return L.remainder(ranked, L.standouts(ranked, NOW)).select("id", "title")
 
 

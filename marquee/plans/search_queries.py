@@ -179,10 +179,9 @@ _NEW = """nw AS (SELECT session_id, 'e' || l.id AS nid, l.start_at AS ns, l.all_
 
 def _with_new(t):
     lists = I.plan_lists(resolved(t))
-    total = t.raw("orders").agg(F.count("*").alias("n")).scalar()
     events = t.listings("id", "start_at", "all_day").select(
         F.col("id").alias("_id"), F.concat(F.lit("e"), "id").alias("nid"), F.col("start_at").alias("ns"), F.col("all_day").alias("nad"))
-    return lists.withColumn("_id", (F.col("session_id") * 977) % total).join(events, "_id")
+    return lists.withColumn("_id", (F.col("session_id") * 977) % t.count("orders")).join(events, "_id")
 
 
 @query("plan_insert_by_time", f"""WITH {_ITEMS}, {_NEW},

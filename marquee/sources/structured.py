@@ -76,7 +76,8 @@ def jsonld_events(pages: DataFrame, key: list[str], html: str = "html") -> DataF
     """(key, pos, ev): one Variant per event object."""
     has = F.contains(html, F.lit("ld+json"))
     blocks = pages.filter(has).select(*key, event_objects(jsonld_blocks(F.col(html))).alias("found"))
-    return blocks.select(*key, F.posexplode("found").alias("pos", "json")).select(
+    # The outer form keeps Spark from filtering on the helper's result, which would run it twice.
+    return blocks.select(*key, F.posexplode_outer("found").alias("pos", "json")).select(
         *key, "pos", F.try_parse_json("json").alias("ev")).filter("ev is not null")
 
 
