@@ -150,18 +150,18 @@ def listing_links(t):
 SELECT page_id, count(*) AS anchors FROM (SELECT page_id, unnest(regexp_extract_all(h, '<a[^>]*\\shref="([^"]+)"', 1)) AS u FROM c) GROUP BY page_id""")
 def page_link_counts(t):
     found = H.hrefs(F.col("html"))
-    return t.raw("pages").select("page_id", F.size(found).cast("bigint").alias("anchors")).filter("anchors > 0")
+    return t.spread("pages").select("page_id", F.size(found).cast("bigint").alias("anchors")).filter("anchors > 0")
 
 
 @query("page_urls_resolved")
 def page_urls_resolved(t):
-    links = K.page_links(t.raw("pages"), ["page_id"], F.col("url"))
+    links = K.page_links(t.spread("pages"), ["page_id"], F.col("url"))
     return K.clean_urls(links, ["page_id"]).select("page_id", "url", "pos")
 
 
 @query("path_ids", """SELECT page_id, coalesce(nullif(replace(regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/', ''), '/+$', ''), '/', '-'), ''), url) AS path_id FROM pages""")
 def path_ids(t):
-    return t.raw("pages").select("page_id", urls.path_id(F.col("url")).alias("path_id"))
+    return t.spread("pages").select("page_id", urls.path_id(F.col("url")).alias("path_id"))
 
 
 @query("plan_page_urls", "SELECT id, id % 3 <> 2 AS is_plan FROM v_listings")
@@ -201,7 +201,7 @@ def calendar_links(t):
 SELECT page_id, starts_with(html, '<!DOCTYPE') AS is_page, false AS has_nav FROM a""")
 def reduced_pages(t):
     r = D.reduced_text(F.col("html"))
-    return t.raw("pages").select("page_id", F.col("html"), r.alias("r")).select(
+    return t.spread("pages").select("page_id", F.col("html"), r.alias("r")).select(
         "page_id", F.startswith("r", F.lit("Text:\n")).alias("is_page"),
         F.contains("r", F.lit("track(")).alias("has_nav"))
 
@@ -369,6 +369,6 @@ def normalized_places(t):
 @query("extractions_kept", "SELECT page_id FROM pages WHERE page_id % 3 = 0")
 def extractions_kept(t):
     body = F.struct(F.col("url").alias("title"))
-    rows = t.raw("pages").select("page_id", (F.col("page_id") % 3 != 2).alias("is_event"),
+    rows = t.spread("pages").select("page_id", (F.col("page_id") % 3 != 2).alias("is_event"),
                                  F.when(F.col("page_id") % 3 != 1, body).alias("event"))
     return N.events_only(rows).select("page_id")

@@ -344,7 +344,7 @@ _BODY = """body AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN html WHEN 1 THE
 
 def _bodies(t):
     key, html = F.col("page_id") % 6, F.col("html")
-    return t.raw("pages").select("page_id", (
+    return t.spread("pages").select("page_id", (
         F.when(key == 0, html)
         .when(key == 1, F.concat(html, F.lit('<div class="g-recaptcha">captcha g-recaptcha-response</div>')))
         .when(key == 2, F.lit('<script src="//js.datadome.co/tags.js">'))
@@ -369,7 +369,7 @@ def page_kinds(t):
 def binary_bodies(t):
     noise = F.repeat(F.lit("\u0001�"), 25)
     body = F.when(F.col("page_id") % 3 == 0, F.concat(noise, "html")).otherwise(F.col("html"))
-    return t.raw("pages").select("page_id", classify.looks_binary(body).alias("looks_binary"))
+    return t.spread("pages").select("page_id", classify.looks_binary(body).alias("looks_binary"))
 
 
 @query("error_kinds", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN (400 + event_id % 110) IN (401, 403, 408, 425, 429, 500, 502, 503, 504) WHEN 1 THEN true ELSE false END AS transient FROM events""")
@@ -394,14 +394,14 @@ def validation_rejects(t):
 
 @query("text_cleanup", """SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '[\\x00-\\x1f\\x7f]', '', 'g'), '\\s+', ' ', 'g')) AS inline_text FROM pages""")
 def text_cleanup(t):
-    return t.raw("pages").select("page_id", text.clean_inline(F.col("html")).alias("inline_text"))
+    return t.spread("pages").select("page_id", text.clean_inline(F.col("html")).alias("inline_text"))
 
 
 @query("html_plain_text", """WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<\\s*br\\s*/?\\s*>', chr(10), 'gi'), '</\\s*(?:p|div|li|h[1-6]|blockquote|tr)\\s*>', chr(10) || chr(10), 'gi'), '</?[a-zA-Z][^>]*>', '', 'g') AS s FROM pages),
 b AS (SELECT page_id, replace(replace(replace(replace(s, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS s FROM a)
 SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '', 'g'), '[ \\t]+', ' ', 'g'), '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS plain FROM b""")
 def html_plain_text(t):
-    return t.raw("pages").select("page_id", text.html_to_text(F.col("html")).alias("plain"))
+    return t.spread("pages").select("page_id", text.html_to_text(F.col("html")).alias("plain"))
 
 
 @query("summaries_truncated", """SELECT doc_id, CASE WHEN length(text) > 140 THEN left(text, 137) || '...' ELSE text END AS short, left(text, 120) AS cut FROM documents""")
