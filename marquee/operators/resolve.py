@@ -266,19 +266,23 @@ def similar_titles(keyed: DataFrame) -> DataFrame:
     score of 0.67 needs a common token within both prefixes (tokens ordered by
     rarity), and a title inside another one needs its rarest n-gram there.
     """
-    presence = _blocks(
+    presence = cut_lineage(_blocks(
         keyed.filter(F.size("tokens") > 0)
         .select("title_key", "city", F.floor(F.col("slot") / BIN_SLOTS).alias("bin")).distinct()
-    ).drop("city")
-    titles = keyed.filter(F.size("tokens") > 0).select("title_key", "tokens").distinct()
-
-    size = F.size("ranked")
-    prefix = _rarest(titles, F.col("tokens")).select(
-        "title_key", size.alias("n"),
-        F.explode(F.slice("ranked", F.lit(1), size - F.ceil(size * MIN_SIMILARITY).cast("int") + 1)).alias("key"))
+    ).drop("city"))
+    titles = cut_lineage(keyed.filter(F.size("tokens") > 0).select("title_key", "tokens").distinct())
     threes, twos = _grams(F.col("title_key"), 3), _grams(F.col("title_key"), 2)
-    inner = _rarest(titles, F.when(F.size(threes) > 0, threes).otherwise(twos)).select(
-        "title_key", F.get("ranked", F.lit(0)).alias("key"))
+    by_token = _rarest(titles, F.col("tokens")).withColumnRenamed("ranked", "by_token")
+    by_gram = _rarest(titles, F.when(F.size(threes) > 0, threes).otherwise(twos)).select(
+        "title_key", F.get("ranked", F.lit(0)).alias("rare"))
+    # One row per distinct title, read by every side of the joins below.
+    keys = cut_lineage(by_token.join(by_gram, "title_key"))
+
+    size = F.size("by_token")
+    prefix = keys.select(
+        "title_key", size.alias("n"),
+        F.explode(F.slice("by_token", F.lit(1), size - F.ceil(size * MIN_SIMILARITY).cast("int") + 1)).alias("key"))
+    inner = keys.select("title_key", F.col("rare").alias("key"))
     # Of the n-grams of a containing title only those some title is looked up by.
     outer = titles.select("title_key", F.explode(F.concat(threes, twos)).alias("key")).join(
         inner.select("key").distinct(), "key", "left_semi")
@@ -304,7 +308,9 @@ def similar_titles(keyed: DataFrame) -> DataFrame:
         "block",
         *[F.when(flip, F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(f"{c}1") for c in ("t", "v", "b")],
         *[F.when(flip, F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(f"{c}2") for c in ("t", "v", "b")])
-    return jaccard.unionByName(ordered).distinct()
+    found = jaccard.unionByName(ordered).distinct()
+    one, two = match_tokens(F.col("t1")), match_tokens(F.col("t2"))
+    return found.filter(title_similarity(F.col("t1"), F.col("t2"), one, two) >= MIN_SIMILARITY)
 
 
 _ROW = ["id", "title_key", "tokens", "venue_key", "address_key", "long", "all_day",

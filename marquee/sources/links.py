@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marquee.dims import lookup
 from marquee.functions.urls import path_id, path_segments, resolve_url, url_host, url_path
 from marquee.sources.html import hrefs
 
@@ -181,17 +182,24 @@ def page_links(pages: DataFrame, key: list[str], base: Column, html: str = "html
 
 def listing_links(pages: DataFrame, source: str = "source_slug", key: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Links of known sources: (key, source, source_event_id, url), first per URL and page."""
-    base = F.coalesce(*[F.when(F.col(source) == s, F.lit(r.base)) for s, r in LINK_RULES.items()])
-    links = page_links(pages.filter(F.col(source).isin(*LINK_RULES)), [*key, source], base)
-    chosen = None
-    for slug, rule in LINK_RULES.items():
-        found, url = rule.pick(F.col("href"), F.col("url"))
-        pair = F.struct(found.alias("id"), url.alias("url"))
-        chosen = F.when(F.col(source) == slug, pair) if chosen is None else chosen.when(F.col(source) == slug, pair)
-    hits = links.withColumn("hit", chosen).filter("hit.id is not null")
+    known = pages.filter(F.col(source).isin(*LINK_RULES))
+    anchors = known.select(*key, source, F.posexplode(hrefs(F.col("html"))).alias("pos", "href"))
+
+    def hit(url: Column) -> Column:
+        chosen = None
+        for slug, rule in LINK_RULES.items():
+            found, clean = rule.pick(F.col("href"), url)
+            pair = F.struct(found.alias("id"), clean.alias("url"))
+            here = F.col(source) == slug
+            chosen = F.when(here, pair) if chosen is None else chosen.when(here, pair)
+        return chosen
+
+    base = lookup({slug: rule.base for slug, rule in LINK_RULES.items()}, F.col(source))
+    found = F.transform(F.array(resolve_url(F.col("href"), base)), hit)
+    # The outer form keeps the filter above the expansion, so each link is judged once.
+    hits = anchors.select(*key, source, "pos", F.inline_outer(found)).filter("id is not null and url is not null")
     return (
-        hits.groupBy(*key, source, F.col("hit.url").alias("url"))
-        .agg(F.min(F.struct("pos", F.col("hit.id").alias("id"))).alias("first"))
+        hits.groupBy(*key, source, "url").agg(F.min(F.struct("pos", "id")).alias("first"))
         .select(*key, source, F.col("first.id").alias("source_event_id"), "url", F.col("first.pos").alias("pos"))
     )
 
