@@ -153,7 +153,10 @@ def page_link_counts(t):
     return t.spread("pages").select("page_id", F.size(found).cast("bigint").alias("anchors")).filter("anchors > 0")
 
 
-@query("page_urls_resolved")
+@query("page_urls_resolved", """WITH c AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs') AS h FROM pages),
+l AS (SELECT page_id, url, regexp_extract_all(h, '<a[^>]*\\shref="([^"]+)"', 1) AS u FROM c),
+e AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://[^/?#]+')) || unnest(u) AS url, generate_subscripts(u, 1) - 1 AS pos FROM l)
+SELECT page_id, url, CAST(min(pos) AS INTEGER) AS pos FROM e GROUP BY page_id, url""")
 def page_urls_resolved(t):
     links = K.page_links(t.spread("pages"), ["page_id"], F.col("url"))
     return K.clean_urls(links, ["page_id"]).select("page_id", "url", "pos")

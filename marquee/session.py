@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -43,13 +44,18 @@ def local_session(cores: str = "8", app: str = "marquee", memory: str = "16g") -
     return configure(spark)
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="marquee-")
+
+
 def _shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    key = "spark.checkpoint.dir"
+    folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="marquee-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+            raise RuntimeError(f"set {key} to a shared folder")
+        folder = _own_folder()
     return folder.rstrip("/")
 
 
