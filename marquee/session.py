@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import functools
+import re
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings; all can be changed on a live session.
@@ -14,14 +17,19 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Splits one hot aggregation or window input as well as hot join keys.
+    # Applies to rebalanced outputs; hot join keys fall under the setting above.
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings (UTC session clock, adaptive execution)."""
+    """Apply the runtime settings (UTC session clock, adaptive execution).
+
+    The package's own functions travel to the workers by value, so executors
+    need not have the package on their path.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["marquee"])
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -49,11 +57,13 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="marquee-")
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a folder of this process where
+    the setting is missing and the driver is the only executor."""
     key = "spark.checkpoint.dir"
     folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError(f"set {key} to a shared folder")
         folder = _own_folder()
     return folder.rstrip("/")
@@ -66,6 +76,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     keeps column pruning and size statistics. A temporary folder is used only
     where the setting is missing and the driver is the only executor.
     """
-    path = f"{_shared_folder(df.sparkSession)}/marquee-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/marquee-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
