@@ -1,4 +1,6 @@
 """All registered queries of this subpackage."""
 
-from marquee.llm import fingerprint_queries  # noqa: F401
+from marquee.llm import (  # noqa: F401
+    fingerprint_queries, sharding_queries,
+)
 from marquee.llm.registry import ORACLES, QUERIES  # noqa: F401
