@@ -141,7 +141,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(
         F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"),
         F.coalesce(F.substring("head", F.lit(1), tail), F.lit("")))
-    both = base.join(heads, "doc_id", "left").select(
+    # Both joins are inner ones over the same exchange; rows without an id are few or none and need no shuffle.
+    with_head = base.join(heads, "doc_id").select("doc_id", "text", "head").unionByName(
+        base.filter(F.col("doc_id").isNull()).withColumn("head", F.lit("")))
+    both = with_head.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("text_hash"),
         "text", edited.alias("edited"))
     keys = ["doc_id", "n_chars", "text_hash", "edited_hash"]
