@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
 from marquee.llm import (  # noqa: F401
-    chat_queries, fingerprint_queries, jaccard_queries, sharding_queries, substring_queries, warc_queries,
+    chat_queries, fingerprint_queries, jaccard_queries, quality_queries, sharding_queries, substring_queries, warc_queries,
 )
 from marquee.llm.registry import ORACLES, QUERIES  # noqa: F401
