@@ -208,7 +208,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: i
     n = known.count()
     if n > most:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # about ``most`` ids at most
 
 
 def fit(docs: DataFrame, labels: DataFrame, table: np.ndarray, most: int = FIT_ROWS) -> Network | None:
