@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
 from marquee.llm import (  # noqa: F401
-    chat_queries, fingerprint_queries, jaccard_queries, quality_queries, sharding_queries, substring_queries, toxicity_queries, warc_queries,
+    chat_queries, decontaminate_queries, fingerprint_queries, jaccard_queries, pieces_queries, quality_queries, sharding_queries, substring_queries, toxicity_queries, warc_queries,
 )
 from marquee.llm.registry import ORACLES, QUERIES  # noqa: F401
