@@ -25,18 +25,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality.scored(docs.select(*COLUMNS), labels)
     return scored.filter(F.col("quality_score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
     grouped = jaccard.groups(docs.select("doc_id", "text"))
     gone = cut_lineage(grouped.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
     cut = substring.repeats(docs.select("doc_id", "text"))
     text = F.coalesce("kept", "text")
     return docs.select(*COLUMNS, substring.row_key().alias("row")).join(cut, "row", "left").select(
@@ -45,10 +48,12 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
     return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
     found = pieces.encoded(docs.select(*COLUMNS), MODEL)
     return found.select("doc_id", "lang", "source", "n_chars", F.size("pieces").cast("long").alias("n_pieces"), "pieces")
 
@@ -61,7 +66,6 @@ ORACLE_SQL = None  # the first and the last stage have no form in SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -41,7 +41,7 @@ def terms(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
     shifted = F.arrays_zip(*[F.slice("words", F.lit(k + 1), count).alias(f"w{k}") for k in range(SHINGLE_WORDS)])
     return split.select(*keys, F.explode_outer(shifted).alias("t")).select(
         *keys, F.xxhash64(*[f"t.w{k}" for k in range(SHINGLE_WORDS)]).alias("h"),
-        F.least(F.length("t.w0"), F.lit(MAX_WEIGHT)).cast("long").alias("w"))
+        F.coalesce(F.when(F.length("t.w0") > MAX_WEIGHT, F.lit(MAX_WEIGHT)).otherwise(F.length("t.w0")), F.lit(0)).cast("long").alias("w"))
 
 
 def votes(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
