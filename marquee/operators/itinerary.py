@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marquee.functions.clock import effective_interval, local_day
 
-MAX_ITEMS = 80
 
 
 def resolve_items(items: DataFrame, events: DataFrame, places: DataFrame) -> DataFrame:
@@ -106,13 +105,18 @@ def keep_known(ordered: Column, known: Column) -> Column:
     return F.filter(ordered, lambda x: F.array_contains(known, x))
 
 
-def append_or_move(ordered: Column, item: Column, limit: int = MAX_ITEMS) -> Column:
+def _full(items: Column, limit: int | None) -> Column:
+    """Whether a plan takes no more items; plans have no limit unless the caller sets one."""
+    return F.size(items) >= limit if limit is not None else F.lit(False)
+
+
+def append_or_move(ordered: Column, item: Column, limit: int | None = None) -> Column:
     """Put ``item`` last; a full list without it stays as it is."""
-    full = ~F.array_contains(ordered, item) & (F.size(ordered) >= limit)
+    full = ~F.array_contains(ordered, item) & _full(ordered, limit)
     return F.when(full, ordered).otherwise(F.array_append(F.array_remove(ordered, item), item))
 
 
-def insert_by_time(items: Column, item: Column, start: Column, all_day: Column, limit: int = MAX_ITEMS) -> Column:
+def insert_by_time(items: Column, item: Column, start: Column, all_day: Column, limit: int | None = None) -> Column:
     """Ids with ``item`` before the first timed event that starts later; all-day ones go last."""
     rest = F.filter(items, lambda i: i["id"] != item)
     later = F.transform(
@@ -121,7 +125,7 @@ def insert_by_time(items: Column, item: Column, start: Column, all_day: Column,
     known = ids(rest)
     placed = F.concat(
         F.slice(known, F.lit(1), at), F.array(item), F.slice(known, at + 1, F.greatest(F.size(rest) - at, F.lit(0))))
-    full = (F.size(rest) == F.size(items)) & (F.size(items) >= limit)
+    full = (F.size(rest) == F.size(items)) & _full(items, limit)
     return F.when(full, ids(items)).otherwise(placed)
 
 
@@ -131,10 +135,10 @@ def toggle_event(items: Column, item: Column, start: Column, all_day: Column) ->
         insert_by_time(items, item, start, all_day))
 
 
-def toggle_place(ordered: Column, item: Column, limit: int = MAX_ITEMS) -> Column:
+def toggle_place(ordered: Column, item: Column, limit: int | None = None) -> Column:
     return (
         F.when(F.array_contains(ordered, item), F.array_remove(ordered, item))
-        .when(F.size(ordered) >= limit, ordered)
+        .when(_full(ordered, limit), ordered)
         .otherwise(F.array_append(ordered, item))
     )
 
@@ -149,23 +153,23 @@ def remove(ordered: Column, item: Column) -> Column:
     return F.array_remove(ordered, item)
 
 
-def parse_id_list(text: Column, limit: int = MAX_ITEMS) -> Column:
+def parse_id_list(text: Column, limit: int | None = None) -> Column:
     """JSON array of UUIDs; anything invalid gives the empty list."""
     uuid = r"^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
     return _json_list(text, limit, lambda x: F.rlike(x, F.lit(uuid)))
 
 
-def parse_tag_list(text: Column, limit: int = 32) -> Column:
+def parse_tag_list(text: Column, limit: int | None = None) -> Column:
     """JSON array of tags of 1 to 64 characters."""
     return _json_list(text, limit, lambda x: F.length(x).between(1, 64))
 
 
-def _json_list(text: Column, limit: int, valid) -> Column:
+def _json_list(text: Column, limit: int | None, valid) -> Column:
     empty = F.array().cast("array<string>")
     # Only arrays of strings: numbers and objects would be read as text otherwise.
     shape = F.rlike(text, F.lit(r'^\s*\[\s*("([^"\\]|\\.)*"\s*(,\s*"([^"\\]|\\.)*"\s*)*)?\]\s*$'))
     parsed = F.from_json(text, "array<string>")
-    ok = shape & (F.size(parsed) <= limit) & F.forall(parsed, valid)
+    ok = shape & (F.size(parsed) <= limit if limit is not None else F.lit(True)) & F.forall(parsed, valid)
     return F.when(F.coalesce(ok, F.lit(False)), parsed).otherwise(empty)
 
 

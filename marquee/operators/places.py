@@ -107,7 +107,7 @@ def city_points(spark) -> DataFrame:
     return spark.createDataFrame([(c[0], c[2], c[3]) for c in CITIES], "city string, c_lat double, c_lng double")
 
 
-def within_radius(places: DataFrame, km: float = 15.0, limit: int | None = 1000) -> DataFrame:
+def within_radius(places: DataFrame, km: float = 15.0, limit: int | None = None) -> DataFrame:
     """Places within ``km`` of each of the seven centroids, nearest first.
 
     Equi-join on grid cells at least ``km`` wide. The centroid side is constant
@@ -126,10 +126,8 @@ def within_radius(places: DataFrame, km: float = 15.0, limit: int | None = 1000)
         .join(F.broadcast(centres), ["gx", "gy"])
         .withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng")))
         .filter(F.col("km") <= km).drop("gx", "gy", "c_lat", "c_lng"))
-    if limit is None:
-        return hits
     order = Window.partitionBy("centre").orderBy("km", "id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return hits if limit is None else hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
 def search_grid(known: DataFrame) -> DataFrame:

@@ -10,10 +10,7 @@ from marquee.functions.scores import (
 from marquee.functions.text import dedupe_title, search_tokens
 
 MIN_QUERY = 2
-EVENT_POOL, PLACE_POOL = 400, 300
-EVENT_RESULTS, PLACE_RESULTS = 40, 15
-RERANK_EVENTS, RERANK_PLACES = 30, 10
-MAX_PICKS = 5
+EVENT_RESULTS, PLACE_RESULTS = 40, 15  # rows of a result page
 
 
 def normalize_query(text: str) -> str:
@@ -79,14 +76,14 @@ def place_candidates(rows: DataFrame) -> DataFrame:
 
 
 def search(listing: DataFrame, places: DataFrame, query: str) -> DataFrame:
-    """One ranked candidate list of events and places for ``query``."""
+    """One ranked page of events and places for ``query``; all rows are scored."""
     events = best(score_events(dedupe_for_search(listing), query), EVENT_RESULTS)
     spots = best(score_places(places, query), PLACE_RESULTS)
     return event_candidates(events).unionByName(place_candidates(spots))
 
 
-def apply_picks(picks: DataFrame, known: DataFrame, limit: int = MAX_PICKS) -> DataFrame:
-    """Picks per query: known ids only, first mention counts, at most five.
+def apply_picks(picks: DataFrame, known: DataFrame, limit: int) -> DataFrame:
+    """Picks per query: known ids only, first mention counts, the first ``limit`` of them.
 
     ``picks`` has query_id, pos, id, reason. The limit on ``row_number`` is
     applied before the shuffle as well (a group limit).

@@ -1,29 +1,44 @@
 """Keyed upsert with a content-hash gate.
 
-The stored table is joined from the left, so a small batch is broadcast to it
-by Spark's own size check and the stored rows are not shuffled; a large batch
-falls back to a shuffled join. Nothing is overwritten in place: the result is
-a new table for the caller to write to a new path.
+A batch is first reduced to one row per key. It then stands on the right of
+both joins with the stored table, so a small batch is broadcast by Spark's own
+size check and the stored rows are not shuffled; a large batch falls back to
+shuffled joins. Nothing is overwritten in place: the result is a new table for
+the caller to write to a new path.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from marquee.functions.clock import overlaps
 
 
-def last_per_key(batch: DataFrame, keys: list[str], arrival: str) -> DataFrame:
-    """Last row per key of a batch, as one-by-one processing would leave it."""
-    rest = [c for c in batch.columns if c not in keys]
-    return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), arrival).alias("row")).select(*keys, "row.*")
+def last_per_key(batch: DataFrame, keys: list[str], arrival: str | None = None) -> DataFrame:
+    """Last row per key of a batch, as one-by-one processing would leave it.
+
+    Rows that arrived together (or all rows, without ``arrival``) are decided by
+    their content. The limit on ``row_number`` is applied before the shuffle as
+    well, so a hot key sends one row for each task.
+    """
+    came = [F.col(arrival).desc_nulls_last()] if arrival else []
+    order = Window.partitionBy(*keys).orderBy(*came, F.xxhash64(*batch.columns))
+    return batch.withColumn("_at", F.row_number().over(order)).filter("_at = 1").drop("_at")
+
+
+def derived_id(keys: list[str], kind: T.DataType) -> Column:
+    """The id of a new row, from its key: the same row gets the same id on every attempt."""
+    if isinstance(kind, T.LongType):
+        return F.xxhash64(*keys)
+    if isinstance(kind, T.StringType):
+        return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), 256)
+    raise ValueError(f"no id can be derived for the type {kind.simpleString()}; give the batch an id column")
 
 
-def first_per_source(batch: DataFrame, limit: int = 60, source: str = "source_id", order: str = "id") -> DataFrame:
-    """At most ``limit`` rows per source in list order (a per-run limit of the feature)."""
-    from pyspark.sql import Window
+def first_per_source(batch: DataFrame, limit: int, source: str = "source_id", order: str = "id") -> DataFrame:
+    """At most ``limit`` rows per source in list order, for callers that want a report of that length."""
     at = F.row_number().over(Window.partitionBy(source).orderBy(order))
     return batch.withColumn("pos", at).filter(F.col("pos") <= limit)
 
@@ -36,6 +51,7 @@ def plan_upsert(
     gate: Column | None = None,
     identity: tuple[str, ...] = ("id",),
     reject: str | None = None,
+    arrival: str | None = None,
 ) -> DataFrame:
     """Stored and new rows with ``outcome`` and ``reason``.
 
@@ -43,8 +59,10 @@ def plan_upsert(
     with ``reject`` set is ``normalize_failed``; one outside ``gate`` is
     ``out_of_window``; others are ``updated`` or ``inserted``. Key and
     ``identity`` columns of a stored row never change. Rows the batch does not
-    name have a null outcome.
+    name have a null outcome. Of several batch rows with one key the last by
+    ``arrival`` counts. A new row without an ``id`` gets one derived from its key.
     """
+    batch = last_per_key(batch, keys, arrival)
     payload = [c for c in stored.columns if c not in keys]
     fresh = [c for c in payload if c in batch.columns and c not in identity and c != "last_seen_at"]
     failed = F.col(reject).isNotNull() if reject else F.lit(False)
@@ -68,17 +86,28 @@ def plan_upsert(
             for c in payload
         ],
         "outcome", "reason", F.lit(False).alias("is_new"))
-    unknown = checked.join(stored.select(*keys), keys, "left_anti")
+    # Stored keys are cut down to those of the batch first: an anti join could only broadcast the stored side.
+    known = stored.select(*keys).join(checked.select(*keys), keys, "left_semi")
+    unknown = checked.join(known, keys, "left_anti")
     reason = F.when(F.col("_failed"), "normalize_failed").when(~F.col("_inside"), "out_of_window")
     added = unknown.select(
         *keys,
-        *[F.lit(now).alias(c) if c == "last_seen_at" else F.col(c) if c in batch.columns
-          else F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in payload],
+        *[F.lit(now).alias(c) if c == "last_seen_at" else _new_id(batch, stored, keys) if c == "id"
+          else F.col(c) if c in batch.columns else F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in payload],
         F.when(reason.isNotNull(), "skipped").otherwise("inserted").alias("outcome"), reason.alias("reason"),
         F.lit(True).alias("is_new"))
     return kept.unionByName(added)
 
 
+def _new_id(batch: DataFrame, stored: DataFrame, keys: list[str]) -> Column:
+    kind = stored.schema["id"].dataType
+    if "id" not in batch.columns:
+        return derived_id(keys, kind).alias("id")
+    if isinstance(kind, (T.LongType, T.StringType)):
+        return F.coalesce(F.col("id").cast(kind), derived_id(keys, kind)).alias("id")
+    return F.col("id")
+
+
 def applied(plan: DataFrame) -> DataFrame:
     """The new table: stored rows and inserted ones; rejected new rows are left out."""
     rejected = F.col("is_new") & (F.col("outcome") == "skipped")
@@ -110,11 +139,15 @@ def run_log(plan: DataFrame, started: datetime, finished: datetime, errors: Data
 
 
 def upsert_sources(stored: DataFrame, adapters: DataFrame) -> DataFrame:
-    """Sources by slug: label and base URL refreshed, ids kept, new ones enabled."""
+    """Sources by slug: label and base URL refreshed, ids kept, new ones enabled.
+
+    A new source's id is the first 28 bits of a digest of its slug.
+    """
+    new_id = F.conv(F.substring(F.md5("source_slug"), 1, 7), 16, 10).cast(stored.schema["source_id"].dataType)
     fresh = adapters.select("source_slug", F.col("source_label").alias("_label"), F.col("base_url").alias("_url"))
     both = stored.join(fresh, "source_slug", "full_outer")
     return both.select(
-        "source_slug", "source_id", F.coalesce("_label", "source_label").alias("source_label"),
+        "source_slug", F.coalesce("source_id", new_id).alias("source_id"), F.coalesce("_label", "source_label").alias("source_label"),
         F.coalesce("_url", "base_url").alias("base_url"), F.coalesce("enabled", F.lit(True)).alias("enabled"))
 
 
@@ -124,15 +157,13 @@ def touch(rows: DataFrame, source_id, now: datetime) -> DataFrame:
         F.col("source_id") == source_id, F.lit(now)).otherwise(F.col("last_seen_at")))
 
 
-def write_table(df: DataFrame, path: str, by_day: str | None = None, files_per_day: int = 4) -> None:
+def write_table(df: DataFrame, path: str, by_day: str | None = None) -> None:
     """Write to a new path, split by UTC day of ``by_day`` when given.
 
-    A hot day is spread over ``files_per_day`` tasks, then over more by adaptive
-    rebalancing.
+    The rebalance hint lets adaptive execution split a hot day and join small ones.
     """
     if by_day is None:
         df.write.parquet(path)
         return
-    salt = F.pmod(F.xxhash64(*df.columns[:1]), F.lit(files_per_day))
     day = df.withColumn("day", F.to_date(by_day))
-    day.repartition("day", salt).write.partitionBy("day").parquet(path)
+    day.hint("rebalance", "day").write.partitionBy("day").parquet(path)

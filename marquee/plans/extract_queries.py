@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 from marquee.functions import clock, prices, urls
 from marquee.operators import normalize as N
 from marquee.plans.registry import query
-from marquee.plans.views import ny
+from marquee.plans.views import local_instant, ny
 from marquee.schemas import EXTRACTED_EVENT_TYPES
 from marquee.sources import feeds as X, html as H, links as K, reduce as D, structured as J
 
@@ -210,13 +210,13 @@ def reduced_pages(t):
 
 
 @query("reduced_listing_pages", f"""SELECT id, CASE WHEN id % 4 = 3 THEN '' ELSE 'JSON-LD:' || chr(10) || '{{"@type":"Event","id":' || id || '}}' || chr(10) || chr(10) END
- || 'MetaTags:' || chr(10) || 'og:title: ' || title || chr(10) || chr(10) || 'Text:' || chr(10) || title || ' at ' || venue_name AS reduced FROM v_listings""")
+ || 'MetaTags:' || chr(10) || 'og:title: ' || title || chr(10) || chr(10) || 'Text:' || chr(10) || title || ' at ' || venue_name || CASE WHEN id % 4 = 2 THEN ' ' || trim(repeat('long ', 4000)) ELSE '' END AS reduced FROM v_listings""")
 def reduced_listing_pages(t):
     i = F.col("id")
     kind = F.when(i % 4 == 3, "Place").otherwise("Event")
     page = cat(
         '<html><head><meta property="og:title" content="', F.col("title"), '"><meta name="robots" content="x"><script type="application/ld+json">{"@type":"', kind, '","id":', i,
-        "}</script></head><body><nav>menu</nav><article>", F.col("title"), "  at <b>", F.col("venue_name"),
+        "}</script></head><body><nav>menu</nav><article>", F.col("title"), "  at <b>", F.col("venue_name"), F.when(i % 4 == 2, F.repeat(F.lit(" long"), 4000)).otherwise(""),
         '</b><form>no</form><div aria-hidden="true">no<p>no</div><!-- c --><footer>foot</footer></article><p>after</p></body></html>')
     return t.listings("id", "title", "venue_name").select("id", D.reduced_text(page).alias("reduced"))
 
@@ -337,13 +337,12 @@ def parsed_prices(t):
 
 
 @query("normalized_events", f"""WITH {_JSONLD}, loc AS (SELECT *, CASE WHEN id % 3 = 2 THEN NULL END AS z FROM jl)
-SELECT loc.id, title, city, CASE WHEN loc.id % 3 = 2 THEN s.start_at WHEN loc.id % 3 = 0 THEN (s.start_at AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC')
+SELECT loc.id, title, city, CASE WHEN loc.id % 3 = 2 THEN s.start_at WHEN loc.id % 3 = 0 THEN {local_instant('s.start_at')}
   ELSE (CAST(CAST(s.start_at AS DATE) AS TIMESTAMP) AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC') END AS start_at,
   price_min, ticket_url, status AS ticket_status, loc.image_url, CASE WHEN loc.id % 5 = 3 THEN 2 END AS tiers, CAST(NULL AS VARCHAR) AS reject_reason
-FROM loc JOIN (SELECT id, start_at FROM v_listings) s ON s.id = loc.id WHERE extract(hour FROM s.start_at) > 3""")
+FROM loc JOIN (SELECT id, start_at FROM v_listings) s ON s.id = loc.id""")
 def normalized_events(t):
-    # Hours 0 to 3 are left out: a wall time inside a clock change names no single instant.
-    rows = jsonld(t).join(t.listings("id", "start_at").filter(F.hour("start_at") > 3).select("id"), "id", "left_semi")
+    rows = jsonld(t)
     out = N.normalize_events(rows.withColumn("content_hash", N.structured_hash()), ["id"])
     return out.select("id", "title", "city", "start_at", F.col("price_min").cast("double").alias("price_min"), "ticket_url",
                       "ticket_status", "image_url", F.size("price_tiers").alias("tiers"), "reject_reason")

@@ -12,11 +12,13 @@ from marquee.operators import listing, normalize, resolve, upsert
 KEYS = ["source_id", "source_event_id"]
 
 
-def ingest(stored: DataFrame, extracted: DataFrame, now: datetime) -> DataFrame:
+def ingest(stored: DataFrame, extracted: DataFrame, now: datetime, arrival: str | None = None) -> DataFrame:
     """Extracted events of one batch against the stored table: an upsert plan.
 
-    ``extracted`` has the key columns, the extracted columns and event_url.
+    ``extracted`` has the key columns, the extracted columns and event_url. Of
+    several rows with one key the last by ``arrival`` counts.
     """
+    extracted = upsert.last_per_key(extracted, KEYS, arrival)
     batch = extracted if "content_hash" in extracted.columns else extracted.withColumn(
         "content_hash", normalize.structured_hash())
     rows = normalize.normalize_events(batch, KEYS)

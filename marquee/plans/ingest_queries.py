@@ -46,6 +46,18 @@ def upsert_result(t):
     return U.applied(plan(t)).select("id", "source_event_id", "title", "start_at", "last_seen_at")
 
 
+@query("upsert_duplicate_keys", f"""WITH {_PLAN}
+SELECT l.id, coalesce(CASE WHEN outcome = 'updated' THEN 'later ' || p.title END, l.title) AS title
+FROM v_listings l LEFT JOIN plan p USING (source_id, source_event_id)
+UNION ALL SELECT id, 'later ' || title FROM plan WHERE outcome = 'inserted'""")
+def upsert_duplicate_keys(t):
+    one = t.incoming().withColumn("came", F.lit(1))
+    two = one.withColumns({"title": F.concat(F.lit("later "), "title"), "came": F.lit(2)})
+    rows = U.plan_upsert(t.listings(), two.unionByName(one), KEYS, NOW, U.window_gate(*GATE),
+                         identity=("id", "canonical_id"), arrival="came")
+    return U.applied(rows).select("id", "title")
+
+
 @query("upsert_run_stats", f"""WITH {_PLAN} SELECT source_id, count(*) AS seen, count(*) FILTER (WHERE outcome = 'inserted') AS inserted,
   count(*) FILTER (WHERE outcome = 'updated') AS updated, count(*) FILTER (WHERE outcome = 'skipped') AS skipped FROM plan GROUP BY ROLLUP (source_id)""")
 def upsert_run_stats(t):
@@ -68,7 +80,7 @@ def batch_last_per_key(t):
 
 @query("first_sixty_per_source", "SELECT source_id, id, row_number() OVER (PARTITION BY source_id ORDER BY id) AS pos FROM v_listings QUALIFY pos <= 60")
 def first_sixty_per_source(t):
-    return U.first_per_source(t.listings("source_id", "id")).select("source_id", "id", "pos")
+    return U.first_per_source(t.listings("source_id", "id"), limit=60).select("source_id", "id", "pos")
 
 
 @query("listing_pages_first_per_url", """WITH p AS (SELECT image_url AS url, id % 3 AS page, id AS pos FROM v_listings WHERE image_url LIKE 'http%'
@@ -82,14 +94,15 @@ def listing_pages_first_per_url(t):
     return pages.groupBy("url").agg(first.alias("f")).select("url", "f.page", "f.pos")
 
 
-@query("source_upsert", """SELECT coalesce(s.source_slug, a.slug) AS source_slug, source_id, coalesce(a.label, s.source_label) AS source_label, coalesce(enabled, true) AS enabled
+@query("source_upsert", """SELECT coalesce(s.source_slug, a.slug) AS source_slug, coalesce(source_id, CAST('0x' || substr(md5(a.slug), 1, 7) AS INTEGER)) AS source_id,
+  coalesce(a.label, s.source_label) AS source_label, CASE WHEN a.slug IS NOT NULL THEN 'https://x.example.com' END AS base_url, coalesce(enabled, true) AS enabled
 FROM v_sources s FULL JOIN (SELECT 'src_' || (s_suppkey * 2) AS slug, 'New ' || s_name AS label FROM supplier) a ON a.slug = s.source_slug""")
 def source_upsert(t):
     adapters = t.raw("supplier").select(
         F.concat(F.lit("src_"), F.col("s_suppkey") * 2).alias("source_slug"),
         F.concat(F.lit("New "), "s_name").alias("source_label"), F.lit("https://x.example.com").alias("base_url"))
     stored = t.sources().withColumn("base_url", F.lit(None).cast("string"))
-    return U.upsert_sources(stored, adapters).select("source_slug", "source_id", "source_label", "enabled")
+    return U.upsert_sources(stored, adapters).select("source_slug", "source_id", "source_label", "base_url", "enabled")
 
 
 @query("place_upsert", f"""WITH b AS (SELECT id, name, id % 3 AS m FROM v_places WHERE id % 4 <> 0),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marquee.functions import clock, prices, tags
 from marquee.operators import listing as L, resolve as R
 from marquee.plans.registry import query
-from marquee.plans.views import NOW, NOW_SQL, ny
+from marquee.plans.views import NOW, NOW_SQL, local_instant, ny
 from marquee.session import cut_lineage
 
 WEEK = clock.window_bounds("week", NOW)
@@ -298,10 +298,10 @@ def groups_with_visible_events(t):
     return t.canonicals().select("canonical_id").join(rows.select("canonical_id"), "canonical_id", "left_semi")
 
 
-@query("groups_without_events", f"SELECT canonical_id FROM v_canonical c WHERE NOT EXISTS (SELECT 1 FROM v_listings l WHERE l.canonical_id = c.canonical_id AND {YEAR_SQL})")
+@query("groups_without_events", f"SELECT canonical_id FROM v_canonical c WHERE NOT EXISTS (SELECT 1 FROM v_listings l WHERE l.canonical_id = c.canonical_id)")
 def groups_without_events(t):
     return t.canonicals().select("canonical_id").join(
-        t.listings("canonical_id", "start_at", start=YEAR), "canonical_id", "left_anti")
+        t.listings("canonical_id"), "canonical_id", "left_anti")
 
 
 @query("groups_to_refresh", f"""SELECT canonical_id, editorial_updated_at FROM v_canonical
@@ -375,13 +375,12 @@ def end_of_local_week(t):
     return t.listings("id", "start_at").select("id", clock.end_of_week(F.col("start_at")).alias("week_end"))
 
 
-@query("parse_local_times", f"""SELECT id, (start_at AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC') AS from_minutes,
+@query("parse_local_times", f"""SELECT id, {local_instant('start_at')} AS from_minutes,
   (CAST(CAST(start_at AS DATE) AS TIMESTAMP) AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC') AS from_date,
-  CAST(NULL AS TIMESTAMP) AS from_junk FROM v_listings WHERE extract(hour FROM start_at) > 3""")
+  CAST(NULL AS TIMESTAMP) AS from_junk FROM v_listings""")
 def parse_local_times(t):
-    # Hours 0 to 3 are left out: a wall time inside the spring gap names no instant.
     s = F.col("start_at")
-    return t.listings("id", "start_at").filter(F.hour(s) > 3).select(
+    return t.listings("id", "start_at").select(
         "id", clock.parse_local(F.date_format(s, "yyyy-MM-dd'T'HH:mm")).alias("from_minutes"),
         clock.parse_local(F.date_format(s, "yyyy-MM-dd")).alias("from_date"),
         clock.parse_local(F.concat(F.lit("x"), F.col("id"))).alias("from_junk"))

@@ -150,9 +150,9 @@ _CENTRES = "cities AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c[0]}', {c[
 
 
 @query("places_in_radius", f"""WITH {_CENTRES}, d AS (SELECT id, centre, {hav('lat', 'lng', 'c_lat', 'c_lng')} AS km FROM v_places, cities)
-SELECT id, centre, round(km, 6) AS km, row_number() OVER (PARTITION BY centre ORDER BY d.km, id) AS rank FROM d WHERE d.km <= 15 QUALIFY rank <= 1000""")
+SELECT id, centre, round(km, 6) AS km FROM d WHERE d.km <= 15""")
 def places_in_radius(t):
-    return P.within_radius(t.places()).select("id", "centre", F.round("km", 6).alias("km"), "rank")
+    return P.within_radius(t.places()).select("id", "centre", F.round("km", 6).alias("km"))
 
 
 @query("places_nearest_city", f"""WITH {_CENTRES}, d AS (SELECT id, pos, centre, lat, lng, {hav('lat', 'lng', 'c_lat', 'c_lng')} AS km FROM v_places, cities)

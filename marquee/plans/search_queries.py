@@ -71,15 +71,14 @@ def _top_places(n: int) -> str:
     return f"pl AS (SELECT * FROM v_places ORDER BY editorial_score DESC NULLS LAST, name LIMIT {n})"
 
 
-@query("search", f"""WITH {listed(YEAR_SQL)}, pool AS (SELECT * FROM scored ORDER BY scored.rank_score DESC, start_at, id LIMIT 400), {deduped('pool')},
-ev AS (SELECT *, {score_sql(scores.EVENT_POINTS, 'building art')} AS score FROM dd), {_top_places(300)},
-ps AS (SELECT *, {score_sql(scores.PLACE_POINTS, 'building art')} AS score FROM pl)
+@query("search", f"""WITH {listed(YEAR_SQL)}, {deduped('scored')},
+ev AS (SELECT *, {score_sql(scores.EVENT_POINTS, 'building art')} AS score FROM dd),
+ps AS (SELECT *, {score_sql(scores.PLACE_POINTS, 'building art')} AS score FROM v_places)
 SELECT * FROM (SELECT 'e' || id AS id, 'event' AS type, title, city, round(score, 6) AS score FROM ev WHERE score > 0 ORDER BY ev.score DESC, ev.id LIMIT 40)
 UNION ALL SELECT * FROM (SELECT 'p' || id, 'place', name, city, round(score, 6) FROM ps WHERE score > 0 ORDER BY ps.score DESC, ps.id LIMIT 15)""")
 def search(t):
-    pool = L.top(L.listing(rows_in(t, YEAR), t.canonicals(), NOW), S.EVENT_POOL)
-    places = P.ranked_places(t.places(), S.PLACE_POOL)
-    return S.search(pool, places, "building art").select("id", "type", "title", "city", F.round("score", 6).alias("score"))
+    pool = L.listing(rows_in(t, YEAR), t.canonicals(), NOW)
+    return S.search(pool, t.places(), "building art").select("id", "type", "title", "city", F.round("score", 6).alias("score"))
 
 
 _PICKS = """picks AS (SELECT l_suppkey AS query_id, l_linenumber * 1000000 + l_partkey AS pos, l_orderkey AS id, l_returnflag AS reason FROM lineitem),
@@ -96,13 +95,13 @@ def _picks(t):
 
 @query("curated_picks", f"WITH {_PICKS} SELECT query_id, id, reason, rank FROM chosen")
 def curated_picks(t):
-    return S.apply_picks(_picks(t), t.listings("id", "is_free").filter("is_free"))
+    return S.apply_picks(_picks(t), t.listings("id", "is_free").filter("is_free"), limit=5)
 
 
 @query("results_without_picks", f"WITH {_PICKS} SELECT id FROM known WHERE id NOT IN (SELECT id FROM chosen)")
 def results_without_picks(t):
     known = t.listings("id", "is_free").filter("is_free").select("id")
-    return S.without_picks(known, S.apply_picks(_picks(t), known))
+    return S.without_picks(known, S.apply_picks(_picks(t), known, limit=5))
 
 
 @query("title_keys", f"""SELECT id, {_TKEY} AS dedupe_key,

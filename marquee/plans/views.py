@@ -272,6 +272,13 @@ def ny(expr: str) -> str:
     return f"(({expr}) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York')"
 
 
+def local_instant(expr: str) -> str:
+    """SQL: New York wall clock to UTC; in the hour that the autumn change repeats the earlier instant."""
+    u = f"(({expr}) AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC')"
+    before = f"({u} - INTERVAL 1 HOUR)"
+    return f"(CASE WHEN {ny(before)} = ({expr}) THEN {before} ELSE {u} END)"
+
+
 _CITY_SQL = "[" + ", ".join(f"'{c}'" for c in CITY_KEYS) + "][CAST({} % 8 AS INTEGER) + 1]"
 
 SQL_VIEWS: dict[str, str] = {

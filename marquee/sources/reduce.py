@@ -7,13 +7,13 @@ standard library's; pages stay partitioned as Spark read them.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-LIMIT = 16_000
 _DROP_TAGS = {"script", "style", "noscript", "iframe", "svg", "nav", "footer", "form", "link", "meta"}
 _DROP_ROLES = {"navigation", "banner", "contentinfo"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -27,6 +27,7 @@ class _Reader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        self.count: Counter[str] = Counter()  # open tags by name, so that depth costs nothing
         self.stack: list[tuple[str, bool, list[int]]] = []  # tag, dropped, roots opened here
         self.roots: dict[int, list[str]] = {}  # rank of the root -> text parts
         self.open: list[int] = []
@@ -53,18 +54,19 @@ class _Reader(HTMLParser):
         inside = self.stack and self.stack[-1][1]
         opened: list[int] = []
         if not (dropped or inside):
-            tags = [t for t, _, _ in self.stack]
             ranks = [
-                tag == "article" and "main" in tags, tag == "article", tag == "main", a.get("role") == "main",
+                tag == "article" and self.count["main"] > 0, tag == "article", tag == "main", a.get("role") == "main",
                 a.get("id") == "content", "content" in a.get("class", "").split()]
             opened = [r for r, hit in enumerate(ranks) if hit and r not in self.roots]
             for r in opened:
                 self.roots[r] = []
             self.open += opened
         self.stack.append((tag, bool(dropped or inside), opened))
+        self.count[tag] += 1
 
     def _close(self) -> None:
-        _, _, opened = self.stack.pop()
+        tag, _, opened = self.stack.pop()
+        self.count[tag] -= 1
         for r in opened:
             self.open.remove(r)
 
@@ -72,7 +74,7 @@ class _Reader(HTMLParser):
         if tag == "script" and self._script is not None:
             self.jsonld.append("".join(self._script).strip())
             self._script = None
-        if any(t == tag for t, _, _ in self.stack):
+        if self.count[tag]:
             while True:
                 done = self.stack[-1][0] == tag
                 self._close()
@@ -84,7 +86,7 @@ class _Reader(HTMLParser):
             self._script.append(data)
         if self.stack and self.stack[-1][1]:
             return
-        if any(t in ("head", "title") for t, _, _ in self.stack):
+        if self.count["head"] or self.count["title"]:
             return
         self.body.append(data)
         for r in self.open:
@@ -92,17 +94,17 @@ class _Reader(HTMLParser):
 
 
 def reduce_page(html: str) -> str:
+    """The whole reduced text; a caller that needs a shorter one cuts it."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
     parts = reader.roots[min(reader.roots)] if reader.roots else reader.body
     text = re.sub(r"[ \t ]+", " ", "".join(parts))
     text = re.sub(r"\n{3,}", "\n\n", text).strip()
-    blobs = [b for b in reader.jsonld if b and len(b) < 4_000 and re.search("event", b, re.I)]
+    blobs = [b for b in reader.jsonld if b and re.search("event", b, re.I)]
     out = ("JSON-LD:\n" + "\n---\n".join(blobs) + "\n\n") if blobs else ""
     out += ("MetaTags:\n" + "\n".join(reader.meta) + "\n\n") if reader.meta else ""
-    out += f"Text:\n{text}"
-    return f"{out[:LIMIT]}\n…[truncated]" if len(out) > LIMIT else out
+    return f"{out}Text:\n{text}"
 
 
 @F.pandas_udf(StringType())

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from marquee.operators.logs import accepted_metrics
-from marquee.operators.upsert import applied, last_per_key, plan_upsert
+from marquee.operators.upsert import applied, plan_upsert
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -43,8 +43,7 @@ def start_upserts(
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = spark.read.parquet(f"{root}/version={batch_id}")
-        rows = last_per_key(batch, keys, arrival)
-        plan = plan_upsert(stored, rows, keys, now(), gate, identity)
+        plan = plan_upsert(stored, batch, keys, now(), gate, identity, arrival=arrival)
         applied(plan).write.mode("overwrite").parquet(f"{root}/version={batch_id + 1}")
 
     return (

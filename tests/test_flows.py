@@ -33,9 +33,16 @@ def test_identity_is_kept_and_last_row_wins(spark):
     old = datetime(2020, 1, 1)
     stored = spark.createDataFrame([(1, "a", "A", "h", old, 0)], schema)
     batch = spark.createDataFrame([(9, "a", "B", "x", old, 1), (9, "a", "C", "y", old, 2)], schema)
-    plan = upsert.plan_upsert(stored, upsert.last_per_key(batch, ["k"], "n"), ["k"], NOW)
-    row = plan.first()
-    assert (row["id"], row["title"], row["outcome"]) == (1, "C", "updated")
+    plan = upsert.plan_upsert(stored, batch, ["k"], NOW, arrival="n").collect()
+    assert [(r["id"], r["title"], r["outcome"]) for r in plan] == [(1, "C", "updated")]
+
+
+def test_small_batch_leaves_stored_rows_in_place(spark):
+    stored = spark.range(1_000_000).selectExpr("id", "cast(id as string) k", "'t' title", "'h' content_hash", "now() last_seen_at", "0 n")
+    batch = spark.createDataFrame([("7", "B", "x", 1), ("new", "C", "y", 2)], "k string, title string, content_hash string, n int")
+    plan = upsert.plan_upsert(stored, batch, ["k"], NOW, arrival="n")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") >= 3
 
 
 def test_groups_stay_when_nothing_expires(spark):
@@ -78,7 +85,8 @@ def test_page_to_listing(spark):
     plan = cut_lineage(flows.ingest(stored, batch, NOW))
     counts = {r["outcome"]: r["count"] for r in plan.groupBy("outcome").count().collect()}
     assert counts["inserted"] > 0 and counts["skipped"] > 0
-    table = upsert.applied(plan).withColumn("id", F.col("source_event_id").cast("bigint"))
+    table = upsert.applied(plan)
+    assert table.filter("id is null").count() == 0 and table.select("id").distinct().count() == table.count()
     sources = spark.createDataFrame([(1, "src", True)], "source_id int, source_slug string, enabled boolean")
     grouped = flows.regroup(table, sources)
     assert grouped.count() == table.count() and grouped.filter("canonical_id is null").count() == 0
@@ -108,7 +116,7 @@ def test_stream_upserts_equal_batch(spark, tmp_path):
     stream = ingest.file_stream(spark, source, batch.schema)
     query = ingest.start_upserts(stream, root, str(tmp_path / "cp"), KEYS, "arrival", lambda: NOW, ("id", "canonical_id"))
     query.awaitTermination(120)
-    want = upsert.applied(upsert.plan_upsert(stored, upsert.last_per_key(batch, KEYS, "arrival"), KEYS, NOW, identity=("id", "canonical_id")))
+    want = upsert.applied(upsert.plan_upsert(stored, batch, KEYS, NOW, identity=("id", "canonical_id"), arrival="arrival"))
     assert rows(spark.read.parquet(f"{root}/version=1")) == rows(want)
 
 
