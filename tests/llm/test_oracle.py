@@ -1,0 +1,14 @@
+"""Queries of the subpackage that SQL can express, against their SQL."""
+
+import pytest
+
+import check
+from marquee.llm import catalog
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_query_matches_sql(spark, name):
+    ok, rows, why = check.compare(spark, check.connect(SF), name, catalog.QUERIES[name], catalog.ORACLES[name], SF)
+    assert ok and rows > 0, why
