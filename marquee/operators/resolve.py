@@ -317,8 +317,23 @@ _ROW = ["id", "title_key", "tokens", "venue_key", "address_key", "long", "all_da
         "start_at", "day_low", "day_high", "city"]
 
 
+def without_copies(keyed: DataFrame) -> DataFrame:
+    """One row, with the smallest id, for all rows that agree in everything the match rule reads.
+
+    Such rows match each other and the same others, so links of one of them
+    stand for those of all. Counted up before the shuffle: a title that is
+    listed a thousand times for one moment and place is one row.
+    """
+    same = [c for c in [*_ROW, "kind", "slot"] if c not in ("id", "tokens")]
+    return keyed.groupBy(*same).agg(F.min("id").alias("id")).withColumn("tokens", match_tokens(F.col("title_key")))
+
+
 def similar_pairs(keyed: DataFrame) -> DataFrame:
-    """Matching pairs of listings whose titles differ, as (a, b) with ``a < b``."""
+    """Matching pairs of listings whose titles differ, as (a, b) with ``a < b``.
+
+    This lists every pair, as a report; groups are formed from the pairs of
+    ``without_copies(keyed)``.
+    """
     pairs = cut_lineage(similar_titles(keyed))
     rows = _blocks(keyed.withColumn("bin", F.floor(F.col("slot") / BIN_SLOTS)))
     used = [*_ROW, "block", "visitor", "bin"]
@@ -341,11 +356,12 @@ def similar_pairs(keyed: DataFrame) -> DataFrame:
 # --- groups ----------------------------------------------------------------
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the smallest id.
 
     Alternating large-star and small-star rounds: each halves the depth of long
-    chains, and a hot node only ever meets its own minimum in a join.
+    chains, and a hot node only ever meets its own minimum in a join. The rounds
+    end when one changes nothing; labels only ever get smaller.
     """
 
     def distinct_links(df: DataFrame) -> DataFrame:
@@ -357,9 +373,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     links = cut_lineage(distinct_links(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
     before = signature(links)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
+    while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = distinct_links(
@@ -373,8 +387,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     roots = links.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
@@ -392,7 +404,7 @@ def duplicate_groups(listings: DataFrame, prior: str | None = None) -> DataFrame
     nodes = cut_lineage(where.join(cells.select(*CELL, "node"), CELL, "left").select(
         "id", F.coalesce("node", "id").alias("node"), *([prior] if prior else [])))
     node_of = nodes.select("id", "node")
-    similar = similar_pairs(keyed)
+    similar = similar_pairs(cut_lineage(without_copies(keyed)))
     edges = equal_title_edges(cells).unionByName(
         similar.join(node_of.select(F.col("id").alias("a"), F.col("node").alias("na")), "a")
         .join(node_of.select(F.col("id").alias("b"), F.col("node").alias("nb")), "b")

@@ -39,7 +39,7 @@ def test_identity_is_kept_and_last_row_wins(spark):
 
 def test_small_batch_leaves_stored_rows_in_place(spark):
     stored = spark.range(1_000_000).selectExpr("id", "cast(id as string) k", "'t' title", "'h' content_hash", "now() last_seen_at", "0 n")
-    batch = spark.createDataFrame([("7", "B", "x", 1), ("new", "C", "y", 2)], "k string, title string, content_hash string, n int")
+    batch = spark.sql("SELECT * FROM VALUES ('7', 'B', 'x', 1), ('new', 'C', 'y', 2) AS t(k, title, content_hash, n)")
     plan = upsert.plan_upsert(stored, batch, ["k"], NOW, arrival="n")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") >= 3

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as spark_entry
 import check
+from marquee.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = spark_entry.queries(), spark_entry.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")

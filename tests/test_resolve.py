@@ -92,6 +92,17 @@ def test_one_hot_title(spark):
     assert groups.count() == 30000
 
 
+def test_hot_similar_titles(spark):
+    """Three similar titles of 20,000 rows each at one moment: one row of each is compared."""
+    title = F.element_at(F.array(F.lit("tampa river jazz fest"), F.lit("river jazz fest"), F.lit("the river jazz fest show")), (F.col("id") % 3 + 1).cast("int"))
+    hot = spark.range(60000).select(
+        "id", title.alias("title"), F.lit("tampa").alias("city"), F.lit(BASE).alias("start_at"), F.lit(None).cast("timestamp").alias("end_at"),
+        F.lit(False).alias("all_day"), F.lit("Hall").alias("venue_name"), F.lit(None).cast("string").alias("address"))
+    pairs = R.similar_pairs(R.without_copies(R.keyed_rows(hot)))
+    assert pairs.count() <= 3
+    assert R.duplicate_groups(hot).filter("group_id = 0").count() == 60000
+
+
 def test_long_chain_settles(spark):
     edges = spark.range(500).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     out = R.connected_components(edges)
