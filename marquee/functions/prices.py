@@ -45,17 +45,17 @@ def model_cost(model: Column, prompt: Column, completion: Column) -> Column:
 
 
 def price_tiers(tiers: Column) -> Column:
-    """At most eight tiers; names to 80 characters, currency to three capitals."""
+    """All tiers, currency to three capitals; ``validate`` flags names that are too long."""
 
     def clean(t: Column) -> Column:
         return F.struct(
-            F.substring(F.coalesce(t["name"], F.lit("Ticket")), 1, 80).alias("name"),
+            F.coalesce(t["name"], F.lit("Ticket")).alias("name"),
             F.when(~F.isnan(t["min"]), t["min"]).alias("min"),
             F.when(~F.isnan(t["max"]), t["max"]).alias("max"),
             currency(t["currency"]).alias("currency"),
         )
 
-    return F.when(F.size(tiers) > 0, F.transform(F.slice(tiers, 1, 8), clean))
+    return F.when(F.size(tiers) > 0, F.transform(tiers, clean))
 
 
 def default_offer(offer: Column, page_url: Column, is_free: Column) -> Column:

@@ -16,11 +16,15 @@ def _pieces(raw: Column) -> Column:
     return F.filter(F.transform(F.split(head, r"\s+&\s+"), strip), lambda p: p != "")
 
 
-def canonical_tags(categories: Column, limit: int = 6) -> Column:
-    """Aliased tags of at most 16 characters, first occurrence first."""
+def _first(tags: Column, limit: int | None) -> Column:
+    return tags if limit is None else F.slice(tags, 1, limit)
+
+
+def canonical_tags(categories: Column, limit: int | None = None) -> Column:
+    """Aliased tags, first occurrence first; all of them unless ``limit`` says otherwise."""
     pieces = F.flatten(F.transform(F.coalesce(categories, F.array().cast(EMPTY)), _pieces))
     aliased = F.transform(pieces, lambda p: lookup(TAG_ALIASES, p, p))
-    return F.slice(F.array_distinct(F.filter(aliased, lambda t: F.length(t) <= 16)), 1, limit)
+    return _first(F.array_distinct(aliased), limit)
 
 
 def canonical_tag(raw: Column) -> Column:
@@ -41,11 +45,11 @@ def matches_tags(categories: Column, wanted: list[str]) -> Column:
     return F.arrays_overlap(tag_set(categories), F.array(*[F.lit(w) for w in wanted]))
 
 
-def plain_tags(raw: Column, limit: int = 6, max_length: int | None = None) -> Column:
+def plain_tags(raw: Column, limit: int | None = None, max_length: int | None = None) -> Column:
     """Lower-cased trimmed tags without aliases."""
     tags = F.transform(F.coalesce(raw, F.array().cast(EMPTY)), lambda t: F.lower(strip(t)))
     keep = F.filter(
         tags,
         lambda t: (t != "") & (F.length(t) <= max_length if max_length else F.lit(True)),
     )
-    return F.slice(F.array_distinct(keep), 1, limit)
+    return _first(F.array_distinct(keep), limit)

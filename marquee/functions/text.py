@@ -133,13 +133,14 @@ def name_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^a-z0-9]", "")
 
 
-def slugify(c: Column, limit: int = 100) -> Column:
+def slugify(c: Column) -> Column:
+    """Whole slugs: a cut one could be the key of two places."""
     slug = F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-")
-    return F.substring(F.regexp_replace(slug, r"^-+|-+$", ""), 1, limit)
+    return F.regexp_replace(slug, r"^-+|-+$", "")
 
 
 def place_slug(name: Column, city: Column) -> Column:
-    slug = slugify(F.concat_ws("-", name, city), 80)
+    slug = slugify(F.concat_ws("-", name, city))
     return F.coalesce(nonempty(slug), F.lit("place"))
 
 

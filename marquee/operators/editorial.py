@@ -81,7 +81,7 @@ def editorial_inputs(members: DataFrame, group: str = "canonical_id") -> DataFra
 def fallback_editorial(title: Column, description: Column, hints: Column, categories: Column) -> Column:
     source = F.coalesce(nonempty(html_to_text(description)), clean_inline(title))
     return F.struct(
-        F.substring(clean_inline(title), 1, 120).alias("deduped_title"),
+        clean_inline(title).alias("deduped_title"),
         ellipsis(source, 140).alias("summary"),
         F.array(F.lit("cultural")).alias("vibes"),
         F.lit("all_ages").alias("audience"),
@@ -184,8 +184,8 @@ def refresh_places(places: DataFrame, curated: DataFrame, now: datetime) -> Data
     base = F.when(has, F.col("c_score")).otherwise(0.5)
     values = {
         "summary": F.when(has, F.col("c_summary")).otherwise(ellipsis(F.coalesce("description", "name"), 200)),
-        "vibes": F.when(has, F.slice("c_vibes", 1, 5)).otherwise(empty),
-        "tags": F.when(has, F.slice("c_tags", 1, 6)).otherwise(F.array("category")),
+        "vibes": F.when(has, F.col("c_vibes")).otherwise(empty),
+        "tags": F.when(has, F.col("c_tags")).otherwise(F.array("category")),
         "why_its_cool": F.when(has, F.col("c_why")),
         "editorial_score": blend_score(base, F.col("web_rating"), F.col("web_review_count")),
         "editorial_hash": F.col("new_hash"),

@@ -77,6 +77,6 @@ def normalize_places(extracted: DataFrame, keys: list[str]) -> DataFrame:
         refine_city(F.col("city"), where).alias("city"), "address",
         F.when(finite(F.col("lat")), F.col("lat")).alias("lat"), F.when(finite(F.col("lng")), F.col("lng")).alias("lng"),
         http_url(F.col("image_url")).alias("image_url"), http_url(F.col("website_url")).alias("website_url"),
-        nonempty(F.substring(clean_inline(F.col("phone_number")), 1, 30)).alias("phone_number"),
+        nonempty(clean_inline(F.col("phone_number"))).alias("phone_number"),
         price_range(F.col("price_range")).alias("price_range"), "hours",
         F.when(F.col("name") == "", "empty name after sanitization").alias("reject_reason"))

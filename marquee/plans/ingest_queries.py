@@ -238,7 +238,7 @@ _FALL = "array_to_string(CASE WHEN true THEN [x] END, '')"
 
 @query("editorial_refresh", f"""WITH {_MEM}
 SELECT p.canonical_id, p.canonical_id % 4 <> 2 AS refreshed,
-  CASE WHEN p.canonical_id % 4 = 2 THEN NULL WHEN p.canonical_id % 3 <> 1 AND p.canonical_id % 9 <> 0 THEN 'Curated ' || p.canonical_id ELSE left(title, 120) END AS deduped_title,
+  CASE WHEN p.canonical_id % 4 = 2 THEN NULL WHEN p.canonical_id % 3 <> 1 AND p.canonical_id % 9 <> 0 THEN 'Curated ' || p.canonical_id ELSE title END AS deduped_title,
   CASE WHEN p.canonical_id % 4 = 2 THEN NULL WHEN p.canonical_id % 3 <> 1 AND p.canonical_id % 9 <> 0 THEN 'Summary ' || p.canonical_id ELSE coalesce(description, title) END AS summary,
   CASE WHEN p.canonical_id % 4 = 2 THEN NULL WHEN p.canonical_id % 3 <> 1 AND p.canonical_id % 9 <> 0 THEN 'film|music' END AS curated_tags,
   CASE WHEN p.canonical_id % 4 = 2 THEN NULL WHEN p.canonical_id % 3 <> 1 AND p.canonical_id % 9 <> 0 THEN 0.75 ELSE 0.5 END AS editorial_score FROM prim p""")

@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+from marquee.dims import TAG_ALIASES
 from marquee.functions import clock, prices, tags
 from marquee.operators import listing as L, resolve as R
 from marquee.plans.registry import query
@@ -179,9 +180,9 @@ def curation_coverage_all_time(t):
 
 def tag_sql(x: str) -> str:
     """SQL: canonical tags of one raw category, in order."""
-    aliases = ", ".join(f"'{k}': '{v}'" for k, v in __import__("marquee.dims", fromlist=["x"]).TAG_ALIASES.items())
-    return (f"list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(trim(split_part(lower(regexp_replace(trim({x}), '\\s+', ' ', 'g')), '/', 1)), '\\s+&\\s+'), "
-            f"lambda p: trim(p)), lambda p: p <> ''), lambda p: coalesce(MAP {{{aliases}}}[p], p)), lambda p: length(p) <= 16)")
+    aliases = ", ".join(f"'{k}': '{v}'" for k, v in TAG_ALIASES.items())
+    return (f"list_transform(list_filter(list_transform(regexp_split_to_array(trim(split_part(lower(regexp_replace(trim({x}), '\\s+', ' ', 'g')), '/', 1)), '\\s+&\\s+'), "
+            f"lambda p: trim(p)), lambda p: p <> ''), lambda p: coalesce(MAP {{{aliases}}}[p], p))")
 
 
 _TAGGED = f"tagged AS (SELECT DISTINCT id, {tag_sql('raw')}[1] AS tag FROM (SELECT id, unnest(categories) AS raw FROM vis) WHERE len({tag_sql('raw')}) > 0)"

@@ -102,7 +102,7 @@ def discovered_new_only(t):
 @query("discovered_categories", f"""WITH {FOUND} SELECT pos, CASE WHEN category = 'Barbershop' THEN 'bar' WHEN category = 'Craft Brewery' THEN 'brewery'
   WHEN category = 'Art Museum' THEN 'museum' ELSE CASE search_type WHEN 'beaches' THEN 'beach' WHEN 'bars' THEN 'bar' WHEN 'restaurants' THEN 'restaurant'
   WHEN 'breweries' THEN 'brewery' WHEN 'hidden_gems' THEN 'attraction' ELSE 'venue' END END AS category,
-  left(regexp_replace(regexp_replace(lower(name || '-' || city), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS slug FROM found""")
+  regexp_replace(regexp_replace(lower(name || '-' || city), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM found""")
 def discovered_categories(t):
     return found(t).select(
         "pos", text.place_category(F.col("category"), F.col("search_type")).alias("category"),

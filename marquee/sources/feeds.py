@@ -63,11 +63,11 @@ def ical_extracted(events: DataFrame, key: list[str]) -> DataFrame:
     }).filter("start_local is not null")
     return rows.select(
         *key, "uid",
-        F.substring(clean_inline(F.col("summary")), 1, 300).alias("title"),
-        nonempty(F.substring(html_to_text(F.col("description")), 1, 2000)).alias("description"),
+        clean_inline(F.col("summary")).alias("title"),
+        nonempty(html_to_text(F.col("description"))).alias("description"),
         "start_local", "end_local", F.col("dtstart_date").alias("all_day"),
         nonempty(F.substring(clean_inline(F.substring_index("location", ",", 1)), 1, 200)).alias("venue_name"),
-        nonempty(F.substring(location, 1, 300)).alias("address"), detect_city(location).alias("city"),
+        nonempty(location).alias("address"), detect_city(location).alias("city"),
         none.cast("double").alias("price_min"), none.cast("double").alias("price_max"), F.lit(False).alias("is_free"),
         plain_tags(F.split("categories", ",")).alias("categories"), none.cast("string").alias("image_url"),
         F.col("url").alias("event_url"))
@@ -145,11 +145,11 @@ def plugin_extracted(feeds: DataFrame, key: list[str], text: str = "text") -> Da
     rows = _plugin_fields(_plugin_rows(feeds, key, text).filter("e.title <> ''"))
     status = F.when(F.col("is_free"), "free").otherwise("on_sale")
     return rows.select(
-        *key, F.col("event_id").cast("string").alias("source_event_id"), F.substring("title", 1, 300).alias("title"),
-        nonempty(F.substring("text", 1, 2000)).alias("description"),
+        *key, F.col("event_id").cast("string").alias("source_event_id"), "title",
+        nonempty(F.col("text")).alias("description"),
         feed_local_iso(e["start_date"]).alias("start_local"), feed_local_iso(e["end_date"]).alias("end_local"),
         F.coalesce(e["all_day"], F.lit(False)).alias("all_day"),
-        F.substring("venue_name", 1, 200).alias("venue_name"), F.substring("address", 1, 300).alias("address"),
+        "venue_name", "address",
         detect_city(F.concat_ws(" ", "venue_name", "address")).alias("city"),
         F.col("low").alias("price_min"), F.col("high").alias("price_max"), "is_free",
         F.col("tags").alias("categories"), "image_url",
@@ -252,12 +252,12 @@ def ticketing_extracted(feeds: DataFrame, key: list[str], text: str = "text") ->
         F.coalesce(r["type"], F.lit("Ticket")).alias("name"), r["min"].alias("min"),
         F.coalesce(r["max"], r["min"]).alias("max"), F.coalesce(currency(r["currency"]), money).alias("currency")))
     offer = offer_struct(http_url(e["url"]), status, money, on_sale, F.lit(None),
-                         F.when(F.size(tiers) > 1, F.slice(tiers, 1, 8)))
+                         F.when(F.size(tiers) > 1, tiers))
     return rows.select(
-        *key, "source_event_id", F.substring(clean_inline(e["name"]), 1, 300).alias("title"),
-        nonempty(F.substring("text", 1, 2000)).alias("description"), "start_local", "end_local",
+        *key, "source_event_id", clean_inline(e["name"]).alias("title"),
+        nonempty(F.col("text")).alias("description"), "start_local", "end_local",
         (F.coalesce(start["noSpecificTime"], F.lit(False)) | start["localTime"].isNull()).alias("all_day"),
-        F.substring("venue_name", 1, 200).alias("venue_name"), F.substring("address", 1, 300).alias("address"),
+        "venue_name", "address",
         detect_city(F.concat_ws(" ", "venue_name", "address")).alias("city"),
         F.col("low").alias("price_min"), F.col("high").alias("price_max"), "is_free",
         canonical_tags(names).alias("categories"), best_image(e["images"]).alias("image_url"),

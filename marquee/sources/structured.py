@@ -151,7 +151,7 @@ def _tiers(offers: Column, money: Column) -> Column:
         F.coalesce(F.when(_has(o, "highPrice"), _price(o, "highPrice")).otherwise(_price(o, "price")), _low(o)).alias("max"),
         F.coalesce(currency(_text(o, "$.priceCurrency")), money).alias("currency")))
     priced = F.filter(built, lambda t: t["min"].isNotNull() | t["max"].isNotNull())
-    return F.when(F.size(priced) > 1, F.slice(priced, 1, 8))
+    return F.when(F.size(priced) > 1, priced)
 
 
 def extracted_events(events: DataFrame, key: list[str]) -> DataFrame:
@@ -193,11 +193,11 @@ def extracted_events(events: DataFrame, key: list[str]) -> DataFrame:
         F.col("ticket"), F.col("status"), F.col("money"), F.lit(None), F.col("valid_from"), F.col("tiers")))
     return rows.select(
         *key, "pos",
-        F.substring(clean_inline(F.col("name")), 1, 300).alias("title"),
-        nonempty(F.substring(html_to_text(_text(v, "$.description")), 1, 2000)).alias("description"),
+        clean_inline(F.col("name")).alias("title"),
+        nonempty(html_to_text(_text(v, "$.description"))).alias("description"),
         "start_local", "end_local",
         F.rlike("start", F.lit(r"^\d{4}-\d{2}-\d{2}$")).alias("all_day"),
-        F.substring("venue", 1, 200).alias("venue_name"), F.substring("addr", 1, 300).alias("address"),
+        F.col("venue").alias("venue_name"), F.col("addr").alias("address"),
         detect_city(F.concat_ws(" ", "venue", "addr")).alias("city"),
         "price_min", F.col("high").alias("price_max"), "is_free",
         plain_tags(_keywords(v)).alias("categories"),

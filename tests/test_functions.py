@@ -40,7 +40,7 @@ def cases():
         (text.ticket_call(L("rsvp")), "RSVP"),
         (tags.canonical_tags(F.array(*map(L, ["Markets/Shopping", "Arts & Theatre", "Live Show", "Kids", "markets"])), 6),
          ["market", "art", "theater", "music", "family"]),
-        (tags.canonical_tags(F.array(L("R&B"), L("/x"), L("a" * 17)), 6), ["music"]),
+        (tags.canonical_tags(F.array(L("R&B"), L("/x"), L("a" * 17)), 6), ["music", "a" * 17]),
         (prices.parse_price(L("Free")), 0.0),
         (prices.parse_price(L("$1,200.50")), 1200.5),
         (prices.parse_price(L("1.2.3")), None),
