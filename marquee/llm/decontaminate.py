@@ -206,8 +206,8 @@ def _matches(rows: DataFrame, block: Block) -> DataFrame:
         b = shared.value
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                folded = fold(text)
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                folded = fold(text.as_py())
                 best: dict[tuple[int, int], tuple[int, int, int]] = {}
                 # Very long texts in overlapping parts, so that a match lies whole in one of them.
                 whole = codes(folded)
@@ -251,7 +251,7 @@ def _without(docs: DataFrame, block: Block) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [not _any(shared.value, longest, fold(t)) for t in batch["text"].to_pylist()]
+            keep = [not _any(shared.value, longest, fold(t.as_py())) for t in batch["text"]]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -204,16 +204,17 @@ def _model(proto: bytes) -> Model:
     return _models[key]
 
 
-def _parts(texts: list, size: int = BLOCK_CHARS) -> Iterator[list]:
-    part, total = [], 0
-    for t in texts:
-        if part and total + len(t or "") > size:
-            yield part
-            part, total = [], 0
-        part.append(t)
-        total += len(t or "")
-    if part:
-        yield part
+def _parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch in which the sizes of ``column`` (characters or pieces) sum up to ``most``, or one row."""
+    from pyarrow import compute as pc
+
+    sizes = (pc.binary_length if pa.types.is_string(batch[column].type) else pc.list_value_length)(batch[column])
+    ends = np.cumsum(sizes.fill_null(0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(batch):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def encoded(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
@@ -224,13 +225,12 @@ def encoded(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            found = [encode_block(model, [t or "" for t in part], dropout, seed) for part in _parts(texts)]
-            ids = np.concatenate([np.zeros(0, np.int64), *[x for x, _ in found]])
-            count = np.concatenate([np.zeros(0, np.int64), *[c for _, c in found]])
-            ends = pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32())
-            lists = pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
-            yield batch.append_column("pieces", lists)
+            for part in _parts(batch, "text", BLOCK_CHARS):
+                texts = part["text"].to_pylist()
+                ids, count = encode_block(model, [t or "" for t in texts], dropout, seed)
+                ends = pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
+                yield part.append_column("pieces", lists)
 
     rest = docs.drop("pieces")
     return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType()))]))
@@ -244,12 +244,12 @@ def decoded(rows: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for batch in batches:
-            lists = batch["pieces"]
-            count = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-            ids = lists.flatten().to_numpy().astype(np.int64)
-            texts = decode_block(model, ids, count)
-            yield batch.append_column("decoded", pa.array(
-                [None if null else t.decode("utf-8") for t, null in zip(texts, lists.is_null().to_pylist())], pa.string()))
+            for part in _parts(batch, "pieces", BLOCK_CHARS):
+                lists = part["pieces"]
+                count = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+                texts = decode_block(model, lists.flatten().to_numpy().astype(np.int64), count)
+                yield part.append_column("decoded", pa.array(
+                    [None if null else t.decode("utf-8") for t, null in zip(texts, lists.is_null().to_pylist())], pa.string()))
 
     rest = rows.drop("decoded")
     return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("decoded", T.StringType())]))
