@@ -82,7 +82,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
         slots = [(mix(np.arange(ROWS, dtype=np.uint64) * np.uint64(ENTRIES) + np.uint64(k + 977))) for k in range(ENTRIES)]
         slots = [((h >> np.uint64(8)).astype(np.int64) % DIM, np.where(h & np.uint64(1), 1.0, -1.0)) for h in slots]
         for batch in batches:
-            for _, texts in chunks([None] * len(batch), batch["text"].to_pylist()):
+            for _, texts in chunks(batch):
                 words = Words(texts)
                 own, shape = rows_of(words.hash), rows_of(shapes(words))
                 for away in range(1, NEAR + 1):
@@ -214,8 +214,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: i
 def fit(docs: DataFrame, labels: DataFrame, table: np.ndarray, most: int = FIT_ROWS) -> Network | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = list(zip(batch["doc_id"].to_pylist(), batch["y"].to_pylist()))
-            for own, texts in chunks(ids, batch["text"].to_pylist()):
+            for own, texts in chunks(batch, "doc_id", "y"):
                 x = pooled(Words(texts), table)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([i for i, _ in own], pa.int64()), pa.array([y for _, y in own], pa.int32()),
@@ -237,7 +236,7 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFram
         for batch in batches:
             scores = [
                 np.full(len(texts), 0.5) if network is None else network.score(pooled(Words(texts), table).astype(np.float64))
-                for _, texts in chunks([None] * len(batch), batch["text"].to_pylist())]
+                for _, texts in chunks(batch)]
             yield batch.append_column("quality_score", pa.array(np.concatenate(scores) if scores else [], pa.float64()))
 
     rest = docs.drop("quality_score")

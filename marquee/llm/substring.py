@@ -35,19 +35,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.llm.fm_index import FMIndex, interval_minima
-from marquee.llm.words import Words, chunks
+from marquee.llm.words import Words, chunks, mix
 from marquee.session import cut_lineage
 
 WINDOW = 13
 ANCHOR = 5
 HOT_SHARE = 1e-4
-SHARD_BYTES = 32 << 20  # of all texts, for each shard
+SHARD_BYTES = 8 << 20  # of all texts, for each shard
 NO_ID = (1 << 63) - 1
 DONE, HOT = -1, -2  # kinds of rows that pass a shard by
 
 ANCHORS = "shard int, kind int, doc array<bigint>, anchor array<bigint>, start array<int>, docs array<int>"
 FRAGMENTS = "shard int, kind int, row array<bigint>, doc array<bigint>, route array<bigint>, start array<int>, windows array<int>, text array<binary>"
-SPANS = "row bigint, start array<int>, windows array<int>"
+SPANS = "row array<bigint>, start array<int>, windows array<int>"
 
 
 def fragments(words: Words, window: int, anchor: int):
@@ -99,7 +99,7 @@ def anchor_rows(docs: DataFrame, shards: int, window: int, anchor: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = np.zeros(0, dtype=np.int64)  # anchors shared by documents of this task that a shard knows of
         for batch in batches:
-            for ids, texts in chunks(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            for ids, texts in chunks(batch, "doc_id"):
                 own, start, _, value = fragments(Words(texts), window, anchor)
                 doc, value = _ints(ids)[own], value.view(np.int64)
                 order = np.lexsort((start, doc, value))
@@ -136,19 +136,18 @@ def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def shared_anchors(rows: DataFrame, shards: int, hot_from: int) -> DataFrame:
-    """kind, doc_id, starts: per document the fragments whose anchor another document has; hot anchors as rows of kind HOT."""
+    """kind, shard, docs, starts: the fragments whose anchor another document has, packed by a hash of the
+    document; hot anchors as rows of kind HOT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
 
         def out(kind: int, doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-            order = np.argsort(doc, kind="stable")
-            doc, start = doc[order], start[order]
-            cut = np.flatnonzero(_first_of_runs(doc))
+            rows = [(s, x) for s, x in enumerate(_by_shard(_shard_of(mix(doc.view(np.uint64)), shards), shards)) if len(x)]
             return pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(cut), kind), pa.int32()), pa.array(doc[cut], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.append(cut, len(doc)), pa.int32()), pa.array(start, pa.int32()))],
-                names=["kind", "doc", "start"])
+                pa.array([kind] * len(rows), pa.int32()), pa.array([s for s, _ in rows], pa.int32()),
+                _lists([doc[x] for _, x in rows], pa.int64()), _lists([start[x] for _, x in rows], pa.int32())],
+                names=["kind", "shard", "doc", "start"])
 
         for batch in batches:
             kinds = batch["kind"].to_numpy()
@@ -176,8 +175,24 @@ def shared_anchors(rows: DataFrame, shards: int, hot_from: int) -> DataFrame:
         if len(hot):
             yield out(HOT, hot, np.zeros(len(hot), dtype=np.int64))
 
-    packed = rows.repartition(shards, "shard").mapInArrow(run, "kind int, doc bigint, start array<int>")
-    return packed
+    return rows.repartition(shards, "shard").mapInArrow(run, "kind int, shard int, doc array<bigint>, start array<int>")
+
+
+def starts_by_document(packed: DataFrame, shards: int) -> DataFrame:
+    """doc, starts: one row for each document with shared fragments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(_flat(x, "doc"), _flat(x, "start")) for x in batches]
+        if held:
+            doc, start = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((start, doc))
+            doc, start = doc[order], start[order]
+            cut = np.flatnonzero(_first_of_runs(doc)) if len(doc) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(doc[cut], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.append(cut, len(doc)), pa.int32()), pa.array(start, pa.int32()))], names=["doc", "starts"])
+
+    return packed.select("shard", "doc", "start").repartition(shards, "shard").mapInArrow(run, "doc bigint, starts array<int>")
 
 
 def fragment_rows(flagged: DataFrame, hot: list[int], shards: int, window: int, anchor: int) -> DataFrame:
@@ -186,9 +201,7 @@ def fragment_rows(flagged: DataFrame, hot: list[int], shards: int, window: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            at = list(zip(ids, batch["row"].to_pylist(), batch["starts"].to_pylist()))
-            for own, raw in chunks(at, texts):
+            for own, raw in chunks(batch, "doc_id", "row", "starts"):
                 words = Words(raw)
                 which, start, n, value = fragments(words, window, anchor)
                 value = value.view(np.int64)
@@ -236,6 +249,7 @@ def repeated_windows(pieces: list[bytes], doc: np.ndarray, n: np.ndarray, route:
     """(fragment, offset) of every window that a fragment of a smaller document also has."""
     code: dict[bytes, int] = {}
     content = np.array([code.setdefault(b" ".join(p.split()), len(code)) for p in pieces], dtype=np.int64)
+    pieces.clear()  # the distinct ones stay
     distinct = list(code)
     least = np.full(len(distinct), NO_ID, dtype=np.int64)
     np.minimum.at(least, content, doc)
@@ -252,10 +266,11 @@ def repeated_windows(pieces: list[bytes], doc: np.ndarray, n: np.ndarray, route:
     crowd = np.flatnonzero(np.bincount(run_id)[run_id] > 1) if len(order) else order
     chosen = np.sort(order[crowd])
     if len(chosen):
-        words = Words([distinct[i] for i in chosen])
-        _, codes = np.unique(words.hash, return_inverse=True)
-        index = FMIndex(codes, words.count, window)
-        owner = np.repeat(np.arange(len(chosen)), words.count + 1)  # of every text position
+        hashes, counts = word_hashes([distinct[i] for i in chosen])
+        _, codes = np.unique(hashes, return_inverse=True)
+        del hashes
+        index = FMIndex(codes, counts, window)
+        owner = np.repeat(np.arange(len(chosen)), counts + 1)  # of every text position
         ids = least[chosen]
         begins = np.repeat(index.starts, size[chosen]) + _offsets(size[chosen])
         low, high = index.search(begins, window)
@@ -275,6 +290,16 @@ def repeated_windows(pieces: list[bytes], doc: np.ndarray, n: np.ndarray, route:
     return (np.concatenate(x) for x in zip(*found))
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words and the words of each text; worked off in parts, for ``Words`` takes many times its text."""
+    hashes, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for at in range(0, len(texts), 4096):
+        words = Words(texts[at: at + 4096])
+        hashes.append(words.hash)
+        counts.append(words.count)
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
 def _offsets(sizes: np.ndarray) -> np.ndarray:
     """0 .. size - 1 for each size, one after another."""
     ends = np.cumsum(sizes)
@@ -282,7 +307,11 @@ def _offsets(sizes: np.ndarray) -> np.ndarray:
 
 
 def search_shards(rows: DataFrame, shards: int, window: int) -> DataFrame:
-    """row, start, windows: runs of repeated windows, from one FM-index per shard."""
+    """row, start, windows: runs of repeated windows, from one FM-index per shard.
+
+    A shard packs its runs into one row: a row for each of its texts would make
+    as many rows as texts times shards.
+    """
 
     def spans(row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((start, row))
@@ -291,12 +320,9 @@ def search_shards(rows: DataFrame, shards: int, window: int) -> DataFrame:
         new[1:] = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(row)) - 1
-        row, begin, n = row[first], start[first], start[last] - start[first] + 1
-        cut = np.flatnonzero(_first_of_runs(row))
-        ends = pa.array(np.append(cut, len(row)), pa.int32())
         return pa.RecordBatch.from_arrays([
-            pa.array(row[cut], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(begin, pa.int32())),
-            pa.ListArray.from_arrays(ends, pa.array(n, pa.int32()))], names=["row", "start", "windows"])
+            _lists([row[first]], pa.int64()), _lists([start[first]], pa.int32()), _lists([start[last] - start[first] + 1], pa.int32())],
+            names=["row", "start", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, pieces = [], []
@@ -316,13 +342,14 @@ def search_shards(rows: DataFrame, shards: int, window: int) -> DataFrame:
             if len(which):
                 yield spans(row[which], start[which] + offset)
 
-    return rows.repartition(shards, "shard").mapInArrow(run, SPANS)
+    packed = rows.repartition(shards, "shard").mapInArrow(run, SPANS)
+    return packed.select(F.explode(F.arrays_zip("row", "start", "windows")).alias("s")).select("s.row", "s.start", "s.windows")
 
 
 def cut_texts(flagged: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     """row, n_removed and kept (words joined by one space) of the rows that lose words."""
     found = spans.groupBy("row").agg(
-        F.flatten(F.collect_list("start")).alias("start"), F.flatten(F.collect_list("windows")).alias("windows"))
+        F.collect_list("start").alias("start"), F.collect_list("windows").alias("windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,8 +383,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     # About six words and as many letters each make a fragment.
     hot_from = max(64, int(size / 36 * HOT_SHARE))
     shared = cut_lineage(shared_anchors(anchor_rows(base, shards, window, anchor), shards, hot_from))
-    hot = [r[0] for r in shared.filter(F.col("kind") == HOT).select("doc").collect()]
-    starts = shared.filter(F.col("kind") == DONE).groupBy("doc").agg(F.flatten(F.collect_list("start")).alias("starts"))
+    hot = [r[0] for r in shared.filter(F.col("kind") == HOT).select(F.explode("doc")).collect()]
+    starts = starts_by_document(shared.filter(F.col("kind") == DONE), shards)
     keyed = base.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"))
     flagged = cut_lineage(keyed.join(starts, "doc").select("doc_id", "text", "starts", row_key().alias("row")))
     spans = search_shards(fragment_rows(flagged, hot, shards, window, anchor), shards, window)

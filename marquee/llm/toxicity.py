@@ -113,8 +113,7 @@ class Terms:
 
 def _pieces(batches: Iterator[pa.RecordBatch], *columns: str):
     for batch in batches:
-        own = list(zip(*(batch[c].to_pylist() for c in columns))) or [()] * len(batch)
-        yield from chunks(own, batch["text"].to_pylist())
+        yield from chunks(batch, *columns)
 
 
 def mine_lexicon(fit_rows: DataFrame) -> np.ndarray:
@@ -123,7 +122,7 @@ def mine_lexicon(fit_rows: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, raw in _pieces(batches, "y"):
             terms = Terms(raw)
-            y = np.array([x[0] for x in own], dtype=np.int64)
+            y = np.array(own, dtype=np.int64)
             names, code = np.unique(terms.term, return_inverse=True)
             toxic = np.bincount(code, weights=y[terms.doc], minlength=len(names)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([
@@ -232,7 +231,7 @@ def telling_terms(fit_rows: DataFrame, lexicon: np.ndarray, model: LabelModel) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, raw in _pieces(batches, "y"):
             terms = Terms(raw)
-            y = np.array([x[0] for x in own])
+            y = np.array(own)
             p = model.posterior(_fired(len(raw), *votes(terms, lexicon), model.rate.shape[1]), y)
             names, code = np.unique(terms.term, return_inverse=True)
             yield pa.RecordBatch.from_arrays([
@@ -325,7 +324,7 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [linear.score(len(raw), *found_in(Terms(raw), known))
-                      for _, raw in chunks([None] * len(batch), batch["text"].to_pylist())]
+                      for _, raw in chunks(batch)]
             yield batch.append_column("toxicity_score", pa.array(np.concatenate(scores) if scores else [], pa.float64()))
 
     rest = docs.drop("toxicity_score")

@@ -96,16 +96,24 @@ def shingle_sets(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return doc[keep], value[keep]
 
 
-def chunks(ids: list, texts: list, size: int = 1 << 21) -> Iterator[tuple[list, list[bytes]]]:
-    """Parts of at most ``size`` bytes or one text; a null text is empty."""
+def chunks(batch, *columns: str, size: int = 1 << 19) -> Iterator[tuple[list, list[bytes]]]:
+    """Parts of an Arrow batch of at most ``size`` bytes of ``text`` or one text; a null text is empty.
+
+    With each part come the values of one column, or tuples of several. Rows are
+    turned into Python values a few hundred at a time.
+    """
     part, own, total = [], [], 0
-    for i, t in zip(ids, texts):
-        raw = (t or "").encode()
-        if part and total + len(raw) > size:
-            yield own, part
-            part, own, total = [], [], 0
-        part.append(raw)
-        own.append(i)
-        total += len(raw) + 1
+    for at in range(0, len(batch), 256):
+        some = batch.slice(at, 256)
+        values = [some[c].to_pylist() for c in columns]
+        ids = values[0] if len(values) == 1 else list(zip(*values)) if values else [None] * len(some)
+        for i, t in zip(ids, some["text"]):
+            raw = (t.as_py() or "").encode()
+            if part and total + len(raw) > size:
+                yield own, part
+                part, own, total = [], [], 0
+            part.append(raw)
+            own.append(i)
+            total += len(raw) + 1
     if part:
         yield own, part
