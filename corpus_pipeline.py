@@ -35,7 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     configure(spark)
     grouped = jaccard.groups(docs.select("doc_id", "text"))
     gone = cut_lineage(grouped.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    few = gone.count() <= jaccard.BROADCAST_IDS
+    return docs.select(*COLUMNS).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
