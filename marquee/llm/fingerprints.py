@@ -25,6 +25,10 @@ HALF = BITS // 2
 SHINGLE_WORDS = 5
 MAX_WEIGHT = 12
 PAIR_MASK = (1 << HALF) | 1  # one bit of the lower and one of the upper half
+RADIUS = 16  # bits; reaches the copies whose sets of terms have a Jaccard similarity of 0.75, see README
+TABLE_RADIUS = 6  # beyond it blocks are so short that tables would compare more pairs than there are
+CELL_PRINTS = 1 << 16
+CELL_QUERIES = 1 << 14
 
 
 def words(text: Column) -> Column:
@@ -83,13 +87,16 @@ def block_masks(radius: int, spare: int = 3) -> list[int]:
     return [_signed(sum(chosen)) for chosen in combinations(blocks, spare)]
 
 
-def near(prints: DataFrame, queries: DataFrame, radius: int = 3, spare: int = 3) -> DataFrame:
+def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, spare: int = 3) -> DataFrame:
     """(fingerprint, query, distance): all pairs within ``radius`` bits.
 
     ``prints`` and ``queries`` hold distinct values (columns ``fingerprint``
-    and ``query``). A pair meets in every table whose blocks are equal in both
-    and is kept only in the first of them, so no pairs are made distinct later.
+    and ``query``). Up to ``TABLE_RADIUS`` a pair meets in every table whose
+    blocks are equal in both and is kept only in the first of them, so no pairs
+    are made distinct later. Beyond it every pair is compared.
     """
+    if radius > TABLE_RADIUS:
+        return compared(prints, queries, radius)
     masks = block_masks(radius, spare)
 
     def tables(df: DataFrame, c: str) -> DataFrame:
@@ -103,6 +110,31 @@ def near(prints: DataFrame, queries: DataFrame, radius: int = 3, spare: int = 3)
         "fingerprint", "query", F.bit_count(xor).alias("distance"))
 
 
+def compared(prints: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
+    """``near`` by a comparison of every pair, in cells of bounded size.
+
+    Prints and queries are dealt by hash into a grid; a pair meets in one cell,
+    and the distance is a condition of the join, so only near pairs leave it.
+    Spark takes the copies of a query for one row, hence the hint: they are
+    shuffled, not broadcast.
+    """
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints, queries = cut_lineage(prints), cut_lineage(queries)
+    down = max(1, -(-queries.count() // CELL_QUERIES))
+    across = max(-(-2 * parts // down), -(-prints.count() // CELL_PRINTS))
+
+    def place(c: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    xor = F.col("fingerprint").bitwiseXOR(F.col("query"))
+    met = prints.select("fingerprint", place("fingerprint", across).alias("x"), every(down).alias("y")).join(
+        queries.select("query", every(across).alias("x"), place("query", down).alias("y")).hint("merge"), ["x", "y"])
+    return met.filter(F.bit_count(xor) <= radius).select("fingerprint", "query", F.bit_count(xor).alias("distance"))
+
+
 def following(rows: DataFrame, key: str) -> DataFrame:
     """(key, next): the next smaller key, after the smallest the largest. Null keys are left out.
 
@@ -166,7 +198,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         likeness(F.col("print"), F.coalesce("next_print", F.lit(0))).alias("near_next"))
 
 
-def with_near_queries(prints: DataFrame, radius: int = 3) -> DataFrame:
+def with_near_queries(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Adds ``near_queries`` and ``nearest_query``: how many of the query rows
     (ids divisible by 100) lie within ``radius`` bits, itself included, and the
     smallest such id. Equal fingerprints are searched once."""

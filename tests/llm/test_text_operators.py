@@ -45,6 +45,42 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert got == {(signed(a), signed(b), bin(a ^ b).count("1")) for a in set(near + base) for b in base if bin(a ^ b).count("1") <= 3}
 
 
+def test_compared_pairs_are_all_within_the_radius(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "CELL_QUERIES", 16)
+    rng = random.Random(4)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    base = [rng.getrandbits(64) for _ in range(40)]
+    near = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 22))) for b in base for _ in range(9)}
+    prints = spark.createDataFrame([(signed(x),) for x in near], "fingerprint long")
+    queries = spark.createDataFrame([(signed(x),) for x in base], "query long")
+    got = [tuple(r) for r in fingerprints.near(prints, queries).collect()]
+    want = {(signed(a), signed(b), bin(a ^ b).count("1")) for a in near for b in base if bin(a ^ b).count("1") <= 16}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_edited_copies_of_query_documents_are_found(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(rng.randrange(2, 9)))
+    shingles = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    rows, like = [], {}
+    for q in range(100, 1100, 100):
+        base = [word() for _ in range(200)]
+        rows.append((q, " ".join(base)))
+        for k in range(1, 13):
+            w = list(base)
+            for _ in range(1 + k % 6):
+                w[rng.randrange(200)] = word()
+            both = len(shingles(base) & shingles(w))
+            like[q + k] = both / (2 * 196 - both)
+            rows.append((q + k, " ".join(w)))
+    found = fingerprints.with_near_queries(fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")))
+    nearest = {r["doc_id"]: r["nearest_query"] for r in found.collect() if r["near_queries"]}
+    copies = [i for i, j in like.items() if 0.75 <= j <= 0.97]
+    assert len(copies) > 80 and min(like[i] for i in copies) < 0.8
+    assert np.mean([nearest.get(i) == i // 100 * 100 for i in copies]) > 0.97
+    assert all(i // 100 == q // 100 for i, q in nearest.items())
+
+
 def test_fingerprints_of_odd_rows(odd_docs, no_docs):
     rows = fingerprints.edited_fingerprints(odd_docs).collect()
     by_id = {r["doc_id"]: r for r in rows}
