@@ -3,11 +3,11 @@
 A text gets one space in front, spaces become U+2581, and is cut before every
 run of spaces; merges never cross such a cut. In each part the agenda of
 adjacent pairs is worked off by score, leftmost first among equals, and every
-candidate merge is skipped when the keyed hash of (seed, variant, part, place)
-falls below ``dropout``. A part's variant comes from a hash of seed, text and
-position, so one word is cut in up to ``VARIANTS`` ways; nothing depends on
-partitions or order. The agendas of all distinct parts of a block are worked
-off side by side: in each round every part takes its best allowed pair.
+candidate merge is skipped when the keyed hash of (seed, text, position of the
+part in it, part, place) falls below ``dropout``: on its own in each occurrence
+of a word. Nothing depends on partitions or order. The agendas of all parts of
+a block are worked off side by side: in each round every part takes its best
+allowed pair. Without dropout equal parts of a block share one agenda.
 
 Characters without a piece, and U+2581 itself, become byte pieces, so decoding
 gives back every text exactly. With ``dropout = 0`` the pieces are those of the
@@ -28,10 +28,9 @@ from pyspark.sql import DataFrame, types as T
 from marquee.llm.words import BASE, INVERSE, mix, powers
 
 SPACE_MARK = 0x2581
-VARIANTS = 4
 DROPOUT = 0.1
 SEED = 17
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 UNKNOWN = -1
 
 
@@ -59,19 +58,44 @@ class Model:
                 left, right = plain.get(p[:k]), plain.get(p[k:])
                 if left is not None and right is not None:
                     merges[left * size + right] = i
-        self.pair = np.array(sorted(merges), dtype=np.int64)
-        self.merged = np.array([merges[k] for k in self.pair.tolist()], dtype=np.int64)
+        self._index(np.array(list(merges), dtype=np.int64), np.array(list(merges.values()), dtype=np.int64))
         raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(chr(SPACE_MARK), " ").encode() if p in plain else b""
                for i, p in enumerate(pieces)]
         self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
         self.raw_size = np.array([len(r) for r in raw], dtype=np.int64)
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
 
+    def _index(self, key: np.ndarray, piece: np.ndarray) -> None:
+        """A hash table of the merges with open addressing, an eighth full at most."""
+        bits = max(4, (8 * len(key)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.pair, self.merged = np.full(1 << bits, UNKNOWN, dtype=np.int64), np.full(1 << bits, UNKNOWN, dtype=np.int64)
+        slot = self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.pair[slot] == UNKNOWN)
+            taken, of = np.unique(slot[free], return_index=True)
+            self.pair[taken], self.merged[taken] = key[free[of]], piece[free[of]]
+            rest = self.pair[slot] != key
+            key, piece, slot = key[rest], piece[rest], (slot[rest] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(BASE) >> self.shift).astype(np.int64)
+
     def merge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece each pair merges into, or UNKNOWN."""
         key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where((self.pair[at] == key) & (left >= 0) & (right >= 0), self.merged[at], UNKNOWN)
+        key[(left < 0) | (right < 0)] = -2  # in no slot
+        slot = self._slot(key)
+        found = self.pair[slot]
+        out = np.where(found == key, self.merged[slot], UNKNOWN)
+        open_ = np.flatnonzero((found != key) & (found != UNKNOWN))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            found = self.pair[slot[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.merged[slot[open_[hit]]]
+            open_ = open_[~hit & (found != UNKNOWN)]
+        return out
 
 
 def agendas(model: Model, chars: np.ndarray, length: np.ndarray, key: np.ndarray, dropout: float):
@@ -157,13 +181,16 @@ def encode_block(model: Model, texts: list[str], dropout: float = DROPOUT, seed:
     text_hash = mix((value[ends] - value[first]) * down[first])
     owner = text[start]
     nth = _within(np.bincount(owner, minlength=len(texts)))
-    variant = mix(text_hash[owner] + nth.astype(np.uint64) * np.uint64(BASE) + np.uint64(seed)) % np.uint64(VARIANTS if dropout else 1)
-    key = mix(part_hash + mix(variant + np.uint64(seed * BASE % (1 << 64))))
-    unique, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+    if dropout > 0:
+        text_key = mix(text_hash + np.uint64(seed * BASE % (1 << 64)))
+        key = mix(part_hash + mix(text_key[owner] + nth.astype(np.uint64) * np.uint64(BASE)))
+        at = inverse = np.arange(len(start))
+    else:
+        key, at, inverse = np.unique(part_hash, return_index=True, return_inverse=True)
     u_length = length[at]
     source = np.repeat(start[at], u_length) + _within(u_length)
     symbols = np.where(space, SPACE_MARK, np.where(mark, 0x10FFFF, chars))  # U+2581 itself has no piece
-    symbol, count = agendas(model, symbols[source], u_length, unique, dropout)
+    symbol, count = agendas(model, symbols[source], u_length, key, dropout)
     # Characters without a piece in byte pieces: which character it was follows from the pieces before it.
     if (symbol == UNKNOWN).any():
         symbol, count = _with_bytes(model, symbol, count, chars[source], symbols[source], u_length)

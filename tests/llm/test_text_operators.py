@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -242,6 +243,32 @@ def test_merges_follow_the_agenda():
         at += c
 
 
+def test_dropout_is_drawn_for_each_occurrence():
+    model = pieces.Model(open(MODEL, "rb").read())
+    texts = [f"t{k}" + " internationalization the" * 40 for k in range(100)]
+    ids, count = pieces.encode_block(model, texts)
+    words, at = {"internationalization": [], "the": []}, 0
+    for t, c in zip(texts, count):
+        text, word = "", []
+        for i in ids[at: at + c].tolist():
+            piece = bytes(model.raw[model.raw_start[i]: model.raw_start[i] + model.raw_size[i]]).decode()
+            if piece.startswith(" ") and word:
+                words.get("".join(x for _, x in word).strip(), []).append(tuple(i for i, _ in word))
+                word = []
+            word.append((i, piece))
+            text += piece
+        assert text == " " + t
+        at += c
+    ways = {w: Counter(x) for w, x in words.items()}
+    assert len(ways["internationalization"]) > 100
+    of = pieces.agendas(model, np.array([0x2581, *map(ord, "the")] * 4000), np.full(4000, 4), pieces.mix(np.arange(4000, dtype=np.uint64)), pieces.DROPOUT)
+    whole = np.mean(of[1] == 1)  # of as many independent keys
+    got = ways["the"].most_common(1)[0][1] / sum(ways["the"].values())
+    assert 0.5 < got < 0.95 and abs(got - whole) < 0.03
+    # Occurrences of one text differ as well, and equal texts do not.
+    assert np.array_equal(*np.split(pieces.encode_block(model, texts[:1] * 2)[0], 2))
+
+
 def test_pieces_of_odd_rows(odd_docs, no_docs):
     got = pieces.decoded(pieces.encoded(odd_docs, MODEL), MODEL).collect()
     assert len(got) == 12 and all(r["decoded"] == r["text"] for r in got)
