@@ -66,7 +66,7 @@ def ical_extracted(events: DataFrame, key: list[str]) -> DataFrame:
         clean_inline(F.col("summary")).alias("title"),
         nonempty(html_to_text(F.col("description"))).alias("description"),
         "start_local", "end_local", F.col("dtstart_date").alias("all_day"),
-        nonempty(F.substring(clean_inline(F.substring_index("location", ",", 1)), 1, 200)).alias("venue_name"),
+        nonempty(clean_inline(F.substring_index("location", ",", 1))).alias("venue_name"),
         nonempty(location).alias("address"), detect_city(location).alias("city"),
         none.cast("double").alias("price_min"), none.cast("double").alias("price_max"), F.lit(False).alias("is_free"),
         plain_tags(F.split("categories", ",")).alias("categories"), none.cast("string").alias("image_url"),

@@ -4,7 +4,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from marquee.operators import lifecycle, listing, logs, upsert
+from marquee.operators import lifecycle, listing, logs, upsert, validate
 from marquee.plans import extract_queries, flows
 from marquee.plans.views import NOW, Tables
 from marquee.session import cut_lineage
@@ -107,6 +107,15 @@ def test_ical_reset_and_folding(spark):
     assert [(r["uid"], r["summary"], r["dtstart_utc"]) for r in rows_] == [("1", "Long", True)]
 
 
+def test_ical_venue_is_kept_whole_and_flagged(spark):
+    venue = "Hall " * 50 + "end"
+    feed = f"BEGIN:VEVENT\nUID:1\nSUMMARY:A\nLOCATION:{venue}\\, Clearwater\nDTSTART:20260502T193000Z\nEND:VEVENT\n"
+    events = feeds.ical_events(spark.createDataFrame([(1, feed)], "id int, text string"), ["id"])
+    got = feeds.ical_extracted(events, ["id"])
+    assert got.first()["venue_name"] == venue
+    assert "venue_name" in validate.judged(got, validate.EVENT_RULES()).first()["errors"]
+
+
 def test_stream_upserts_equal_batch(spark, tmp_path):
     t = Tables(spark, T)
     stored, batch = t.listings(), t.incoming().withColumn("arrival", F.col("id"))
