@@ -1,18 +1,14 @@
 """Jaccard join and substring removal against brute force."""
 
 import random
-import sys
-import pathlib
 
 import numpy as np
 import pytest
+from brute import brute_cut, brute_groups
 
-sys.path.insert(0, str(pathlib.Path(__file__).parent))
-from conftest import brute_cut, brute_groups  # noqa: E402
-
-from marquee.llm import jaccard, substring  # noqa: E402
-from marquee.llm.fm_index import FMIndex, interval_minima  # noqa: E402
-from marquee.llm.substring_queries import substring_dedup  # noqa: E402
+from marquee.llm import jaccard, substring
+from marquee.llm.fm_index import FMIndex, interval_minima
+from marquee.llm.substring_queries import substring_dedup
 
 
 def near_group(n=60, size=60, seed=5):

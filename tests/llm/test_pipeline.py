@@ -1,14 +1,10 @@
 """Each stage of the pipeline on its own input."""
 
-import pathlib
-import sys
+from brute import brute_cut, brute_groups, words_of
 
-sys.path.insert(0, str(pathlib.Path(__file__).parent))
-from conftest import brute_cut, brute_groups, words_of  # noqa: E402
-
-import corpus_pipeline  # noqa: E402
-from marquee.llm import decontaminate  # noqa: E402
-from marquee.session import cut_lineage  # noqa: E402
+import corpus_pipeline
+from marquee.llm import decontaminate
+from marquee.session import cut_lineage
 
 SF = "/root/testdata/sf0.001"
 
