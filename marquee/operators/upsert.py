@@ -1,10 +1,11 @@
 """Keyed upsert with a content-hash gate.
 
-A batch is first reduced to one row per key. It then stands on the right of
-both joins with the stored table, so a small batch is broadcast by Spark's own
-size check and the stored rows are not shuffled; a large batch falls back to
-shuffled joins. Nothing is overwritten in place: the result is a new table for
-the caller to write to a new path.
+A batch is first reduced to one row per key and written, so that it is worked
+out once and Spark knows its size. It then stands on the right of both joins
+with the stored table: a small batch is broadcast by Spark's own size check and
+the stored rows are not shuffled; a large batch falls back to shuffled joins.
+Nothing is overwritten in place: the result is a new table for the caller to
+write to a new path.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from marquee.functions.clock import overlaps
+from marquee.session import cut_lineage
 
 
 def last_per_key(batch: DataFrame, keys: list[str], arrival: str | None = None) -> DataFrame:
@@ -66,7 +68,8 @@ def plan_upsert(
     payload = [c for c in stored.columns if c not in keys]
     fresh = [c for c in payload if c in batch.columns and c not in identity and c != "last_seen_at"]
     failed = F.col(reject).isNotNull() if reject else F.lit(False)
-    checked = batch.withColumn("_failed", failed).withColumn("_inside", F.lit(True) if gate is None else F.coalesce(gate, F.lit(False)))
+    inside = F.lit(True) if gate is None else F.coalesce(gate, F.lit(False))
+    checked = cut_lineage(batch.withColumn("_failed", failed).withColumn("_inside", inside))
     hot = checked.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in fresh], "_failed", "_inside", F.lit(True).alias("_hit"))
     joined = stored.join(hot, keys, "left")
     same = F.col("content_hash") == F.col("_n_content_hash")

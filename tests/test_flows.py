@@ -1,5 +1,6 @@
 """Upserts, lifecycle guards, streams and the page-to-listing flow."""
 
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -37,12 +38,35 @@ def test_identity_is_kept_and_last_row_wins(spark):
     assert [(r["id"], r["title"], r["outcome"]) for r in plan] == [(1, "C", "updated")]
 
 
-def test_small_batch_leaves_stored_rows_in_place(spark):
-    stored = spark.range(1_000_000).selectExpr("id", "cast(id as string) k", "'t' title", "'h' content_hash", "now() last_seen_at", "0 n")
+def above_scan(plan, table):
+    """The operators over each scan of ``table``, up to the first join, in a printed plan."""
+    lines = [(len(re.match(r"[\s:+|-]*", x).group()), x) for x in plan.splitlines() if x.strip()]
+    found = []
+    for at, (depth, line) in enumerate(lines):
+        if "FileScan" in line and table in line:
+            path = []
+            for d, x in reversed(lines[:at]):
+                if d < depth:
+                    path.append(x)
+                    depth = d
+                    if "Join" in x:
+                        break
+            found.append(path)
+    return found
+
+
+def test_small_batch_leaves_stored_rows_in_place(spark, tmp_path):
+    made = spark.range(1_000_000).selectExpr("id", "cast(id as string) k", "'t' title", "'h' content_hash", "now() last_seen_at", "0 n")
+    made.write.parquet(f"{tmp_path}/stored_rows")
+    stored = spark.read.parquet(f"{tmp_path}/stored_rows")
     batch = spark.sql("SELECT * FROM VALUES ('7', 'B', 'x', 1), ('new', 'C', 'y', 2) AS t(k, title, content_hash, n)")
     plan = upsert.plan_upsert(stored, batch, ["k"], NOW, arrival="n")
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") >= 3
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    found = above_scan(plan._jdf.queryExecution().executedPlan().toString(), "stored_rows")
+    assert len(found) == 2 and all("BroadcastHashJoin" in path[-1] for path in found)
+    assert not any("Exchange" in x for path in found for x in path)
+    got = {r["outcome"]: r["n"] for r in plan.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
+    assert got == {None: 999_999, "updated": 1, "inserted": 1}
 
 
 def test_groups_stay_when_nothing_expires(spark):
