@@ -1,7 +1,7 @@
 """All registered queries of this subpackage."""
 
 from marquee.llm import (  # noqa: F401
-    chat_queries, decontaminate_queries, fingerprint_queries, jaccard_queries, pieces_queries, pipeline_queries,
+    alignment_queries, chat_queries, decontaminate_queries, fingerprint_queries, jaccard_queries, pieces_queries, pipeline_queries,
     quality_queries, sharding_queries, substring_queries, toxicity_queries, warc_queries,
 )
 from marquee.llm.registry import ORACLES, QUERIES  # noqa: F401
