@@ -34,6 +34,7 @@ STORE = "spark.sql.streaming.stateStore."
 STORE_CONF = {
     STORE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     STORE + "rocksdb.changelogCheckpointing.enabled": "true",
+    STORE + "rocksdb.allowFAllocate": "false",  # a store holds no more disk than its rows need
     STORE + "rocksdb.boundedMemoryUsage": "true",
     STORE + "rocksdb.maxMemoryUsageMB": "256",
 }
