@@ -90,7 +90,7 @@ class Pieces:
         return self.own.encode(texts, num_threads=1)
 
 
-def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+def align(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of A and of B there are up to the end of each group.
 
     ``a`` and ``b`` hold the increasing ends of the tokens and close with the same end.
@@ -99,36 +99,54 @@ def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     n, m = len(a), len(b)
     if (a[-1] if n else 0) != (b[-1] if m else 0):
         raise ValueError("the tokens cover different bytes")
-    up_a: list[int] = []
-    up_b: list[int] = []
+    from_a: list[int] = []
+    from_b: list[int] = []
+    runs: list[int] = []
     while i < n:
         left, right = a[i], b[j]
-        if left == right:
-            most, run, step = min(n - i, m - j), 1, 1
-            while run + step <= most and a[i + run: i + run + step] == b[j + run: j + run + step]:
-                run += step
-                step += step
-            while step:  # the mismatch, or the end, lies within the last probe
-                if run + step <= most and a[i + run: i + run + step] == b[j + run: j + run + step]:
-                    run += step
-                step >>= 1
-            up_a.extend(range(i + 1, i + run + 1))
-            up_b.extend(range(j + 1, j + run + 1))
-            i += run
-            j += run
-        else:
-            while left != right:
-                if left < right:
-                    i += 1
-                    left = a[i]
-                else:
-                    j += 1
-                    right = b[j]
-            i += 1
-            j += 1
-            up_a.append(i)
-            up_b.append(j)
-    return up_a, up_b
+        while left != right:  # an irregular group: move the smaller end on
+            if left < right:
+                i += 1
+                left = a[i]
+            else:
+                j += 1
+                right = b[j]
+        # A group ends here; along the shift that it leaves, further ends may agree.
+        from_a.append(i)
+        from_b.append(j)
+        x, y, step = i + 1, j + 1, 4
+        most = min(n - i, m - j) + i
+        while x + step <= most and a[x: x + step] == b[y: y + step]:
+            x += step
+            y += step
+            step += step
+        while step > 4:  # the end of the run lies within the last probe
+            step >>= 1
+            if x + step <= most and a[x: x + step] == b[y: y + step]:
+                x += step
+                y += step
+        while x < most and a[x] == b[y]:
+            x += 1
+            y += 1
+        runs.append(x - i)
+        i, j = x, y
+    runs = np.array(runs, dtype=np.int64)
+    along = np.arange(1, int(runs.sum()) + 1) - np.repeat(np.cumsum(runs) - runs, runs)
+    return tuple(np.repeat(np.array(x, dtype=np.int64), runs) + along for x in (from_a, from_b))
+
+
+class Strings:
+    """Byte strings by number; ``joined`` are those of many numbers, one after the other."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.array([len(x) for x in strings], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        stop = np.cumsum(size)
+        return self.flat[np.repeat(self.start[ids] - (stop - size), size) + np.arange(int(size.sum()))]
 
 
 class Aligner:
@@ -137,27 +155,24 @@ class Aligner:
     def __init__(self, byte_level: bytes, pieces: bytes):
         self.a, self.b = ByteLevel(byte_level), Pieces(pieces)
         self.n_b = len(self.b.bytes)
-        self.size_a = np.array([len(x) for x in self.a.bytes], dtype=np.int64)
-        self.size_b = np.array([len(x) for x in self.b.bytes], dtype=np.int64)
+        self.of_a, self.of_b = Strings(self.a.bytes), Strings(self.b.bytes)
         # What each token adds to a printed group list: inside its side of a group, and closing it.
-        self.printed = [f"{i}{c}" for i in range(len(self.a.bytes)) for c in ",|"] + [f"{i}{c}" for i in range(self.n_b) for c in ",;"]
+        self.printed = Strings([f"{i}{c}".encode() for n, last in ((len(self.a.bytes), "|"), (self.n_b, ";")) for i in range(n) for c in "," + last])
 
     def texts(self, raw: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         """(A ids, B ids, A ends, B ends, A tokens up to each group's end, B tokens likewise) of each text."""
         none = np.zeros(0, dtype=np.int64)
         texts = [x.decode() for x in raw]
-        for t, x, ids_a, ids_b in zip(texts, raw, self.a.encode([" " + t for t in texts]), self.b.encode(texts)):
-            whole = b" " + x
-            bytes_a, bytes_b = self.a.bytes, self.b.bytes
-            if not x or b"".join([bytes_a[i] for i in ids_a]) != whole or b"".join([bytes_b[i] for i in ids_b]) != whole:
+        for x, ids_a, ids_b in zip(raw, self.a.encode([" " + t for t in texts]), self.b.encode(texts)):
+            whole = np.frombuffer(b" " + x, dtype=np.uint8)
+            ids_a, ids_b = np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
+            if not x or not np.array_equal(self.of_a.joined(ids_a), whole) or not np.array_equal(self.of_b.joined(ids_b), whole):
                 yield (none,) * 6
                 continue
-            ids_a, ids_b = np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
-            ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
-            up_a, up_b = align(ends_a.tolist(), ends_b.tolist())
-            yield ids_a, ids_b, ends_a, ends_b, np.array(up_a, dtype=np.int64), np.array(up_b, dtype=np.int64)
+            ends_a, ends_b = np.cumsum(self.of_a.size[ids_a]), np.cumsum(self.of_b.size[ids_b])
+            yield ids_a, ids_b, ends_a, ends_b, *align(ends_a.tolist(), ends_b.tolist())
 
-    def group_list(self, ids_a: np.ndarray, ids_b: np.ndarray, up_a: np.ndarray, up_b: np.ndarray) -> str:
+    def group_list(self, ids_a: np.ndarray, ids_b: np.ndarray, up_a: np.ndarray, up_b: np.ndarray) -> bytes:
         """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
         per_a, per_b = np.diff(up_a, prepend=0), np.diff(up_b, prepend=0)
         out = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
@@ -166,8 +181,7 @@ class Aligner:
         last_b[up_b - 1] = 1
         out[np.arange(len(ids_a)) + np.repeat(up_b - per_b, per_a)] = 2 * ids_a + last_a
         out[np.arange(len(ids_b)) + np.repeat(up_a, per_b)] = 2 * (len(self.a.bytes) + ids_b) + last_b
-        printed = self.printed
-        return "".join([printed[k] for k in out.tolist()])[:-1]
+        return self.printed.joined(out).tobytes()[:-1]
 
     def links(self, ids_a, ids_b, ends_a, ends_b, up_a, up_b) -> np.ndarray:
         """The pair (A id * number of B ids + B id) of every link."""
@@ -244,7 +258,7 @@ def _blocks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
                     links.append(found | (k << PAIR_BITS))
                     measures.append((len(ids_a), len(ids_b), len(up_a), len(found)))
                     text = own.group_list(ids_a, ids_b, up_a, up_b)
-                    digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
+                    digests.append(hashlib.sha256(text).hexdigest() if text else "")
                 entry, times = np.unique(np.concatenate(links), return_counts=True)
                 pairs, which = np.unique(entry & ((1 << PAIR_BITS) - 1), return_inverse=True)
                 counts = np.bincount(which, weights=times, minlength=len(pairs)).astype(np.int64)
