@@ -6,9 +6,9 @@ the connected components of that relation.
 
 No step lists all pairs of a group. Copies with an equal title are folded into
 cells (title, city, kind, half day) first; cells are linked to their nearest
-neighbours in time only, which leaves the components unchanged. Pairs are made
-only between *different* similar titles, found by exact prefix and n-gram keys
-within one city and two days.
+neighbours in time only, which leaves the components unchanged. Different similar
+titles are found by exact prefix and n-gram keys within one city and two days;
+their cells are linked by bands of the rule, without listing pairs of rows.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from marquee.functions.clock import hours_between, is_long, local_day
 from marquee.functions.text import (
     location_match, match_text, match_tokens, strip, title_similarity,
 )
+from marquee.operators.blocking import contained_pairs
 from marquee.session import cut_lineage
 
 SHORT_HOURS = 12
@@ -88,55 +89,64 @@ def reaches(seed: Side, other: Side) -> Column:
 # --- candidate counts ------------------------------------------------------
 
 
+HOUR = 3_600_000_000
+COUNT_DAYS = 8
+
+
 def candidate_counts(listings: DataFrame) -> DataFrame:
     """Candidates each listing reaches, as (id, candidates).
 
-    Counted from a histogram of start seconds with running sums: linear in the
-    input, whatever the size of a city or of a moment.
+    Counted from a histogram of start moments by prefix sums on two levels: over
+    the hours of a few days (at most a few hundred rows of totals), and over the
+    moments inside one hour. No window holds more than one hour of one city's
+    moments, and the work is linear in the input, whatever the size of a city.
     """
     rows = listings.select(
         "id", "city", "all_day",
         is_long(F.col("start_at"), F.col("end_at"), F.col("all_day")).alias("long"),
         F.unix_micros("start_at").alias("at"),
     )
-    day = 86_400_000_000
-    span = 8 * day
-    near, far = SHORT_HOURS * day // 24, LONG_HOURS * day // 24
-    histogram = (
-        rows.groupBy("city", "at")
-        .agg(F.count("*").alias("n"), F.count_if("all_day").alias("d"))
-    )
-    data = (
-        histogram.withColumn("scope", F.explode(F.array("city", F.lit("*"))))
-        .groupBy("scope", "at").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-        .withColumn("bin", F.explode(F.array_distinct(F.array(
-            F.floor((F.col("at") - far) / span), F.floor((F.col("at") + far) / span)))))
-        .select("scope", "bin", "at", F.lit(1).alias("tie"), "n", "d",
-                F.lit(None).cast("bigint").alias("seed"), F.lit(None).cast("string").alias("mark"))
-    )
+    near, far, span = SHORT_HOURS * HOUR, LONG_HOURS * HOUR, COUNT_DAYS * 24 * HOUR
+    hour, bin = F.floor(F.col("at") / HOUR), F.floor(F.col("seed") / span)
+    histogram = cut_lineage(
+        rows.groupBy("city", "at").agg(F.count("*").alias("n"), F.count_if("all_day").alias("d"))
+        .withColumn("scope", F.explode(F.array("city", F.lit("*"))))
+        .groupBy("scope", "at").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).withColumn("hour", hour))
     scope = F.when(F.col("city") == "other", F.lit("*")).otherwise(F.col("city"))
     seeds = rows.select(scope.alias("scope"), F.col("at").alias("seed")).distinct()
+    # A low end counts what lies before it, a high end what lies up to it.
     marks = F.array(*[
         F.struct((F.col("seed") + offset).alias("at"), F.lit(tie).alias("tie"), F.lit(name).alias("mark"))
         for name, offset, tie in (
             ("far_low", -far, 0), ("near_low", -near, 0), ("near_high", near, 2), ("far_high", far, 2))
     ])
-    probes = seeds.withColumn("bin", F.floor(F.col("seed") / span)).select(
-        "scope", "bin", "seed", F.inline(marks)
-    ).withColumn("n", F.lit(0)).withColumn("d", F.lit(0))
-    order = Window.partitionBy("scope", "bin").orderBy("at", "tie").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    running = (
-        data.unionByName(probes)
-        .withColumn("n", F.sum("n").over(order))
-        .withColumn("d", F.sum("d").over(order))
-        .filter(F.col("mark").isNotNull())
-    )
+    probes = seeds.select("scope", "seed", F.inline(marks)).withColumn("hour", hour)
+    none = {"n": F.lit(0), "d": F.lit(0)}
+    key = ["scope", "hour", "at", "tie", "seed", "mark"]
+
+    moments = Window.partitionBy("scope", "hour").orderBy("at", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    data = histogram.withColumns({"tie": F.lit(1), "seed": F.lit(None).cast("bigint"), "mark": F.lit(None).cast("string")})
+    inside = (
+        data.select(*key, "n", "d").unionByName(probes.withColumns(none).select(*key, "n", "d"))
+        .select(*key, F.sum("n").over(moments).alias("n"), F.sum("d").over(moments).alias("d"))
+        .filter(F.col("mark").isNotNull()).withColumn("bin", bin))
+
+    hours = Window.partitionBy("scope", "bin").orderBy("hour", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = histogram.groupBy("scope", "hour").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).withColumn(
+        "bin", F.explode(F.array_distinct(F.array(
+            F.floor((F.col("hour") * HOUR - far) / span), F.floor(((F.col("hour") + 1) * HOUR + far) / span)))))
+    asked = probes.select("scope", bin.alias("bin"), "hour").distinct().withColumns(none)
+    before = (  # of each hour asked for: what lies in earlier hours of its bin
+        totals.withColumn("kind", F.lit(1)).unionByName(asked.withColumn("kind", F.lit(0)))
+        .select("scope", "bin", "hour", "kind", F.sum("n").over(hours).alias("n0"), F.sum("d").over(hours).alias("d0"))
+        .filter("kind = 0").drop("kind"))
+    found = inside.join(before, ["scope", "bin", "hour"]).select(
+        "scope", "seed", "mark", (F.col("n") + F.col("n0")).alias("n"), (F.col("d") + F.col("d0")).alias("d"))
 
     def at(mark: str, c: str) -> Column:
         return F.max(F.when(F.col("mark") == mark, F.col(c)))
 
-    counts = running.groupBy("scope", "seed").agg(
+    counts = found.groupBy("scope", "seed").agg(
         (at("near_high", "n") - at("near_low", "n")).alias("near_all"),
         (at("far_high", "n") - at("far_low", "n")).alias("far_all"),
         (at("far_high", "d") - at("far_low", "d") - at("near_high", "d") + at("near_low", "d")).alias("far_days"),
@@ -317,22 +327,10 @@ _ROW = ["id", "title_key", "tokens", "venue_key", "address_key", "long", "all_da
         "start_at", "day_low", "day_high", "city"]
 
 
-def without_copies(keyed: DataFrame) -> DataFrame:
-    """One row, with the smallest id, for all rows that agree in everything the match rule reads.
-
-    Such rows match each other and the same others, so links of one of them
-    stand for those of all. Counted up before the shuffle: a title that is
-    listed a thousand times for one moment and place is one row.
-    """
-    same = [c for c in [*_ROW, "kind", "slot"] if c not in ("id", "tokens")]
-    return keyed.groupBy(*same).agg(F.min("id").alias("id")).withColumn("tokens", match_tokens(F.col("title_key")))
-
-
 def similar_pairs(keyed: DataFrame) -> DataFrame:
     """Matching pairs of listings whose titles differ, as (a, b) with ``a < b``.
 
-    This lists every pair, as a report; groups are formed from the pairs of
-    ``without_copies(keyed)``.
+    This lists every pair, as a report; groups are formed from ``similar_edges``.
     """
     pairs = cut_lineage(similar_titles(keyed))
     rows = _blocks(keyed.withColumn("bin", F.floor(F.col("slot") / BIN_SLOTS)))
@@ -353,6 +351,106 @@ def similar_pairs(keyed: DataFrame) -> DataFrame:
     return kept.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
 
+# --- links between cells of similar titles ----------------------------------
+
+
+def _place_pairs(places: DataFrame) -> DataFrame:
+    """(block, place1, place2): different places of a block of which one lies inside the other.
+
+    Places carry a prefix of one character that tells venues from addresses. Each
+    is looked up by its rarest n-gram (three characters, or all of a shorter one).
+    """
+    found = None
+    for n in (3, 2, 1):
+        size = F.length("place") - 1
+        inner = places.filter(size == n) if n < 3 else places.filter(size >= n)
+        pairs = contained_pairs(
+            inner.select("block", F.substring("place", 1, 1).alias("side"), F.expr("substring(place, 2)").alias("text")),
+            places.select("block", F.substring("place", 1, 1).alias("side"), F.expr("substring(place, 2)").alias("text")),
+            ["block", "side"], "text", n)
+        found = pairs if found is None else found.unionByName(pairs)
+    inside = found.filter("inner_text <> outer_text").select(
+        "block", F.concat("side", "inner_text").alias("place1"), F.concat("side", "outer_text").alias("place2"))
+    return inside.unionByName(inside.select("block", F.col("place2").alias("place1"), F.col("place1").alias("place2")))
+
+
+def _categories_limit(v1: Column, k1: Column, v2: Column, k2: Column) -> Column:
+    """Hours within which rows of two categories (visitor, kind) reach each other, as a column."""
+    limit = F.lit(None).cast("int")
+    for visit_a in (False, True):
+        for kind_a in _KINDS:
+            for visit_b in (False, True):
+                for kind_b in _KINDS:
+                    hours = _limit((visit_a, kind_a), (visit_b, kind_b))
+                    if hours is not None:
+                        limit = F.when(
+                            (v1 == visit_a) & (k1 == kind_a) & (v2 == visit_b) & (k2 == kind_b), hours).otherwise(limit)
+    return limit
+
+
+def _met(pairs: DataFrame, points: DataFrame, places: DataFrame | None, keys: list[str], reach: int) -> DataFrame:
+    """Points of both titles of each pair, in bins at most ``reach`` apart and at equal or nested places."""
+    one = points.select(*[F.col(c).alias(f"{c}1") for c in points.columns])
+    two = points.select(*[F.col(c).alias(f"{c}2") for c in points.columns])
+    left = pairs.join(one.withColumnsRenamed({"block1": "block", "title_key1": "t1", "visitor1": "v1", "long_bin1": "b1"}), ["block", "t1", "v1", "b1"])
+    left = left.withColumn("bin2", F.explode(F.array(*[F.col("bin1") + d for d in range(-reach, reach + 1)])))
+    if places is not None:
+        nested = left.join(places, ["block", "place1"])
+        left = left.withColumn("place2", F.col("place1")).unionByName(nested)
+    right = two.withColumnsRenamed({"block2": "block", "title_key2": "t2", "visitor2": "v2", "long_bin2": "b2"})
+    met = left.join(right, ["block", "t2", "v2", "b2", "bin2", *[f"{k}2" for k in keys]])
+    nearest = F.greatest(F.col("low2") - F.col("high1"), F.col("low1") - F.col("high2"))
+    return met.withColumn("gap", F.when(F.col("bin1") == F.col("bin2"), 0).otherwise(nearest) / 3.6e9)
+
+
+def similar_edges(keyed: DataFrame, cells: DataFrame) -> DataFrame:
+    """Links (a, b) between the cells of similar titles that hold some matching pair of rows.
+
+    All rows of a cell are one group, so one link for two cells is enough. Each
+    band of the rule (a similarity, hours apart, with or without a common place)
+    folds the rows to the first and last moment of every bin as wide as its hours
+    (long rows: of every cell and day range). Two bins hold a pair within those
+    hours exactly if they are the same, or if the last moment of one and the
+    first of the next are. So the rows of a title count no more than its bins and
+    places, whatever their number, and links grow with the rows, not with pairs.
+    """
+    pairs = cut_lineage(similar_titles(keyed).withColumn(
+        "score", title_similarity(F.col("t1"), F.col("t2"), match_tokens(F.col("t1")), match_tokens(F.col("t2")))))
+    titles = pairs.select(F.explode(F.array("t1", "t2")).alias("title_key")).distinct()
+    at = F.unix_micros("start_at")
+    rows = _blocks(
+        keyed.join(titles, "title_key", "left_semi").join(cells.select(*CELL, "node"), CELL)
+        .withColumn("long_bin", F.floor(F.col("slot") / BIN_SLOTS)))
+    rows = cut_lineage(rows.select(
+        "title_key", "block", "visitor", "long_bin", "kind", "slot", "day_low", "day_high", "node", at.alias("at"), "venue_key", "address_key"))
+    names = F.filter(F.array(F.concat(F.lit("v"), "venue_key"), F.concat(F.lit("a"), "address_key")), lambda x: F.length(x) > 1)
+    placed = rows.withColumn("place", F.explode(names))
+    places = cut_lineage(_place_pairs(placed.select("block", "place").distinct()))
+    spot = ["title_key", "block", "visitor", "long_bin", "node"]
+    moments = (F.min("at").alias("low"), F.max("at").alias("high"))
+    found = []
+    for score, hours, by_place in ((0.88, 6, False), (0.75, 3, True), (0.67, 2, True)):
+        some = (placed if by_place else rows).filter("kind = 'short'").withColumn("bin", F.floor(F.col("at") / (hours * 3_600_000_000)))
+        keys = ["place"] if by_place else []
+        points = some.groupBy(*spot, "bin", *keys).agg(*moments)
+        met = _met(pairs.filter(F.col("score") >= score), points, places if by_place else None, keys, 1)
+        found.append(met.filter(F.col("gap") <= hours).select("node1", "node2"))
+    for score, by_place in ((0.82, False), (0.67, True)):
+        some = (placed if by_place else rows).withColumn("bin", F.col("slot"))
+        keys = ["place"] if by_place else []
+        points = some.groupBy(*spot, "bin", "kind", "day_low", "day_high", *keys).agg(*moments)
+        met = _met(pairs.filter(F.col("score") >= score), points, places if by_place else None, keys, BIN_SLOTS)
+        days_meet = F.greatest("day_low1", "day_low2") <= F.least("day_high1", "day_high2")
+        some_long = (F.col("kind1") != "short") | (F.col("kind2") != "short")
+        limit = _categories_limit(F.col("v1"), F.col("kind1"), F.col("v2"), F.col("kind2"))
+        found.append(met.filter(some_long & days_meet & (F.col("gap") <= limit)).select("node1", "node2"))
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links.filter("node1 <> node2").select(
+        F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+
+
 # --- groups ----------------------------------------------------------------
 
 
@@ -403,12 +501,7 @@ def duplicate_groups(listings: DataFrame, prior: str | None = None) -> DataFrame
     where = keyed.select("id", *CELL, *([prior] if prior else []))
     nodes = cut_lineage(where.join(cells.select(*CELL, "node"), CELL, "left").select(
         "id", F.coalesce("node", "id").alias("node"), *([prior] if prior else [])))
-    node_of = nodes.select("id", "node")
-    similar = similar_pairs(cut_lineage(without_copies(keyed)))
-    edges = equal_title_edges(cells).unionByName(
-        similar.join(node_of.select(F.col("id").alias("a"), F.col("node").alias("na")), "a")
-        .join(node_of.select(F.col("id").alias("b"), F.col("node").alias("nb")), "b")
-        .select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    edges = equal_title_edges(cells).unionByName(similar_edges(keyed, cells))
     if prior:
         members = nodes.filter(F.col(prior).isNotNull()).select(prior, "node").distinct()
         first = members.groupBy(prior).agg(F.min("node").alias("b"))

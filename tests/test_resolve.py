@@ -93,16 +93,50 @@ def test_one_hot_title(spark):
 
 
 def test_hot_similar_titles(spark):
-    """Three similar titles of 20,000 rows each at one moment: one row of each is compared."""
+    """Three similar titles of 20,000 rows each at one moment: their cells are linked once."""
     title = F.element_at(F.array(F.lit("tampa river jazz fest"), F.lit("river jazz fest"), F.lit("the river jazz fest show")), (F.col("id") % 3 + 1).cast("int"))
     hot = spark.range(60000).select(
         "id", title.alias("title"), F.lit("tampa").alias("city"), F.lit(BASE).alias("start_at"), F.lit(None).cast("timestamp").alias("end_at"),
         F.lit(False).alias("all_day"), F.lit("Hall").alias("venue_name"), F.lit(None).cast("string").alias("address"))
-    pairs = R.similar_pairs(R.without_copies(R.keyed_rows(hot)))
-    assert pairs.count() <= 3
+    keyed = R.keyed_rows(hot)
+    assert R.similar_edges(keyed, R.title_cells(keyed)).count() <= 3
     assert R.duplicate_groups(hot).filter("group_id = 0").count() == 60000
 
 
+@pytest.mark.parametrize("other", ["the river jazz fest of tampa show", "summer river jazz fest of tampa"])
+def test_hot_similar_titles_at_different_minutes(spark, other):
+    """Two similar titles (one inside the other; five of seven words) of 20,000 rows each at other moments and places."""
+    title = F.when(F.col("id") % 2 == 0, "river jazz fest of tampa winter" if "summer" in other else "river jazz fest of tampa").otherwise(other)
+    hot = spark.range(40000).select(
+        "id", title.alias("title"), F.lit("tampa").alias("city"),
+        (F.lit(BASE) + F.make_dt_interval(mins=(F.col("id") * 7 % 40000).cast("int"))).alias("start_at"),
+        F.lit(None).cast("timestamp").alias("end_at"), F.lit(False).alias("all_day"),
+        F.when(F.col("id") % 4 < 2, "Hall").otherwise(F.concat(F.lit("Hall "), (F.col("id") % 7).cast("string"))).alias("venue_name"),
+        F.lit(None).cast("string").alias("address"))
+    keyed = R.keyed_rows(hot)
+    cells = R.title_cells(keyed)
+    edges = R.similar_edges(keyed, cells)
+    assert 0 < edges.count() <= 3 * cells.count() < 1000
+    got = {r["id"]: r["group_id"] for r in R.duplicate_groups(hot).collect()}
+    some = hot.filter("id % 40 < 3")
+    rows = [r[0] for r in some.select("id").collect()]
+    want = components(rows, [(a, b) for a, b, _ in all_pairs(some)])
+    assert {r["id"]: r["group_id"] for r in R.duplicate_groups(some).collect()} == want
+    assert len(set(got.values())) == 1
+
+
+def test_nested_places(spark):
+    t = lambda h, m=0: datetime(2026, 5, 1, h, m, tzinfo=timezone.utc)
+    names = ["a", "ab", "x ab y", "", None, "b", "hall", "the hall"]
+    rows = [(2 * k + d, title, "tampa", t(10 + d, 30 * d), None, False, v, None, None)
+            for k, v in enumerate(names) for d, title in ((0, f"one two three four six n{k}"), (1, f"one two three six n{k} five"))]
+    rows += [(100 + k, "red blue green", "tampa", t(10), None, False, v, None, None) for k, v in enumerate(names)]
+    rows += [(200 + k, "red blue green brown", "other", t(11, k), None, k % 2 == 1, None, v, None) for k, v in enumerate(names)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["id"]: r["group_id"] for r in R.duplicate_groups(df).collect()}
+    assert got == components([r[0] for r in rows], [(a, b) for a, b, _ in all_pairs(df)])
+
+
 def test_long_chain_settles(spark):
     edges = spark.range(500).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     out = R.connected_components(edges)
