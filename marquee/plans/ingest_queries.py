@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -14,7 +15,9 @@ from marquee.operators import (
 from marquee.plans.listing_queries import ELECTION
 from marquee.plans.registry import query
 from marquee.plans.views import NOW, NOW_SQL
+from marquee.session import shared_folder
 from marquee.sources import classify
+from marquee.streaming import ingest
 
 KEYS = ["source_id", "source_event_id"]
 GATE = (datetime(1995, 1, 1, tzinfo=timezone.utc), datetime(1998, 6, 20, tzinfo=timezone.utc))
@@ -36,16 +39,33 @@ def upsert_outcomes(t):
     return plan(t).filter("outcome is not null").select(*KEYS, "outcome", "reason")
 
 
-@query("upsert_result", f"""WITH {_PLAN}
+_RESULT = f"""WITH {_PLAN}
 SELECT l.id, l.source_event_id, coalesce(CASE WHEN outcome = 'updated' THEN p.title END, l.title) AS title,
   coalesce(CASE WHEN outcome = 'updated' THEN p.start_at END, l.start_at) AS start_at,
   CASE WHEN outcome = 'updated' OR reason = 'hash_match' THEN {NOW_SQL} ELSE l.last_seen_at END AS last_seen_at
 FROM v_listings l LEFT JOIN plan p USING (source_id, source_event_id)
-UNION ALL SELECT id, source_event_id, title, start_at, {NOW_SQL} FROM plan WHERE outcome = 'inserted'""")
+UNION ALL SELECT id, source_event_id, title, start_at, {NOW_SQL} FROM plan WHERE outcome = 'inserted'"""
+
+
+@query("upsert_result", _RESULT)
 def upsert_result(t):
     return U.applied(plan(t)).select("id", "source_event_id", "title", "start_at", "last_seen_at")
 
 
+@query("stream_equals_batch", _RESULT)
+def stream_equals_batch(t):
+    """The same batch in three micro-batches over a table split by month."""
+    root = f"{shared_folder(t.spark)}/marquee-stream-{uuid.uuid4().hex}"
+    stored, batch = t.listings(), t.incoming().withColumn("arrival", F.col("id"))
+    ingest.start_table(stored, f"{root}/table", pattern="yyyy-MM")
+    batch.repartition(3, "id").write.parquet(f"{root}/in")
+    stream = ingest.file_stream(t.spark, f"{root}/in", batch.schema, files_per_trigger=1)
+    ingest.start_upserts(
+        stream, f"{root}/table", f"{root}/checkpoint", stored.schema, KEYS, "arrival", lambda: NOW, ("id", "canonical_id"),
+        U.window_gate(*GATE), pattern="yyyy-MM").awaitTermination()
+    return ingest.read_table(t.spark, f"{root}/table", stored.schema).select("id", "source_event_id", "title", "start_at", "last_seen_at")
+
+
 @query("upsert_duplicate_keys", f"""WITH {_PLAN}
 SELECT l.id, coalesce(CASE WHEN outcome = 'updated' THEN 'later ' || p.title END, l.title) AS title
 FROM v_listings l LEFT JOIN plan p USING (source_id, source_event_id)

@@ -8,12 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from marquee.operators.logs import accepted_metrics
-from marquee.operators.upsert import applied, plan_upsert
+from marquee.operators.upsert import applied, last_per_key, plan_upsert
+from marquee.session import cut_lineage
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -23,28 +24,103 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_tr
     )
 
 
+def _period(start: str, pattern: str) -> Column:
+    return F.coalesce(F.date_format(start, pattern), F.lit("none"))
+
+
+def _manifest(spark: SparkSession, root: str, version: int | None = None) -> list:
+    """(period, version) of every live partition: of one version, or of the last one; bounded by the calendar."""
+    found = spark.read.schema("period string, version long, of long").parquet(f"{root}/manifest")
+    if version is None:
+        version = found.agg(F.max("of")).first()[0]
+    return found.filter(F.col("of") == version).select("period", "version").collect()
+
+
+def _write_manifest(spark: SparkSession, root: str, version: int, live: dict[str, int]) -> None:
+    rows = spark.createDataFrame(list(live.items()), "period string, version long")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/of={version}")
+
+
+def _write_rows(df: DataFrame, root: str, version: int, start: str, pattern: str) -> set[str]:
+    """Write the partitions of a version; a second attempt replaces them. Returns their periods."""
+    seen = Observation()
+    rows = df.withColumns({"period": _period(start, pattern), "version": F.lit(version)}).observe(
+        seen, F.collect_set("period").alias("periods"))
+    (rows.hint("rebalance", "period").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("period", "version").parquet(f"{root}/rows"))
+    return set(seen.get["periods"])
+
+
+def _rows(spark: SparkSession, root: str, schema: StructType, live: list) -> DataFrame:
+    """The rows of these partitions; files of others are not even listed."""
+    if not live:
+        return spark.createDataFrame([], schema)
+    paths = [f"{root}/rows/period={p}/version={v}" for p, v in live]
+    return spark.read.schema(schema).parquet(*paths)
+
+
+def start_table(df: DataFrame, root: str, start: str = "start_at", pattern: str = "yyyy-MM-dd") -> None:
+    """Write ``df`` as version 0 of a table under ``root``, split by the UTC day (or ``pattern``) of ``start``."""
+    found = _write_rows(df, root, 0, start, pattern)
+    _write_manifest(df.sparkSession, root, 0, {p: 0 for p in found})
+
+
+def read_table(spark: SparkSession, root: str, schema: StructType, version: int | None = None) -> DataFrame:
+    """The table as it is after the last batch, or after batch ``version``."""
+    return _rows(spark, root, schema, _manifest(spark, root, version))
+
+
+def upsert_batch(
+    spark: SparkSession,
+    batch: DataFrame,
+    root: str,
+    version: int,
+    schema: StructType,
+    keys: list[str],
+    arrival: str,
+    now: datetime,
+    identity: tuple[str, ...] = ("id",),
+    gate=None,
+    start: str = "start_at",
+    pattern: str = "yyyy-MM-dd",
+) -> None:
+    """Version ``version`` of the table, from the one before it.
+
+    Only the periods that the batch touches are read whole and written: those of
+    its rows, and those where its keys are stored now (found by the key columns
+    alone). The manifest of the version names the partition that is live for each
+    period. Nothing that an earlier version names is changed, so a batch that is
+    run again reads the same input and replaces its own output.
+    """
+    live = {r["period"]: r["version"] for r in _manifest(spark, root, version - 1)}
+    batch = cut_lineage(last_per_key(batch, keys, arrival))
+    stored = _rows(spark, root, schema, list(live.items()))
+    at = [r[0] for r in stored.join(batch.select(*keys), keys, "left_semi").select(_period(start, pattern)).distinct().collect()]
+    to = [r[0] for r in batch.select(_period(start, pattern)).distinct().collect()]
+    touched = [(p, live[p]) for p in {*at, *to} if p in live]
+    plan = plan_upsert(_rows(spark, root, schema, touched), batch, keys, now, gate, identity, arrival=arrival)
+    written = _write_rows(applied(plan), root, version, start, pattern)
+    kept = {p: v for p, v in live.items() if p not in dict(touched)}
+    _write_manifest(spark, root, version, {**kept, **{p: version for p in written}})
+
+
 def start_upserts(
     incoming: DataFrame,
     root: str,
     checkpoint: str,
+    schema: StructType,
     keys: list[str],
     arrival: str,
     now: Callable[[], datetime],
     identity: tuple[str, ...] = ("id",),
     gate=None,
+    start: str = "start_at",
+    pattern: str = "yyyy-MM-dd",
 ) -> StreamingQuery:
-    """Apply each micro-batch to the table under ``root``.
-
-    Version ``n + 1`` is written beside version ``n`` from it, so a batch that is
-    run again after a failure reads the same input and replaces its own output.
-    Version 0 is the starting table.
-    """
-
+    """Apply each micro-batch to the table under ``root`` (see ``start_table``): batch ``n`` makes version ``n + 1``."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = spark.read.parquet(f"{root}/version={batch_id}")
-        plan = plan_upsert(stored, batch, keys, now(), gate, identity, arrival=arrival)
-        applied(plan).write.mode("overwrite").parquet(f"{root}/version={batch_id + 1}")
+        upsert_batch(
+            batch.sparkSession, batch, root, batch_id + 1, schema, keys, arrival, now(), identity, gate, start, pattern)
 
     return (
         incoming.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

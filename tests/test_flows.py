@@ -144,13 +144,44 @@ def test_stream_upserts_equal_batch(spark, tmp_path):
     t = Tables(spark, T)
     stored, batch = t.listings(), t.incoming().withColumn("arrival", F.col("id"))
     root, source = str(tmp_path / "table"), str(tmp_path / "in")
-    stored.write.parquet(f"{root}/version=0")
-    batch.coalesce(1).write.parquet(source)
-    stream = ingest.file_stream(spark, source, batch.schema)
-    query = ingest.start_upserts(stream, root, str(tmp_path / "cp"), KEYS, "arrival", lambda: NOW, ("id", "canonical_id"))
-    query.awaitTermination(120)
+    ingest.start_table(stored, root, pattern="yyyy-MM")
+    batch.repartition(3, "id").write.parquet(source)
+    stream = ingest.file_stream(spark, source, batch.schema, files_per_trigger=1)
+    query = ingest.start_upserts(
+        stream, root, str(tmp_path / "cp"), stored.schema, KEYS, "arrival", lambda: NOW, ("id", "canonical_id"), pattern="yyyy-MM")
+    query.awaitTermination(300)
+    assert query.lastProgress["batchId"] == 2
     want = upsert.applied(upsert.plan_upsert(stored, batch, KEYS, NOW, identity=("id", "canonical_id"), arrival="arrival"))
-    assert rows(spark.read.parquet(f"{root}/version=1")) == rows(want)
+    assert rows(ingest.read_table(spark, root, stored.schema)) == rows(want)
+    assert rows(ingest.read_table(spark, root, stored.schema, 0)) == rows(stored)
+
+
+def test_a_batch_writes_the_days_it_touches(spark, tmp_path):
+    schema = "id long, k string, title string, start_at timestamp, content_hash string, last_seen_at timestamp"
+    day = lambda d, h=9: datetime(2026, 5, d, h, tzinfo=timezone.utc)
+    stored = spark.createDataFrame([(i, f"k{i}", f"t{i}", day(1 + i % 6), f"h{i}", NOW) for i in range(12)] + [(99, "k99", "t", None, "h", NOW)], schema)
+    root = str(tmp_path / "table")
+    ingest.start_table(stored, root)
+
+    def take(version, *changes):
+        batch = spark.createDataFrame([(*c, n) for n, c in enumerate(changes)], schema + ", arrival long")
+        ingest.upsert_batch(spark, batch, root, version, stored.schema, ["k"], "arrival", NOW)
+        return {r["id"]: (r["title"], r["start_at"] and r["start_at"].day) for r in ingest.read_table(spark, root, stored.schema, version).collect()}
+
+    def written(version):
+        return sorted(p.parent.name.removeprefix("period=") for p in (tmp_path / "table" / "rows").glob(f"*/version={version}"))
+
+    first = take(1, (0, "k0", "new", day(1), "x", NOW))
+    assert written(1) == ["2026-05-01"] and first[0] == ("new", 1) and len(first) == 13
+    # Day 6 is emptied by two moves; a new row opens a day; the row without a start changes in place.
+    moves = [(5, "k5", "a", day(3), "y", NOW), (11, "k11", "b", day(3), "z", NOW), (50, "k50", "c", day(20), "q", NOW), (99, "k99", "d", None, "w", NOW)]
+    for _ in range(2):  # a second attempt gives the same
+        second = take(2, *moves)
+        assert written(2) == ["2026-05-03", "2026-05-20", "none"] and len(second) == 14
+        assert second[5] == ("a", 3) and second[11] == ("b", 3) and second[50] == ("c", 20) and second[99] == ("d", None)
+    files = [x.split("/rows/")[1].split("/part-")[0] for x in ingest.read_table(spark, root, stored.schema).inputFiles()]
+    assert "period=2026-05-06/version=0" not in files and "period=2026-05-02/version=0" in files
+    assert take(3, (2, "k2", "t2", day(3), "h2", NOW)) == second
 
 
 def test_stream_counts_equal_batch(spark, tmp_path):
