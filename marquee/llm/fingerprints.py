@@ -1,10 +1,15 @@
 """SimHash fingerprints and the search for near ones, in DataFrame functions only.
 
-A text's terms are its shingles of five words (all its words as one term where
-it has fewer). Every occurrence of a term votes on each of the 64 bits of its
-hash with a weight, the length of its first word up to twelve letters; so
-shingles led by function words count less. A bit of the fingerprint is set
-where the weight for it exceeds the weight against it.
+A text's terms are its words. Every occurrence of a term votes on each of the 64
+bits of its hash with a weight, its length up to twelve letters; so function
+words count less. A bit of the fingerprint is set where the weight for it exceeds
+the weight against it.
+
+Near fingerprints are found through permuted tables: the 64 bits are cut into
+three blocks, and two fingerprints within ``RADIUS`` bits differ by at most a
+third of that in some block. Each table holds one block of every fingerprint; a
+query probes it with all values of its own block that are so near. A query has
+some 700 probes, each of which meets one in two million fingerprints by chance.
 
 Defined results: a null, empty or blank text has no terms and the fingerprint
 of 64 zero bits. A tied vote leaves the bit zero. Rows equal in id and text are
@@ -22,13 +27,10 @@ from marquee.session import cut_lineage
 
 BITS = 64
 HALF = BITS // 2
-SHINGLE_WORDS = 5
 MAX_WEIGHT = 12
 PAIR_MASK = (1 << HALF) | 1  # one bit of the lower and one of the upper half
-RADIUS = 16  # bits; reaches the copies whose sets of terms have a Jaccard similarity of 0.75, see README
-TABLE_RADIUS = 6  # beyond it blocks are so short that tables would compare more pairs than there are
-CELL_PRINTS = 1 << 16
-CELL_QUERIES = 1 << 14
+RADIUS = 8  # bits; README has the share of texts with a Jaccard similarity of 0.75 that lie within it
+TABLES = 3
 
 
 def words(text: Column) -> Column:
@@ -40,12 +42,9 @@ def words(text: Column) -> Column:
 
 def terms(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """``keys``, hash ``h`` and weight ``w``: one row for each occurrence of a term, all inside generated code."""
-    split = rows.select(*keys, words(text).alias("words"))
-    count = F.greatest(F.size("words") - (SHINGLE_WORDS - 1), F.lit(1))
-    shifted = F.arrays_zip(*[F.slice("words", F.lit(k + 1), count).alias(f"w{k}") for k in range(SHINGLE_WORDS)])
-    return split.select(*keys, F.explode_outer(shifted).alias("t")).select(
-        *keys, F.xxhash64(*[f"t.w{k}" for k in range(SHINGLE_WORDS)]).alias("h"),
-        F.coalesce(F.when(F.length("t.w0") > MAX_WEIGHT, F.lit(MAX_WEIGHT)).otherwise(F.length("t.w0")), F.lit(0)).cast("long").alias("w"))
+    each = rows.select(*keys, F.explode_outer(words(text)).alias("t"))
+    weight = F.when(F.length("t") > MAX_WEIGHT, F.lit(MAX_WEIGHT)).otherwise(F.length("t"))
+    return each.select(*keys, F.xxhash64("t").alias("h"), F.coalesce(weight, F.lit(0)).cast("long").alias("w"))
 
 
 def votes(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
@@ -78,61 +77,46 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / F.lit(float(BITS))
 
 
-def block_masks(radius: int, spare: int = 3) -> list[int]:
-    """Masks of the permuted tables: ``radius + spare`` blocks, of which any
-    ``spare`` stay whole when at most ``radius`` bits differ."""
-    n = radius + spare
+def blocks(n: int = TABLES) -> list[tuple[int, int]]:
+    """First bit and number of bits of each block."""
     edges = [BITS * i // n for i in range(n + 1)]
-    blocks = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:])]
-    return [_signed(sum(chosen)) for chosen in combinations(blocks, spare)]
-
+    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
 
-def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, spare: int = 3) -> DataFrame:
-    """(fingerprint, query, distance): all pairs within ``radius`` bits.
 
-    ``prints`` and ``queries`` hold distinct values (columns ``fingerprint``
-    and ``query``). Up to ``TABLE_RADIUS`` a pair meets in every table whose
-    blocks are equal in both and is kept only in the first of them, so no pairs
-    are made distinct later. Beyond it every pair is compared.
-    """
-    if radius > TABLE_RADIUS:
-        return compared(prints, queries, radius)
-    masks = block_masks(radius, spare)
+def flips(bits: int, most: int) -> list[int]:
+    """All values with at most ``most`` of the lowest ``bits`` bits set."""
+    return [sum(1 << b for b in chosen) for k in range(most + 1) for chosen in combinations(range(bits), k)]
 
-    def tables(df: DataFrame, c: str) -> DataFrame:
-        cells = F.array(*[F.struct(F.lit(i).alias("t"), F.col(c).bitwiseAND(F.lit(m)).alias("block")) for i, m in enumerate(masks)])
-        return df.select(c, F.explode(cells).alias("cell")).select(c, "cell.*")
 
-    xor = F.col("fingerprint").bitwiseXOR(F.col("query"))
-    first = F.coalesce(*[F.when(xor.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)])
-    met = tables(prints, "fingerprint").join(tables(queries, "query"), ["t", "block"])
-    return met.filter((F.bit_count(xor) <= radius) & (first == F.col("t"))).select(
-        "fingerprint", "query", F.bit_count(xor).alias("distance"))
-
-
-def compared(prints: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
-    """``near`` by a comparison of every pair, in cells of bounded size.
+def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, query, distance): all pairs within ``radius`` bits.
 
-    Prints and queries are dealt by hash into a grid; a pair meets in one cell,
-    and the distance is a condition of the join, so only near pairs leave it.
-    Spark takes the copies of a query for one row, hence the hint: they are
-    shuffled, not broadcast.
+    ``prints`` and ``queries`` hold distinct values (columns ``fingerprint`` and
+    ``query``). A pair is kept only in the first table that it meets in, so no
+    pairs are made distinct later.
     """
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    prints, queries = cut_lineage(prints), cut_lineage(queries)
-    down = max(1, -(-queries.count() // CELL_QUERIES))
-    across = max(-(-2 * parts // down), -(-prints.count() // CELL_PRINTS))
+    most = radius // TABLES
+    cut = blocks()
 
-    def place(c: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    def block(c: Column, k: int) -> Column:
+        first, bits = cut[k]
+        return F.shiftrightunsigned(c, first).bitwiseAND(F.lit((1 << bits) - 1))
 
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    def tables(df: DataFrame, c: str, values) -> DataFrame:
+        cells = F.flatten(F.array(*[values(k) for k in range(TABLES)]))
+        return df.select(c, F.inline(cells).alias("t", "block"))
 
+    def cell(k: int, value: Column) -> Column:
+        return F.struct(F.lit(k).alias("t"), value.alias("block"))
+
+    held = tables(prints, "fingerprint", lambda k: F.array(cell(k, block(F.col("fingerprint"), k))))
+    probes = tables(queries, "query", lambda k: F.transform(
+        F.lit(flips(cut[k][1], most)), lambda m, k=k: cell(k, block(F.col("query"), k).bitwiseXOR(m.cast("long")))))
     xor = F.col("fingerprint").bitwiseXOR(F.col("query"))
-    met = prints.select("fingerprint", place("fingerprint", across).alias("x"), every(down).alias("y")).join(
-        queries.select("query", every(across).alias("x"), place("query", down).alias("y")).hint("merge"), ["x", "y"])
-    return met.filter(F.bit_count(xor) <= radius).select("fingerprint", "query", F.bit_count(xor).alias("distance"))
+    first = F.coalesce(*[F.when(F.bit_count(block(xor, k)) <= most, F.lit(k)) for k in range(TABLES)])
+    met = held.join(probes.hint("merge"), ["t", "block"])  # probes are many for each query: Spark would take them for few
+    return met.filter((F.bit_count(xor) <= radius) & (first == F.col("t"))).select(
+        "fingerprint", "query", F.bit_count(xor).alias("distance"))
 
 
 def following(rows: DataFrame, key: str) -> DataFrame:

@@ -35,27 +35,27 @@ def test_edited_texts(spark):
     assert np.mean([r["near_edited"] for r in rows.values()]) > np.mean([r["near_next"] for r in rows.values()]) + 0.15
 
 
-def test_block_tables_find_all_within_the_radius(spark):
-    rng = random.Random(3)
+def test_votes_equal_plain_votes(spark):
+    texts = ["a bb ccc bb", "One  two\tthree", "longer-than-twelve-letters again", "", "x", "é 日本 x x"]
+    hashes = {w: r[0] & (1 << 64) - 1 for w in {w for t in texts for w in t.split()}
+              for r in spark.sql("SELECT xxhash64(:w)", args={"w": w}).collect()}
+    got = fingerprints.votes(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), ["k"], F.col("text"))
+    for r in got.collect():
+        weights = [(hashes[w], min(len(w), 12)) for w in texts[r["k"]].split()]
+        want = sum(1 << b for b in range(64) if 2 * sum(w for h, w in weights if h >> b & 1) > sum(w for _, w in weights))
+        assert r["fingerprint"] & (1 << 64) - 1 == want
+
+
+@pytest.mark.parametrize("radius", [3, 8, 9])
+def test_block_tables_find_all_within_the_radius(spark, radius):
+    rng = random.Random(radius)
     base = [rng.getrandbits(64) for _ in range(40)]
-    near = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 6))) for b in base for _ in range(5)]
+    near = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, radius + 4))) for b in base for _ in range(12)}
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    prints = spark.createDataFrame([(signed(x),) for x in set(near + base)], "fingerprint long")
+    prints = spark.createDataFrame([(signed(x),) for x in near | set(base)], "fingerprint long")
     queries = spark.createDataFrame([(signed(x),) for x in base], "query long")
-    got = {tuple(r) for r in fingerprints.near(prints, queries, 3).collect()}
-    assert got == {(signed(a), signed(b), bin(a ^ b).count("1")) for a in set(near + base) for b in base if bin(a ^ b).count("1") <= 3}
-
-
-def test_compared_pairs_are_all_within_the_radius(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "CELL_QUERIES", 16)
-    rng = random.Random(4)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    base = [rng.getrandbits(64) for _ in range(40)]
-    near = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 22))) for b in base for _ in range(9)}
-    prints = spark.createDataFrame([(signed(x),) for x in near], "fingerprint long")
-    queries = spark.createDataFrame([(signed(x),) for x in base], "query long")
-    got = [tuple(r) for r in fingerprints.near(prints, queries).collect()]
-    want = {(signed(a), signed(b), bin(a ^ b).count("1")) for a in near for b in base if bin(a ^ b).count("1") <= 16}
+    got = [tuple(r) for r in fingerprints.near(prints, queries, radius).collect()]
+    want = {(signed(a), signed(b), bin(a ^ b).count("1")) for a in near | set(base) for b in base if bin(a ^ b).count("1") <= radius}
     assert len(got) == len(want) and set(got) == want
 
 
