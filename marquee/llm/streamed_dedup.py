@@ -38,7 +38,8 @@ STORE_CONF = {
     STORE + "rocksdb.boundedMemoryUsage": "true",
     STORE + "rocksdb.maxMemoryUsageMB": "256",
 }
-KEPT_CONF = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone")
+PARTITIONS = "spark.sql.shuffle.partitions"
+STORES = 4  # shuffle partitions for one store: digests are a small part of what the other shuffles carry
 
 
 def normal(text: str = "text") -> Column:
@@ -65,7 +66,8 @@ def _as_glob(path: str) -> str:
 def absorb(spark: SparkSession, path: str, checkpoint: str, digest: Callable[[Column], Column] = sha256, files: int = FILES) -> None:
     """Take all files below ``path`` that the stream with this checkpoint has not read yet into its state."""
     session = spark.newSession()  # the store's settings are this stream's own
-    for key, value in {**STORE_CONF, **{k: spark.conf.get(k) for k in KEPT_CONF}}.items():
+    stores = max(1, int(spark.conf.get(PARTITIONS)) // STORES)  # fixed by the first run of a checkpoint
+    for key, value in {**STORE_CONF, PARTITIONS: str(stores)}.items():
         session.conf.set(key, value)
     schema = session.read.parquet(path).schema
     stream = session.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(_as_glob(path))
