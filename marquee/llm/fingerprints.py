@@ -109,9 +109,12 @@ def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFra
     def cell(k: int, value: Column) -> Column:
         return F.struct(F.lit(k).alias("t"), value.alias("block"))
 
+    def probed(k: int) -> Column:
+        own = block(F.col("query"), k)
+        return F.transform(F.lit(flips(cut[k][1], most)), lambda flip: cell(k, own.bitwiseXOR(flip.cast("long"))))
+
     held = tables(prints, "fingerprint", lambda k: F.array(cell(k, block(F.col("fingerprint"), k))))
-    probes = tables(queries, "query", lambda k: F.transform(
-        F.lit(flips(cut[k][1], most)), lambda m, k=k: cell(k, block(F.col("query"), k).bitwiseXOR(m.cast("long")))))
+    probes = tables(queries, "query", probed)
     xor = F.col("fingerprint").bitwiseXOR(F.col("query"))
     first = F.coalesce(*[F.when(F.bit_count(block(xor, k)) <= most, F.lit(k)) for k in range(TABLES)])
     met = held.join(probes.hint("merge"), ["t", "block"])  # probes are many for each query: Spark would take them for few

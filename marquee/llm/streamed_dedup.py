@@ -92,8 +92,8 @@ def decided(rows: DataFrame, held: DataFrame) -> DataFrame:
         stays.alias("kept"), F.when(F.col("n") > 1, F.col("text")).alias("text")))
     hits = joined.filter("n > 1").select("digest", "kept", "text")
     of = hits.filter("kept").select("digest", F.col("text").alias("kept_text"))
-    differing = cut_lineage(
-        hits.filter("not kept").join(of, "digest").filter("text <> kept_text").select("digest").distinct())
+    # Written before it is made distinct: an aggregate on top would keep Spark from splitting a hot digest.
+    differing = cut_lineage(hits.filter("not kept").join(of, "digest").filter("text <> kept_text").select("digest")).distinct()
     result = ["doc_id", "keep_id", F.col("n").alias("group_size"), "kept", "text_sha256"]
     if differing.isEmpty():
         return joined.select(*result)
