@@ -12,7 +12,6 @@ from marquee.functions.hashes import place_hash
 from marquee.functions.places import opening_hours, phone
 from marquee.functions.text import join_parts, name_key, nonempty, place_category, place_slug
 from marquee.functions.urls import plausible_image
-from marquee.operators.blocking import contained_pairs
 
 MIN_NAME = 4
 
@@ -61,6 +60,41 @@ def new_candidates(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.withColumn("name_key", name_key(F.col("name"))).join(keys, ["city", "name_key"], "left_anti")
 
 
+def _substrings(names: DataFrame, lengths: list[int]) -> DataFrame:
+    """``names`` with ``part``: each distinct substring of ``name_key`` that is shorter and has one of these lengths."""
+    name = F.col("name_key")
+
+    def of_length(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substr(name, i, n))
+
+    known = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    fitting = F.filter(known, lambda n: n < F.length(name))
+    return names.withColumn("part", F.explode(F.array_distinct(F.flatten(F.transform(fitting, of_length)))))
+
+
+def _nearest_nested(names: DataFrame, registry: DataFrame) -> DataFrame:
+    """(city, name_key, map_id): the registry name inside or around each name, closest in length, then smallest id.
+
+    One side's names are a dictionary that is probed with the other side's
+    substrings of the lengths present in it, both ways. Hits are folded to the
+    best one of each name as they are found: no list of pairs is built, so a
+    short name that lies in all others costs a row for each of them.
+    """
+
+    def lengths(df: DataFrame) -> list[int]:
+        return sorted(r[0] for r in df.select(F.length("name_key")).distinct().collect())  # of names: a few dozen
+
+    apart = F.abs(F.length("reg_key") - F.length("name_key"))
+    rank = F.struct(apart.alias("apart"), "map_id")
+    inside = _substrings(registry, lengths(names)).select(
+        "city", F.col("part").alias("name_key"), F.col("name_key").alias("reg_key"), "map_id").join(
+        names, ["city", "name_key"], "left_semi")
+    around = _substrings(names, lengths(registry)).select("city", "name_key", F.col("part").alias("reg_key")).join(
+        registry.withColumnRenamed("name_key", "reg_key"), ["city", "reg_key"])
+    both = [hits.groupBy("city", "name_key").agg(F.min(rank).alias("best")) for hits in (inside, around)]
+    return both[0].unionByName(both[1]).groupBy("city", "name_key").agg(F.min("best")["map_id"].alias("map_id"))
+
+
 def verify(places: DataFrame, registry: DataFrame) -> DataFrame:
     """Match places with a map registry of their city by name.
 
@@ -78,18 +112,11 @@ def verify(places: DataFrame, registry: DataFrame) -> DataFrame:
     names = keyed.select("city", "name_key").distinct()
 
     long_names = names.filter(F.length("name_key") >= MIN_NAME)
-    long_reg = one.select("city", "name_key").filter(F.length("name_key") >= MIN_NAME)
+    long_reg = one.select("city", "name_key", F.col("entry.map_id").alias("map_id")).filter(F.length("name_key") >= MIN_NAME)
     left = long_names.join(long_reg, ["city", "name_key"], "left_anti")
-    inside = contained_pairs(left, long_reg, "city", "name_key", MIN_NAME).select(
-        "city", F.col("inner_text").alias("name_key"), F.col("outer_text").alias("reg_key"))
-    around = contained_pairs(long_reg, left, "city", "name_key", MIN_NAME).select(
-        "city", F.col("outer_text").alias("name_key"), F.col("inner_text").alias("reg_key"))
-    near = (
-        inside.unionByName(around)
-        .join(one.withColumnRenamed("name_key", "reg_key"), ["city", "reg_key"])
-        .groupBy("city", "name_key")
-        .agg(F.min_by("entry", F.struct(
-            F.abs(F.length("reg_key") - F.length("name_key")), F.col("entry.map_id"))).alias("near")))
+    best = _nearest_nested(left, long_reg)
+    near = best.join(one.select("city", F.col("entry").alias("near"), F.col("entry.map_id").alias("map_id")), ["city", "map_id"]).select(
+        "city", "name_key", "near")
     joined = keyed.join(one, ["city", "name_key"], "left").join(near, ["city", "name_key"], "left")
     hit = F.coalesce("entry", "near")
     address = F.when(hit.isNotNull(), nonempty(join_parts(
