@@ -20,6 +20,8 @@ RUNTIME_CONF = {
     # Applies to rebalanced outputs; hot join keys fall under the setting above.
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Of a name that a JSON object holds twice the last value counts, as to other JSON parsers.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -23,13 +23,28 @@ def _unescape(c: Column) -> Column:
     return c
 
 
-def _property(block: Column, name: str) -> tuple[Column, Column]:
+_PROPERTIES = ["UID", "SUMMARY", "DESCRIPTION", "LOCATION", "URL", "CATEGORIES", "DTSTART", "DTEND"]
+
+
+def _properties(block: Column) -> Column:
+    """The lines of a block with a known name, in order: name, parameters in capitals, and value.
+
+    Each line is split once, at its first colon; no pattern is searched.
+    """
+
+    def of_line(line: Column) -> Column:
+        head = F.upper(F.substring_index(line, ":", 1))
+        return F.struct(
+            F.substring_index(head, ";", 1).alias("name"), head.alias("head"), F.substr(line, F.instr(line, ":") + 1).alias("value"))
+
+    lines = F.filter(F.split(block, "\n"), lambda x: F.contains(x, F.lit(":")))
+    return F.filter(F.transform(lines, of_line), lambda p: p["name"].isin(_PROPERTIES))
+
+
+def _property(properties: Column, name: str) -> tuple[Column, Column]:
     """(parameters, value) of the last line with this name; null when absent."""
-    lines = F.regexp_extract_all(block, F.lit(rf"(?im)^{name}(?:;[^:\n]*)?:.*$"), 0)
-    line = F.get(F.reverse(lines), F.lit(0))
-    head = F.regexp_extract(line, r"^[^:]*", 0)
-    value = F.regexp_extract(line, r"(?s)^[^:]*:(.*)$", 1)
-    return F.upper(head), _unescape(value)
+    last = F.get(F.reverse(F.filter(properties, lambda p: p["name"] == name)), F.lit(0))
+    return last["head"], _unescape(last["value"])
 
 
 def ical_events(feeds: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -39,7 +54,7 @@ def ical_events(feeds: DataFrame, key: list[str], text: str = "text") -> DataFra
     begun = F.split(tidy, r"(?m)^BEGIN:VEVENT$")
     ended = F.transform(F.slice(begun, F.lit(2), F.size(begun)), lambda b: F.split(b, r"(?m)^END:VEVENT$"))
     chunks = F.transform(F.filter(ended, lambda b: F.size(b) > 1), lambda b: b[0])
-    rows = feeds.select(*key, F.posexplode(chunks).alias("pos", "block"))
+    rows = feeds.select(*key, F.posexplode(chunks).alias("pos", "block")).select(*key, "pos", _properties(F.col("block")).alias("block"))
     out = {}
     for name in ("uid", "summary", "description", "location", "url", "categories"):
         out[name] = _property(F.col("block"), name.upper())[1]

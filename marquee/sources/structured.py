@@ -1,16 +1,13 @@
 """schema.org events in JSON-LD blocks, mapped to the extracted-event shape.
 
-The recursive walk over arrays and ``@graph`` is a small Arrow-batched helper;
-every field is then read with Variant expressions.
+Blocks are parsed to Variants; arrays and ``@graph`` are opened level by level
+until none is left. Each object is then cast once to its fields, and every field
+is read from there.
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from marquee.dims import AVAILABILITY_STATUS, lookup
 from marquee.functions.clock import iso_to_local
@@ -20,9 +17,10 @@ from marquee.functions.text import (
     clean_inline, detect_city, html_to_text, join_parts, nonempty, strip,
 )
 from marquee.functions.urls import http_url
+from marquee.session import cut_lineage
 
 _BLOCK = r"""(?is)<script\b[^>]*?\stype\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script\s*>"""
-_EVENT_KINDS = {"Event", "Festival", "Hackathon"}
+_EVENT_KINDS = ["Event", "Festival", "Hackathon"]
 
 
 def jsonld_blocks(html: Column) -> Column:
@@ -34,103 +32,86 @@ def jsonld_blocks(html: Column) -> Column:
     return F.filter(bodies, lambda b: b != "")
 
 
-def _refuse(name: str):
-    raise ValueError(name)
-
-
-def _is_event(kind) -> bool:
-    kinds = kind if isinstance(kind, list) else [kind]
-    return any(isinstance(k, str) and (k in _EVENT_KINDS or k.lower().endswith("event")) for k in kinds)
-
-
-def _walk(node, out: list[str]) -> None:
-    stack = [node]
-    while stack:
-        node = stack.pop()
-        if isinstance(node, list):
-            stack.extend(reversed(node))
-        elif isinstance(node, dict):
-            if _is_event(node.get("@type")):
-                out.append(json.dumps(node, ensure_ascii=False))
-            if isinstance(node.get("@graph"), list):
-                stack.append(node["@graph"])
-
+def _list(v: Column) -> Column:
+    """The items of a JSON array; null for anything else."""
+    return F.try_variant_get(v, "$", "array<variant>")
 
-@F.pandas_udf(ArrayType(StringType()))
-def event_objects(blocks: pd.Series) -> pd.Series:
-    """JSON texts of the event objects of each page; bad JSON is skipped."""
 
-    def of_page(page) -> list[str]:
-        found: list[str] = []
-        for block in page if page is not None else []:
-            try:
-                _walk(json.loads(block, parse_constant=_refuse, strict=False), found)
-            except (ValueError, RecursionError):
-                continue
-        return found
+def _is_event(node: Column) -> Column:
+    def named(kind: Column) -> Column:
+        return kind.isin(_EVENT_KINDS) | F.endswith(F.lower(kind), F.lit("event"))
 
-    return pd.Series([of_page(p) for p in blocks], dtype=object)
+    one, many = (F.try_variant_get(node, "$['@type']", k) for k in ("string", "array<string>"))
+    return F.coalesce(named(one), F.lit(False)) | F.coalesce(F.exists(many, named), F.lit(False))
 
 
 def jsonld_events(pages: DataFrame, key: list[str], html: str = "html") -> DataFrame:
-    """(key, pos, ev): one Variant per event object."""
-    has = F.contains(html, F.lit("ld+json"))
-    blocks = pages.filter(has).select(*key, event_objects(jsonld_blocks(F.col(html))).alias("found"))
-    # The outer form keeps Spark from filtering on the helper's result, which would run it twice.
-    return blocks.select(*key, F.posexplode_outer("found").alias("pos", "json")).select(
-        *key, "pos", F.try_parse_json("json").alias("ev")).filter("ev is not null")
-
-
-def _get(v: Column, path: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(v, path, kind)
+    """(key, pos, ev): one Variant per event object; bad JSON is skipped.
+
+    ``pos`` is the object's path: places in arrays, with the members of a
+    ``@graph`` before the object that holds it. Paths sort in document order.
+    """
+    # The brackets make text behind a value an error, as it is to a JSON parser that reads to the end.
+    parsed = _list(F.try_parse_json(F.concat(F.lit("["), F.col("text"), F.lit("]"))))
+    level = (
+        pages.filter(F.contains(html, F.lit("ld+json")))
+        .select(*key, F.posexplode(jsonld_blocks(F.col(html))).alias("n", "text"))
+        .select(*key, F.array("n").alias("path"), parsed.alias("nodes")).filter(F.size("nodes") == 1)
+        .select(*key, "path", F.get("nodes", F.lit(0)).alias("node")))
+    found = None
+    while found is None or not level.isEmpty():
+        node, path = F.col("node"), F.col("path")
+        events = level.filter(_is_event(node)).select(*key, F.concat(path, F.array(F.lit(1))).alias("pos"), node.alias("ev"))
+        found = events if found is None else found.unionByName(events)
+        inner = F.coalesce(
+            F.transform(_list(node), lambda x, i: F.struct(F.concat(path, F.array(i)).alias("path"), x.alias("node"))),
+            F.transform(F.try_variant_get(node, "$['@graph']", "array<variant>"), lambda x, i: F.struct(
+                F.concat(path, F.array(F.lit(0), i)).alias("path"), x.alias("node"))))
+        level = cut_lineage(level.select(*key, F.inline(inner)))
+    return found
+
+
+def _fields(v: Column, *names: str) -> Column:
+    """The named fields of a JSON object as Variants, in one cast; null for anything else."""
+    return F.try_variant_get(v, "$", "struct<" + ", ".join(f"`{n}`: variant" for n in names) + ">")
 
 
 def _kind(v: Column) -> Column:
-    return F.coalesce(F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0), F.lit("VOID"))
+    return F.schema_of_variant(v)
 
 
-def _text(v: Column, path: str) -> Column:
+def _text(v: Column) -> Column:
     """The value when it is a JSON string, else null."""
-    inner = _get(v, path)
-    return F.when(_kind(inner) == "STRING", _get(v, path, "string"))
+    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def _items(v: Column, path: str) -> Column:
-    """A scalar, object or array field as an array of Variants."""
-    inner = _get(v, path)
-    kind = _kind(inner)
-    return (
-        F.when(kind == "ARRAY", _get(v, path, "array<variant>"))
-        .when(kind == "VOID", F.array().cast("array<variant>")).otherwise(F.array(inner)))
+def _has(v: Column) -> Column:
+    return v.isNotNull() & ~F.is_variant_null(v)
 
 
-def _price(offer: Column, name: str) -> Column:
-    inner = _get(offer, f"$.{name}")
-    return F.when(_kind(inner) == "STRING", parse_price(_get(offer, f"$.{name}", "string"))).otherwise(
-        _get(offer, f"$.{name}", "double"))
+def _items(v: Column) -> Column:
+    """A scalar, object or array field as an array of Variants."""
+    return F.coalesce(_list(v), F.when(_has(v), F.array(v)).otherwise(F.array().cast("array<variant>")))
 
 
-def _has(offer: Column, name: str) -> Column:
-    return _kind(_get(offer, f"$.{name}")) != "VOID"
+def _price(v: Column) -> Column:
+    return F.when(_kind(v) == "STRING", parse_price(F.try_variant_get(v, "$", "string"))).otherwise(
+        F.try_variant_get(v, "$", "double"))
 
 
 def _low(offer: Column) -> Column:
-    return F.when(_has(offer, "lowPrice"), _price(offer, "lowPrice")).otherwise(_price(offer, "price"))
+    return F.when(_has(offer["lowPrice"]), _price(offer["lowPrice"])).otherwise(_price(offer["price"]))
 
 
 def _image(images: Column) -> Column:
-    urls = F.transform(images, lambda i: F.when(_kind(i) == "STRING", http_url(i.cast("string")))
-                       .when(_kind(i) == "OBJECT", http_url(_text(i, "$.url"))))
+    urls = F.transform(images, lambda i: http_url(F.coalesce(_text(i), _text(F.try_variant_get(i, "$.url", "variant")))))
     return F.get(F.filter(urls, lambda u: u.isNotNull()), F.lit(0))
 
 
-def _keywords(v: Column) -> Column:
-    words = _get(v, "$.keywords")
-    named = F.transform(_items(v, "$.about"), lambda a: _text(a, "$.name"))
-    listed = (
-        F.when(_kind(words) == "STRING", F.split(_get(v, "$.keywords", "string"), ","))
-        .when(_kind(words) == "ARRAY", _get(v, "$.keywords", "array<string>"))
-        .otherwise(F.array().cast("array<string>")))
+def _keywords(words: Column, about: Column) -> Column:
+    named = F.transform(_items(about), lambda a: _text(F.try_variant_get(a, "$.name", "variant")))
+    listed = F.coalesce(
+        F.split(_text(words), ","), F.try_variant_get(words, "$", "array<string>"), F.array().cast("array<string>"))
     return F.filter(F.concat(listed, named), lambda w: w.isNotNull() & (w != ""))
 
 
@@ -146,47 +127,54 @@ def offer_struct(url: Column, status: Column, money: Column, on_sale: Column, va
 
 def _tiers(offers: Column, money: Column) -> Column:
     built = F.transform(offers, lambda o: F.struct(
-        F.coalesce(_text(o, "$.name"), _text(o, "$['@type']"), F.lit("Ticket")).alias("name"),
+        F.coalesce(_text(o["name"]), _text(o["@type"]), F.lit("Ticket")).alias("name"),
         _low(o).alias("min"),
-        F.coalesce(F.when(_has(o, "highPrice"), _price(o, "highPrice")).otherwise(_price(o, "price")), _low(o)).alias("max"),
-        F.coalesce(currency(_text(o, "$.priceCurrency")), money).alias("currency")))
+        F.coalesce(F.when(_has(o["highPrice"]), _price(o["highPrice"])).otherwise(_price(o["price"])), _low(o)).alias("max"),
+        F.coalesce(currency(_text(o["priceCurrency"])), money).alias("currency")))
     priced = F.filter(built, lambda t: t["min"].isNotNull() | t["max"].isNotNull())
     return F.when(F.size(priced) > 1, priced)
 
 
+_EVENT_FIELDS = ("name", "startDate", "endDate", "location", "offers", "image", "keywords", "about", "description", "url", "isAccessibleForFree")
+_OFFER_FIELDS = ("name", "@type", "price", "lowPrice", "highPrice", "priceCurrency", "availability", "url", "validFrom")
+_ADDRESS_FIELDS = ("streetAddress", "addressLocality", "addressRegion", "postalCode")
+
+
 def extracted_events(events: DataFrame, key: list[str]) -> DataFrame:
     """JSON-LD Variants to extracted events; rows without name or start drop."""
-    v = F.col("ev")
-    rows = events.select(
-        *key, "pos", v.alias("ev"), _text(v, "$.name").alias("name"), _text(v, "$.startDate").alias("start"),
-        F.get(_items(v, "$.location"), F.lit(0)).alias("place"), _items(v, "$.offers").alias("offers"),
+    rows = events.select(*key, "pos", _fields(F.col("ev"), *_EVENT_FIELDS).alias("e"))
+    v = F.col("e")
+    rows = rows.select(
+        *key, "pos", "e", _text(v["name"]).alias("name"), _text(v["startDate"]).alias("start"),
+        F.get(_items(v["location"]), F.lit(0)).alias("where"),
+        F.transform(_items(v["offers"]), lambda o: _fields(o, *_OFFER_FIELDS)).alias("offers"),
     ).filter("name <> '' and start <> ''")
-    place, offers = F.col("place"), F.col("offers")
-    address = F.when(_kind(_get(place, "$.address")) == "STRING", _text(place, "$.address")).when(
-        _kind(_get(place, "$.address")) == "OBJECT",
-        join_parts([F.coalesce(_text(place, f"$.address.{p}"), F.lit("")) for p in (
-            "streetAddress", "addressLocality", "addressRegion", "postalCode")]))
+    rows = rows.withColumn("place", _fields(F.col("where"), "name", "address"))
+    rows = rows.withColumn("parts", _fields(F.col("place.address"), *_ADDRESS_FIELDS))
+    place, parts, offers = F.col("place"), F.col("parts"), F.col("offers")
+    address = F.coalesce(_text(place["address"]), F.when(
+        parts.isNotNull(), join_parts([F.coalesce(_text(parts[p]), F.lit("")) for p in _ADDRESS_FIELDS])))
     first = F.get(offers, F.lit(0))
-    free_flag = _get(v, "$.isAccessibleForFree")
+    free_flag = F.try_variant_get(v["isAccessibleForFree"], "$", "string")
     rows = rows.withColumns({
         "start_local": iso_to_local(F.col("start")),
-        "end_local": iso_to_local(_text(v, "$.endDate")),
-        "venue": nonempty(clean_inline(F.when(_kind(place) == "STRING", place.cast("string")).otherwise(_text(place, "$.name")))),
+        "end_local": iso_to_local(_text(v["endDate"])),
+        "venue": nonempty(clean_inline(F.coalesce(_text(F.col("where")), _text(place["name"])))),
         "addr": nonempty(clean_inline(address)),
         "price_min": _low(first),
-        "high": F.coalesce(_price(first, "highPrice"), _price(first, "price"), _low(first)),
-        "money": currency(_text(first, "$.priceCurrency")),
-        "flagged": F.coalesce(F.lower(free_flag.cast("string")) == "true", F.lit(False)),
+        "high": F.coalesce(_price(first["highPrice"]), _price(first["price"]), _low(first)),
+        "money": currency(_text(first["priceCurrency"])),
+        "flagged": F.coalesce(F.lower(free_flag) == "true", F.lit(False)),
     }).filter("start_local is not null")
     rows = rows.withColumn("is_free", F.col("flagged") | F.coalesce(
         (F.col("price_min") == 0) & (F.col("high") == 0), F.lit(False)))
     status = F.when(F.col("is_free"), "free").when(
-        _text(first, "$.availability") != "", lookup(AVAILABILITY_STATUS, _text(first, "$.availability"), F.lit("unknown")))
-    ticket = F.coalesce(http_url(_text(first, "$.url")), http_url(_text(v, "$.url")))
+        _text(first["availability"]) != "", lookup(AVAILABILITY_STATUS, _text(first["availability"]), F.lit("unknown")))
+    ticket = F.coalesce(http_url(_text(first["url"])), http_url(_text(v["url"])))
     rows = rows.withColumns({
         "ticket": ticket, "status": status,
         "tiers": F.when(F.size(offers) > 1, _tiers(offers, F.col("money"))),
-        "valid_from": iso_to_local(_text(first, "$.validFrom"))})
+        "valid_from": iso_to_local(_text(first["validFrom"]))})
     offered = (F.size(offers) > 0) | F.col("is_free")
     some = F.coalesce("ticket", "status").isNotNull() | F.col("tiers").isNotNull()
     offer = F.when(offered & some, offer_struct(
@@ -194,15 +182,15 @@ def extracted_events(events: DataFrame, key: list[str]) -> DataFrame:
     return rows.select(
         *key, "pos",
         clean_inline(F.col("name")).alias("title"),
-        nonempty(html_to_text(_text(v, "$.description"))).alias("description"),
+        nonempty(html_to_text(_text(v["description"]))).alias("description"),
         "start_local", "end_local",
         F.rlike("start", F.lit(r"^\d{4}-\d{2}-\d{2}$")).alias("all_day"),
         F.col("venue").alias("venue_name"), F.col("addr").alias("address"),
         detect_city(F.concat_ws(" ", "venue", "addr")).alias("city"),
         "price_min", F.col("high").alias("price_max"), "is_free",
-        plain_tags(_keywords(v)).alias("categories"),
-        _image(_items(v, "$.image")).alias("image_url"), offer.alias("offer"),
-        http_url(_text(v, "$.url")).alias("event_url"))
+        plain_tags(_keywords(v["keywords"], v["about"])).alias("categories"),
+        _image(_items(v["image"])).alias("image_url"), offer.alias("offer"),
+        http_url(_text(v["url"])).alias("event_url"))
 
 
 def first_structured(extracted: DataFrame, key: list[str]) -> DataFrame:
