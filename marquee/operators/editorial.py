@@ -20,20 +20,56 @@ LIST_LIMIT = 8
 MIN_DESCRIPTION = 20
 
 
-def row_set_hash(group: str, rows: DataFrame, *fields: str, extra: tuple = ()) -> DataFrame:
-    """(group, editorial_hash): hash of the multiset of rows, order-free.
+LANES = [f"l{i}" for i in range(4)]
+
 
-    ``extra`` holds further aggregates to take in the same pass.
+def row_set_lanes(group: str, rows: DataFrame, *fields: str, extra: tuple = ()) -> DataFrame:
+    """(group, n, l0 to l3): number of rows, and sums of four lanes of each row's SHA-256.
 
-    Sums four lanes of each row's SHA-256, so it is a partial aggregate and no
-    group is collected.
+    ``extra`` holds further aggregates to take in the same pass. The sums are
+    partial aggregates, so no group is collected, and they can be taken back:
+    a multiset of rows that loses and gains some needs only those.
     """
     digest = stable_hash(**{f: F.col(f) for f in fields})
     lanes = [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
-    sums = rows.groupBy(group).agg(
-        F.count("*").alias("n"), *[F.sum(lane).alias(f"l{i}") for i, lane in enumerate(lanes)], *extra)
-    text = F.concat_ws("|", "n", *[f"l{i}" for i in range(4)])
-    return sums.withColumn("editorial_hash", F.sha2(text, 256)).drop("n", *[f"l{i}" for i in range(4)])
+    return rows.groupBy(group).agg(F.count("*").alias("n"), *[F.sum(v).alias(c) for c, v in zip(LANES, lanes)], *extra)
+
+
+def lanes_hash() -> Column:
+    """The hash of a multiset of rows from its lanes: order-free."""
+    return F.sha2(F.concat_ws("|", "n", *LANES), 256)
+
+
+def row_set_hash(group: str, rows: DataFrame, *fields: str, extra: tuple = ()) -> DataFrame:
+    """(group, editorial_hash): hash of the multiset of rows."""
+    return row_set_lanes(group, rows, *fields, extra=extra).withColumn("editorial_hash", lanes_hash()).drop("n", *LANES)
+
+
+def _input_rows(members: DataFrame) -> DataFrame:
+    return members.withColumns({"title": clean_inline(F.col("title")), "description": html_to_text(F.col("description"))})
+
+
+INPUT_FIELDS = ("source_slug", "title", "description")
+
+
+def group_lanes(members: DataFrame, group: str = "canonical_id") -> DataFrame:
+    """The lanes behind the hash of ``editorial_inputs``, to be stored with each group."""
+    return row_set_lanes(group, _input_rows(members), *INPUT_FIELDS)
+
+
+def lanes_after(stored: DataFrame, before: DataFrame, after: DataFrame, group: str = "canonical_id") -> DataFrame:
+    """Lanes and ``editorial_hash`` of the groups that a batch touches; other groups are not read.
+
+    ``stored`` has the lanes of all groups; ``before`` and ``after`` are the
+    changed members as they were and as they are, under the group that each had
+    then. A deleted member is only in ``before``, a new one only in ``after``, and
+    one that changes groups stands under both. A group without members is left out.
+    """
+    gained, lost = group_lanes(after, group), group_lanes(before, group)
+    minus = lost.select(group, *[(-F.col(c)).cast(lost.schema[c].dataType).alias(c) for c in ("n", *LANES)])
+    delta = gained.unionByName(minus).groupBy(group).agg(*[F.sum(c).alias(f"d_{c}") for c in ("n", *LANES)])
+    sums = [(F.coalesce(c, F.lit(0)) + F.col(f"d_{c}")).cast(stored.schema[c].dataType).alias(c) for c in ("n", *LANES)]
+    return stored.join(delta, group, "right").select(group, *sums).filter("n > 0").withColumn("editorial_hash", lanes_hash())
 
 
 def first_values(rows: DataFrame, group: str, limit: int = LIST_LIMIT) -> DataFrame:
@@ -52,10 +88,9 @@ def editorial_inputs(members: DataFrame, group: str = "canonical_id") -> DataFra
     ``members`` are listings of enabled sources with source_slug. Two passes: one
     aggregate, and one over all values of all kinds.
     """
-    rows = members.withColumns({
-        "title": clean_inline(F.col("title")), "description": html_to_text(F.col("description"))})
+    rows = _input_rows(members)
     slugs = F.array_sort(F.collect_set("source_slug")).alias("source_slugs")
-    hashed = row_set_hash(group, rows, "source_slug", "title", "description", extra=(slugs,))
+    hashed = row_set_hash(group, rows, *INPUT_FIELDS, extra=(slugs,))
 
     def one(kind: str, value: Column, at: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), value.alias("v"))
