@@ -59,7 +59,7 @@ def group_display(rows: DataFrame, payload: list[str], keys: tuple[str, ...] = (
         F.array_sort(F.transform(others, lambda s: s["source_slug"])).alias("also_on"))
 
 
-EDITORIAL = ["editorial_score", "editorial_updated_at", "why_its_cool", "vibes"]
+EDITORIAL = ["editorial_score", "editorial_updated_at", "why_its_cool", "vibes", "audience", "indoor_outdoor"]
 
 
 def overlay(rows: DataFrame, canonicals: DataFrame, how: str = "inner") -> DataFrame:
@@ -140,6 +140,12 @@ def all_cities(spark) -> DataFrame:
         [(k, CITY_LABELS[k], i) for i, k in enumerate(CITY_KEYS)], "city string, label string, pos int")
 
 
+def facet_total(facet: DataFrame) -> DataFrame:
+    """One row: the events of all known cities."""
+    known = F.when(F.col("city").isin(CITY_KEYS), F.col("n"))
+    return facet.agg(F.coalesce(F.sum(known), F.lit(0)).alias("total"))
+
+
 def filled_facet(facet: DataFrame, selected: list[str] | None = None) -> DataFrame:
     """The facet over every city key, zeros filled; ``shown`` is non-zero or selected."""
     cities = all_cities(facet.sparkSession)

@@ -59,12 +59,11 @@ def best(scored: DataFrame, limit: int) -> DataFrame:
 
 
 def event_candidates(rows: DataFrame) -> DataFrame:
-    none = F.lit(None).cast("string")
     return rows.select(
         F.concat(F.lit("e"), "id").alias("id"), F.lit("event").alias("type"), "title",
         F.coalesce("description", F.lit("")).alias("summary"), "categories", "city",
         F.coalesce("venue_name", F.lit("")).alias("venue_name"), "editorial_score", "vibes",
-        none.alias("audience"), "score")
+        "audience", "score")
 
 
 def place_candidates(rows: DataFrame) -> DataFrame:

@@ -144,9 +144,9 @@ def run_log(plan: DataFrame, started: datetime, finished: datetime, errors: Data
 def upsert_sources(stored: DataFrame, adapters: DataFrame) -> DataFrame:
     """Sources by slug: label and base URL refreshed, ids kept, new ones enabled.
 
-    A new source's id is the first 28 bits of a digest of its slug.
+    A new source's id is the first 60 bits of a digest of its slug.
     """
-    new_id = F.conv(F.substring(F.md5("source_slug"), 1, 7), 16, 10).cast(stored.schema["source_id"].dataType)
+    new_id = F.conv(F.substring(F.md5("source_slug"), 1, 15), 16, 10).cast(stored.schema["source_id"].dataType)
     fresh = adapters.select("source_slug", F.col("source_label").alias("_label"), F.col("base_url").alias("_url"))
     both = stored.join(fresh, "source_slug", "full_outer")
     return both.select(

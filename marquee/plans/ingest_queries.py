@@ -114,7 +114,7 @@ def listing_pages_first_per_url(t):
     return pages.groupBy("url").agg(first.alias("f")).select("url", "f.page", "f.pos")
 
 
-@query("source_upsert", """SELECT coalesce(s.source_slug, a.slug) AS source_slug, coalesce(source_id, CAST('0x' || substr(md5(a.slug), 1, 7) AS INTEGER)) AS source_id,
+@query("source_upsert", """SELECT coalesce(s.source_slug, a.slug) AS source_slug, coalesce(source_id, CAST('0x' || substr(md5(a.slug), 1, 15) AS BIGINT)) AS source_id,
   coalesce(a.label, s.source_label) AS source_label, CASE WHEN a.slug IS NOT NULL THEN 'https://x.example.com' END AS base_url, coalesce(enabled, true) AS enabled
 FROM v_sources s FULL JOIN (SELECT 'src_' || (s_suppkey * 2) AS slug, 'New ' || s_name AS label FROM supplier) a ON a.slug = s.source_slug""")
 def source_upsert(t):
@@ -294,6 +294,28 @@ def place_requests(t):
     return t.places().select("id", E.place_request().alias("request"))
 
 
+_CHANGED = "(id % 97 = 0 OR id % 89 = 0 OR id % 101 = 0)"
+
+
+@query("editorial_hash_incremental", f"""WITH m AS (SELECT id, canonical_id FROM v_listings JOIN v_sources USING (source_id) WHERE enabled AND canonical_id IS NOT NULL),
+after AS (SELECT id, CASE WHEN id % 89 = 0 THEN canonical_id + 1 ELSE canonical_id END AS canonical_id FROM m WHERE id % 101 <> 0),
+touched AS (SELECT canonical_id FROM m WHERE {_CHANGED} UNION SELECT canonical_id FROM after WHERE {_CHANGED})
+SELECT canonical_id, canonical_id IN (SELECT canonical_id FROM touched) AS touched, true AS as_in_full FROM after GROUP BY canonical_id""")
+def editorial_hash_incremental(t):
+    """Stored lanes brought up to date by changed, moved and deleted members, next to the hash of all members."""
+    rows = members(t)
+    changed = rows.filter(_CHANGED)
+    title = F.when(F.col("id") % 97 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title"))
+    group = F.when(F.col("id") % 89 == 0, F.col("canonical_id") + 1).otherwise(F.col("canonical_id"))
+    later = lambda df: df.filter("id % 101 <> 0").withColumns({"title": title, "canonical_id": group})
+    fresh = E.lanes_after(E.group_lanes(rows), changed, later(changed)).select("canonical_id", F.col("editorial_hash").alias("new"))
+    old = E.editorial_inputs(rows).select("canonical_id", F.col("editorial_hash").alias("old"))
+    full = E.editorial_inputs(later(rows)).select("canonical_id", "editorial_hash")
+    joined = full.join(fresh, "canonical_id", "left").join(old, "canonical_id", "left")
+    return joined.select(
+        "canonical_id", F.col("new").isNotNull().alias("touched"), (F.coalesce("new", "old") == F.col("editorial_hash")).alias("as_in_full"))
+
+
 @query("place_editorial_refresh", """WITH b AS (SELECT *, id % 5 <> 0 AS refreshed, id % 2 = 0 AS has FROM v_places)
 SELECT id, refreshed, CASE WHEN NOT refreshed THEN summary WHEN has THEN 'C ' || id ELSE coalesce(description, name) END AS summary,
  round(CASE WHEN NOT refreshed THEN editorial_score ELSE CASE WHEN web_rating = 0 THEN (CASE WHEN has THEN 0.9 ELSE 0.5 END) * 0.85 ELSE
@@ -368,6 +390,14 @@ def usage_by_model_day(t):
     return _rolled(t, "model")
 
 
+@query("usage_by_run_day", _rollup_sql("run_id").replace("FROM costed", "FROM (SELECT *, usage_id % 40 AS run_id FROM costed)"))
+def usage_by_run_day(t):
+    runs = logs.costed_usage(t.usage()).withColumn("run_id", F.col("usage_id") % 40)
+    return logs.usage_rollup(runs, "run_id").select(
+        "run_id", "day", "calls", "tokens", F.round("cost", 9).alias("cost"), F.round("latency", 4).alias("latency"),
+        F.round("failure_rate", 6).alias("failure_rate"))
+
+
 # --- classifiers and validation ---------------------------------------------
 
 _CH = "['incapsula', '_incapsula_resource', 'captcha-delivery\\.com', 'datadome', 'cf-browser-verification', 'cf_chl_opt', 'challenges\\.cloudflare\\.com', 'akamai.*bot.*manager', 'g-recaptcha', 'h-captcha']"
@@ -425,6 +455,20 @@ def validation_rejects(t):
     return V.split_valid(rows, V.EVENT_RULES())[1].select("id", F.array_join("errors", ",").alias("errors"))
 
 
+@query("place_rejects", """SELECT id, CASE WHEN id % 11 = 0 THEN 'name' WHEN id % 13 = 0 THEN 'category' WHEN id % 17 = 0 THEN 'phone_number' WHEN id % 19 = 0 THEN 'lat' ELSE 'web_rating' END AS errors
+FROM v_places WHERE id % 11 = 0 OR id % 13 = 0 OR id % 17 = 0 OR id % 19 = 0 OR id % 23 = 0""")
+def place_rejects(t):
+    """Rows that break one rule of a place or of an enriched place."""
+    key = F.col("id")
+    steps = [(11, "name", F.lit("")), (13, "category", F.lit("casino")), (17, "phone_number", F.repeat(F.lit("5"), 31)), (19, "lat", F.lit(91.0)), (23, "web_rating", F.lit(5.5))]
+    rows, free = t.places().withColumn("price_range", F.lit("$$")), F.lit(True)
+    for n, c, bad in steps:
+        rows = rows.withColumn(c, F.when((key % n == 0) & free, bad).otherwise(F.col(c)))
+        free = free & (key % n != 0)
+    seen = dict(V.PLACE_RULES() + V.ENRICHED_RULES())
+    return V.split_valid(rows, list(seen.items()))[1].select("id", F.array_join("errors", ",").alias("errors"))
+
+
 @query("text_cleanup", """SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '[\\x00-\\x1f\\x7f]', '', 'g'), '\\s+', ' ', 'g')) AS inline_text FROM pages""")
 def text_cleanup(t):
     return t.spread("pages").select("page_id", text.clean_inline(F.col("html")).alias("inline_text"))

@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from marquee.dims import TAG_ALIASES
-from marquee.functions import clock, prices, tags
+from marquee.functions import clock, prices, tags, text
 from marquee.operators import listing as L, resolve as R
 from marquee.plans.registry import query
 from marquee.plans.views import NOW, NOW_SQL, local_instant, ny
@@ -46,23 +46,23 @@ agg AS (SELECT r.canonical_id, count(*) AS duplicate_count,
 merged AS (
   SELECT d.canonical_id, d.start_at, d.id, coalesce(deduped_title, title) AS title, coalesce(summary, description) AS description,
     d.city, CASE WHEN len(tags) > 0 THEN tags ELSE categories END AS categories, image_url, venue_name, is_free, all_day, end_at,
-    price_min, price_max, duplicate_count, also_on, editorial_score, editorial_updated_at, why_its_cool, vibes
+    price_min, price_max, duplicate_count, also_on, editorial_score, editorial_updated_at, why_its_cool, vibes, audience, indoor_outdoor
   FROM disp d JOIN agg USING (canonical_id) JOIN v_canonical c USING (canonical_id)
   UNION ALL
   SELECT NULL, start_at, id, title, description, city, categories, image_url, venue_name, is_free, all_day, end_at,
-    price_min, price_max, 1, '', NULL, NULL, NULL, [] FROM vis WHERE canonical_id IS NULL),
+    price_min, price_max, 1, '', NULL, NULL, NULL, [], NULL, NULL FROM vis WHERE canonical_id IS NULL),
 scored AS (SELECT *, {effective()} AS rank_score FROM merged)"""
 
 
 SHOWN = """id, canonical_id, title, description, city, array_to_string(categories, '|') AS categories, start_at,
-  duplicate_count, also_on, round(rank_score, 6) AS rank_score, price_min, price_max"""
+  duplicate_count, also_on, round(rank_score, 6) AS rank_score, price_min, price_max, audience, indoor_outdoor"""
 
 
 def shown(df):
     return df.select(
         "id", "canonical_id", "title", "description", "city", F.array_join("categories", "|").alias("categories"),
         "start_at", "duplicate_count", F.array_join("also_on", "|").alias("also_on"),
-        F.round("rank_score", 6).alias("rank_score"), "price_min", "price_max")
+        F.round("rank_score", 6).alias("rank_score"), "price_min", "price_max", "audience", "indoor_outdoor")
 
 
 def rows_in(t, bounds, **filters):
@@ -98,12 +98,12 @@ def visible_events(t):
 
 
 @query("event_detail", """SELECT l.id, coalesce(deduped_title, title) AS title, coalesce(summary, description) AS description,
-  array_to_string(CASE WHEN len(tags) > 0 THEN tags ELSE categories END, '|') AS categories, canonical_id, editorial_score
+  array_to_string(CASE WHEN len(tags) > 0 THEN tags ELSE categories END, '|') AS categories, canonical_id, editorial_score, audience, indoor_outdoor
 FROM v_listings l JOIN v_sources s USING (source_id) LEFT JOIN v_canonical c USING (canonical_id) WHERE enabled""")
 def event_detail(t):
     rows = t.listings("id", "source_id", "canonical_id", "title", "description", "categories")
     return L.event_detail(rows, t.sources(), t.canonicals()).select(
-        "id", "title", "description", F.array_join("categories", "|").alias("categories"), "canonical_id", "editorial_score")
+        "id", "title", "description", F.array_join("categories", "|").alias("categories"), "canonical_id", "editorial_score", "audience", "indoor_outdoor")
 
 
 @query("upcoming_by_ids", f"""SELECT l.id, start_at FROM v_listings l JOIN v_sources USING (source_id)
@@ -142,6 +142,17 @@ def city_facet_filled(t):
     return L.filled_facet(L.city_facet(rows), ["brandon"])
 
 
+@query("city_facet_total", f"""WITH {vis('true')}, {_FACET} SELECT sum(n)::BIGINT AS total FROM facet""")
+def city_facet_total(t):
+    return L.facet_total(L.city_facet(whole(t)))
+
+
+@query("ticket_labels", """SELECT id, CASE id % 5 WHEN 0 THEN 'RSVP' WHEN 1 THEN 'Get free tickets' WHEN 2 THEN 'Notify me' ELSE 'Buy tickets' END AS label FROM v_listings""")
+def ticket_labels(t):
+    status = F.element_at(F.array(*map(F.lit, ("rsvp", "free", "not_yet", "sold_out", "unknown"))), (F.col("id") % 5 + 1).cast("int"))
+    return t.listings("id").select("id", text.ticket_call(status).alias("label"))
+
+
 @query("city_counts_by_group", f"""WITH {vis(YEAR_SQL)}
 SELECT canonical_id, city, count(*) AS n FROM vis WHERE canonical_id IS NOT NULL GROUP BY ALL""")
 def city_counts_by_group(t):

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from marquee.dims import CATEGORY_LABELS, CITIES, PLACE_CATEGORIES, VIBE_LABELS, lookup, source_rank
 from marquee.functions import geo, places as FP, scores, text, urls
-from marquee.operators import places as P
+from marquee.operators import itinerary as I, places as P, upsert
 from marquee.plans.registry import query
-from marquee.plans.views import city_of, _CITY_SQL
+from marquee.plans.views import NOW, city_of, _CITY_SQL
 
 ORDER = "editorial_score DESC NULLS LAST, name"
 
@@ -250,6 +250,31 @@ def place_labels(t):
         text.map_search_url(F.col("address")).alias("map_url"))
 
 
+@query("hours_lists", """SELECT id, CASE WHEN id % 3 = 0 OR hours IS NULL THEN '' ELSE array_to_string(hours, '|') END AS entries FROM v_places""")
+def hours_lists(t):
+    """Stored hours as JSON text, broken in every third row, back to their entries."""
+    json = F.when(F.col("id") % 3 == 0, "{no json").otherwise(F.to_json("hours"))
+    return t.places().select("id", F.array_join(I.hours_list(json), "|").alias("entries"))
+
+
+_SLUG = "left(trim(regexp_replace(lower({0} || '-' || {1}), '[^a-z0-9]+', '-', 'g'), '-'), 80)"
+
+
+@query("place_inserts", f"""WITH {FOUND}, old AS (SELECT {_SLUG.format('name', 'city')} AS slug FROM v_places WHERE id % 2 = 0)
+SELECT {_SLUG.format('f.name', 'f.city')} AS slug, f.name, CASE WHEN old.slug IS NULL THEN 'inserted' ELSE 'updated' END AS outcome
+FROM firsts f LEFT JOIN old ON old.slug = {_SLUG.format('f.name', 'f.city')}""")
+def place_inserts(t):
+    """Discovered places into the stored ones: every second is known under its slug."""
+    none = lambda kind: F.lit(None).cast(kind)
+    batch = P.incoming_places(P.first_per_name(found(t)).withColumns({
+        **{c: none("string") for c in ("address", "map_address", "phone_number", "image_url")}, **{c: none("double") for c in ("lat", "lng", "web_rating")},
+        "web_review_count": none("int"), "hours": none("array<string>"), "source_id": F.lit(1)}))
+    slug = F.when(F.col("id") % 2 == 0, text.place_slug(F.col("name"), F.col("city"))).otherwise(F.col("slug"))
+    stored = t.places().withColumns({"slug": slug, "source_id": F.lit(1), "content_hash": F.lit("old")})
+    plan = upsert.plan_upsert(stored, batch, ["source_id", "slug"], NOW)
+    return plan.filter("outcome is not null").select("slug", "name", "outcome")
+
+
 @query("source_ranks", """SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 14 WHEN 2 THEN 3 ELSE 115 END AS rank FROM supplier""")
 def source_ranks(t):
     slugs = F.array(*[F.lit(s) for s in ("eventbrite", "ticketmaster", "tampa_gov", "dunedin_gov")])

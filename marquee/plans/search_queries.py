@@ -74,11 +74,11 @@ def _top_places(n: int) -> str:
 @query("search", f"""WITH {listed(YEAR_SQL)}, {deduped('scored')},
 ev AS (SELECT *, {score_sql(scores.EVENT_POINTS, 'building art')} AS score FROM dd),
 ps AS (SELECT *, {score_sql(scores.PLACE_POINTS, 'building art')} AS score FROM v_places)
-SELECT * FROM (SELECT 'e' || id AS id, 'event' AS type, title, city, round(score, 6) AS score FROM ev WHERE score > 0 ORDER BY ev.score DESC, ev.id LIMIT 40)
-UNION ALL SELECT * FROM (SELECT 'p' || id, 'place', name, city, round(score, 6) FROM ps WHERE score > 0 ORDER BY ps.score DESC, ps.id LIMIT 15)""")
+SELECT * FROM (SELECT 'e' || id AS id, 'event' AS type, title, city, audience, round(score, 6) AS score FROM ev WHERE score > 0 ORDER BY ev.score DESC, ev.id LIMIT 40)
+UNION ALL SELECT * FROM (SELECT 'p' || id, 'place', name, city, NULL, round(score, 6) FROM ps WHERE score > 0 ORDER BY ps.score DESC, ps.id LIMIT 15)""")
 def search(t):
     pool = L.listing(rows_in(t, YEAR), t.canonicals(), NOW)
-    return S.search(pool, t.places(), "building art").select("id", "type", "title", "city", F.round("score", 6).alias("score"))
+    return S.search(pool, t.places(), "building art").select("id", "type", "title", "city", "audience", F.round("score", 6).alias("score"))
 
 
 _PICKS = """picks AS (SELECT l_suppkey AS query_id, l_linenumber * 1000000 + l_partkey AS pos, l_orderkey AS id, l_returnflag AS reason FROM lineitem),

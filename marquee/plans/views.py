@@ -164,6 +164,8 @@ class Tables:
             F.when(key % 13 != 0, ts(NOW) - hours(key % 96)).alias("editorial_updated_at"),
             F.when(key % 2 == 0, F.lit(None).cast("string")).when(key % 7 == 0, F.lit(""))
             .otherwise(F.lit("x")).alias("why_its_cool"),
+            F.when(key % 5 == 1, "kids").when(key % 5 != 0, "all_ages").alias("audience"),
+            F.when(key % 4 == 0, "indoor").when(key % 4 != 3, "outdoor").alias("indoor_outdoor"),
             F.when(key % 5 != 0, key * 4 + 1).alias("primary_event_id"),
         )
 
@@ -316,6 +318,8 @@ SELECT c_custkey AS canonical_id, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS
   CASE WHEN c_acctbal > 0 THEN c_acctbal / 10000 END AS editorial_score,
   CASE WHEN c_custkey % 13 <> 0 THEN {NOW_SQL} - to_hours(CAST(c_custkey % 96 AS INTEGER)) END AS editorial_updated_at,
   CASE WHEN c_custkey % 2 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN '' ELSE 'x' END AS why_its_cool,
+  CASE WHEN c_custkey % 5 = 1 THEN 'kids' WHEN c_custkey % 5 <> 0 THEN 'all_ages' END AS audience,
+  CASE WHEN c_custkey % 4 = 0 THEN 'indoor' WHEN c_custkey % 4 <> 3 THEN 'outdoor' END AS indoor_outdoor,
   CASE WHEN c_custkey % 5 <> 0 THEN c_custkey * 4 + 1 END AS primary_event_id
 FROM customer""",
     "v_places": f"""
