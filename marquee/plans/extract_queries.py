@@ -101,7 +101,8 @@ def default_offers(t):
 def structured_or_text(t):
     pages = jsonld_pages(t)
     long_text = (F.col("id") % 7 == 5) | (F.col("id") % 5 == 0)
-    reduced = pages.select("id", F.when(long_text, F.repeat(F.lit("words "), 60)).otherwise("Text:\nshort").alias("reduced"))
+    html = F.when(long_text, F.replace("html", F.lit("</article>"), F.lit(" words" * 60 + "</article>"))).otherwise(F.col("html"))
+    reduced = pages.select("id", D.reduced_text(html).alias("reduced"))
     found = J.first_structured(jsonld(t), ["id"])
     return J.structured_or_text(pages, found, reduced, ["id"])
 
@@ -200,13 +201,11 @@ def calendar_links(t):
 # --- reduced text --------------------------------------------------------------
 
 
-@query("reduced_pages", """WITH a AS (SELECT page_id, html, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS s FROM pages)
-SELECT page_id, starts_with(html, '<!DOCTYPE') AS is_page, false AS has_nav FROM a""")
+@query("reduced_pages", r"""WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?[a-zA-Z][^>]*>', '', 'g') AS s FROM pages),
+b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(s, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS s FROM a)
+SELECT page_id, 'Text:' || chr(10) || trim(regexp_replace(regexp_replace(s, '[ \t\x{00A0}]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS reduced FROM b""")
 def reduced_pages(t):
-    r = D.reduced_text(F.col("html"))
-    return t.spread("pages").select("page_id", F.col("html"), r.alias("r")).select(
-        "page_id", F.startswith("r", F.lit("Text:\n")).alias("is_page"),
-        F.contains("r", F.lit("track(")).alias("has_nav"))
+    return t.spread("pages").select("page_id", D.reduced_text(F.col("html")).alias("reduced"))
 
 
 @query("reduced_listing_pages", f"""SELECT id, CASE WHEN id % 4 = 3 THEN '' ELSE 'JSON-LD:' || chr(10) || '{{"@type":"Event","id":' || id || '}}' || chr(10) || chr(10) END

@@ -45,7 +45,7 @@ def test_fields_of_every_shape(spark):
 
 
 def test_calendar_lines(spark):
-    text = ("BEGIN:VEVENT\r\nuid;x=1:first\r\nUID:1\r\nSUMMARY;LANGUAGE=en:A: b\\, c\;d\\ne\r\nDTSTART;TZID=America/New_York;value=date:20260502\r\n"
+    text = ("BEGIN:VEVENT\r\nuid;x=1:first\r\nUID:1\r\nSUMMARY;LANGUAGE=en:A: b\\, c\\;d\\ne\r\nDTSTART;TZID=America/New_York;value=date:20260502\r\n"
             "X-UID:no\r\nno colon\r\nDTEND:20260503T010203Z\r\nCATEGORIES:a,b\r\n ,c\r\nEND:VEVENT\r\n")
     r = feeds.ical_events(spark.createDataFrame([(1, text)], "id int, text string"), ["id"]).first()
     assert (r["uid"], r["summary"], r["categories"]) == ("1", "A: b, c;d\ne", "a,b,c")
