@@ -89,12 +89,13 @@ def flips(bits: int, most: int) -> list[int]:
 
 
 def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fingerprint, query, distance): all pairs within ``radius`` bits.
+    """(fingerprint, query, distance): all pairs within ``radius`` bits, with the other columns of ``queries``.
 
     ``prints`` and ``queries`` hold distinct values (columns ``fingerprint`` and
     ``query``). A pair is kept only in the first table that it meets in, so no
     pairs are made distinct later.
     """
+    more = [c for c in queries.columns if c != "query"]
     most = radius // TABLES
     cut = blocks()
 
@@ -102,9 +103,9 @@ def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFra
         first, bits = cut[k]
         return F.shiftrightunsigned(c, first).bitwiseAND(F.lit((1 << bits) - 1))
 
-    def tables(df: DataFrame, c: str, values) -> DataFrame:
+    def tables(df: DataFrame, values) -> DataFrame:
         cells = F.flatten(F.array(*[values(k) for k in range(TABLES)]))
-        return df.select(c, F.inline(cells).alias("t", "block"))
+        return df.select(*df.columns, F.inline(cells).alias("t", "block"))
 
     def cell(k: int, value: Column) -> Column:
         return F.struct(F.lit(k).alias("t"), value.alias("block"))
@@ -113,13 +114,13 @@ def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFra
         own = block(F.col("query"), k)
         return F.transform(F.lit(flips(cut[k][1], most)), lambda flip: cell(k, own.bitwiseXOR(flip.cast("long"))))
 
-    held = tables(prints, "fingerprint", lambda k: F.array(cell(k, block(F.col("fingerprint"), k))))
-    probes = tables(queries, "query", probed)
+    held = tables(prints.select("fingerprint"), lambda k: F.array(cell(k, block(F.col("fingerprint"), k))))
+    probes = tables(queries, probed)
     xor = F.col("fingerprint").bitwiseXOR(F.col("query"))
     first = F.coalesce(*[F.when(F.bit_count(block(xor, k)) <= most, F.lit(k)) for k in range(TABLES)])
     met = held.join(probes.hint("merge"), ["t", "block"])  # probes are many for each query: Spark would take them for few
     return met.filter((F.bit_count(xor) <= radius) & (first == F.col("t"))).select(
-        "fingerprint", "query", F.bit_count(xor).alias("distance"))
+        "fingerprint", "query", F.bit_count(xor).alias("distance"), *more)
 
 
 def following(rows: DataFrame, key: str) -> DataFrame:
@@ -192,6 +193,6 @@ def with_near_queries(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     asked = prints.filter(F.col("doc_id") % 100 == 0).groupBy(F.col("print").alias("query")).agg(
         F.count("*").alias("n"), F.min("doc_id").alias("q"))
     known = prints.select(F.col("print").alias("fingerprint")).distinct()
-    found = near(known, asked.select("query"), radius).join(asked, "query").groupBy(F.col("fingerprint").alias("print")).agg(
+    found = near(known, asked, radius).groupBy(F.col("fingerprint").alias("print")).agg(
         F.sum("n").alias("near_queries"), F.min("q").alias("nearest_query"))
     return prints.join(found, "print", "left").fillna(0, ["near_queries"])
