@@ -1,17 +1,16 @@
-"""Plans: resolving ids, conflicts in time, and edits of the ordered list.
+"""Plans: resolving ids, conflicts in time, and lists kept as JSON.
 
-A plan holds at most eighty items, so its list fits in one row. Conflicts are
-found with an equi-join on plan, local day and hour.
+Conflicts are found with an equi-join on plan, local day and hour. Edits of the
+ordered list are in ``plan_rows``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.functions.clock import effective_interval, local_day
 
 
-
 def resolve_items(items: DataFrame, events: DataFrame, places: DataFrame) -> DataFrame:
     """Plan rows with what they name; an event wins over a place, unknown ids drop.
 
@@ -66,93 +65,6 @@ def conflict_days(pairs: DataFrame) -> DataFrame:
     )
 
 
-def swap_options(rows: DataFrame) -> DataFrame:
-    """Whether each item may move up or down past its neighbour.
-
-    Places and all-day events move freely; timed events only towards their order.
-    """
-    order = Window.partitionBy("session_id").orderBy("pos")
-    timed = F.when((F.col("kind") == "event") & ~F.col("all_day"), F.col("start_at"))
-    out = rows.withColumn("t", timed).withColumns({
-        "up": F.lag("t").over(order), "down": F.lead("t").over(order),
-        "has_up": F.lag("item_id").over(order).isNotNull(), "has_down": F.lead("item_id").over(order).isNotNull()})
-    up = F.col("has_up") & F.coalesce(F.col("t") <= F.col("up"), F.lit(True))
-    down = F.col("has_down") & F.coalesce(F.col("t") >= F.col("down"), F.lit(True))
-    return out.select("session_id", "pos", "item_id", up.alias("can_up"), down.alias("can_down"))
-
-
-def day_headers(rows: DataFrame) -> DataFrame:
-    """Events that open a new local day in list order; places are passed over."""
-    order = Window.partitionBy("session_id").orderBy("pos")
-    events = rows.filter(F.col("kind") == "event").withColumn("day", local_day(F.col("start_at")))
-    before = F.lag("day").over(order)
-    return events.withColumn("before", before).filter(
-        F.col("before").isNull() | (F.col("before") != F.col("day"))).select("session_id", "pos", "item_id", "day")
-
-
-def plan_lists(rows: DataFrame) -> DataFrame:
-    """One ordered list of (id, start_at, all_day) per plan."""
-    item = F.struct("pos", F.col("item_id").alias("id"), "start_at", "all_day")
-    return rows.groupBy("session_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-
-def ids(items: Column) -> Column:
-    return F.transform(items, lambda i: i["id"])
-
-
-def keep_known(ordered: Column, known: Column) -> Column:
-    """Ids of the list that are known, in list order."""
-    return F.filter(ordered, lambda x: F.array_contains(known, x))
-
-
-def _full(items: Column, limit: int | None) -> Column:
-    """Whether a plan takes no more items; plans have no limit unless the caller sets one."""
-    return F.size(items) >= limit if limit is not None else F.lit(False)
-
-
-def append_or_move(ordered: Column, item: Column, limit: int | None = None) -> Column:
-    """Put ``item`` last; a full list without it stays as it is."""
-    full = ~F.array_contains(ordered, item) & _full(ordered, limit)
-    return F.when(full, ordered).otherwise(F.array_append(F.array_remove(ordered, item), item))
-
-
-def insert_by_time(items: Column, item: Column, start: Column, all_day: Column, limit: int | None = None) -> Column:
-    """Ids with ``item`` before the first timed event that starts later; all-day ones go last."""
-    rest = F.filter(items, lambda i: i["id"] != item)
-    later = F.transform(
-        rest, lambda i, n: F.when(~F.coalesce(i["all_day"], F.lit(True)) & (i["start_at"] > start), n))
-    at = F.when(all_day, F.size(rest)).otherwise(F.coalesce(F.array_min(later), F.size(rest)))
-    known = ids(rest)
-    placed = F.concat(
-        F.slice(known, F.lit(1), at), F.array(item), F.slice(known, at + 1, F.greatest(F.size(rest) - at, F.lit(0))))
-    full = (F.size(rest) == F.size(items)) & _full(items, limit)
-    return F.when(full, ids(items)).otherwise(placed)
-
-
-def toggle_event(items: Column, item: Column, start: Column, all_day: Column) -> Column:
-    listed = ids(items)
-    return F.when(F.array_contains(listed, item), F.array_remove(listed, item)).otherwise(
-        insert_by_time(items, item, start, all_day))
-
-
-def toggle_place(ordered: Column, item: Column, limit: int | None = None) -> Column:
-    return (
-        F.when(F.array_contains(ordered, item), F.array_remove(ordered, item))
-        .when(_full(ordered, limit), ordered)
-        .otherwise(F.array_append(ordered, item))
-    )
-
-
-def swap(ordered: Column, a: Column, b: Column) -> Column:
-    both = F.array_contains(ordered, a) & F.array_contains(ordered, b)
-    return F.when(both, F.transform(
-        ordered, lambda x: F.when(x == a, b).when(x == b, a).otherwise(x))).otherwise(ordered)
-
-
-def remove(ordered: Column, item: Column) -> Column:
-    return F.array_remove(ordered, item)
-
-
 def parse_id_list(text: Column, limit: int | None = None) -> Column:
     """JSON array of UUIDs; anything invalid gives the empty list."""
     uuid = r"^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"

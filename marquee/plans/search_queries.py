@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from marquee.functions import scores, text
 from marquee.functions.clock import effective_interval, local_day
-from marquee.operators import itinerary as I, listing as L, places as P, search as S
+from marquee.operators import itinerary as I, listing as L, places as P, plan_rows as PR, search as S
 from marquee.plans.listing_queries import WEEK, WEEK_SQL, YEAR, YEAR_SQL, listed, rows_in, whole
 from marquee.plans.registry import query
 from marquee.plans.views import NOW, ny
+from marquee.session import cut_lineage
 
 QUERY = "small ring"
 
@@ -163,24 +164,34 @@ n AS (SELECT *, lag(t) OVER s AS up, lead(t) OVER s AS down, lag(item_id) OVER s
   FROM w WINDOW s AS (PARTITION BY session_id ORDER BY pos))
 SELECT session_id, pos, item_id, hu AND coalesce(t <= up, true) AS can_up, hd AND coalesce(t >= down, true) AS can_down FROM n""")
 def plan_swap_options(t):
-    return I.swap_options(resolved(t))
+    return PR.swap_options(resolved(t))
 
 
 @query("plan_day_headers", f"""WITH {_ITEMS}, e AS (SELECT session_id, pos, item_id, strftime({ny('start_at')}, '%Y-%m-%d') AS day FROM items WHERE kind = 'event')
 SELECT * FROM e QUALIFY lag(day) OVER (PARTITION BY session_id ORDER BY pos) IS DISTINCT FROM day""")
 def plan_day_headers(t):
-    return I.day_headers(resolved(t))
+    return PR.day_headers(resolved(t))
 
 
 _NEW = """nw AS (SELECT session_id, 'e' || l.id AS nid, l.start_at AS ns, l.all_day AS nad FROM (SELECT DISTINCT session_id FROM items)
   JOIN v_listings l ON l.id = (session_id * 977) % (SELECT count(*) FROM v_listings))"""
 
 
-def _with_new(t):
-    lists = I.plan_lists(resolved(t))
-    events = t.listings("id", "start_at", "all_day").select(
-        F.col("id").alias("_id"), F.concat(F.lit("e"), "id").alias("nid"), F.col("start_at").alias("ns"), F.col("all_day").alias("nad"))
-    return lists.withColumn("_id", (F.col("session_id") * 977) % t.count("orders")).join(events, "_id")
+def _rows(t):
+    return cut_lineage(PR.keyed(resolved(t)))
+
+
+def _new_items(t, rows):
+    """One event for each plan, which some plans hold already."""
+    events = t.listings("id", "start_at", "all_day").withColumn("item_id", F.concat(F.lit("e"), "id"))
+    wanted = rows.select("session_id").distinct().withColumn("id", (F.col("session_id") * 977) % t.count("orders"))
+    return wanted.join(events, "id").select("session_id", "item_id", "start_at", "all_day")
+
+
+def _listed(rows, name):
+    """The plans as text, for a report."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct("at", "item_id"))), lambda x: x["item_id"])
+    return rows.groupBy("session_id").agg(F.array_join(items, ",").alias(name))
 
 
 @query("plan_insert_by_time", f"""WITH {_ITEMS}, {_NEW},
@@ -189,8 +200,8 @@ pt AS (SELECT session_id, nid, coalesce(CASE WHEN NOT any_value(nad) THEN min(k)
 SELECT session_id, string_agg(id, ',' ORDER BY o) AS plan FROM (
   SELECT session_id, item_id AS id, k * 2 + 1 AS o FROM rest UNION ALL SELECT session_id, nid, ix * 2 FROM pt) GROUP BY session_id""")
 def plan_insert_by_time(t):
-    plan = I.insert_by_time(F.col("items"), F.col("nid"), F.col("ns"), F.col("nad"))
-    return _with_new(t).select("session_id", F.array_join(plan, ",").alias("plan"))
+    rows = _rows(t)
+    return _listed(PR.insert_by_time(rows, _new_items(t, rows)), "plan")
 
 
 @query("plan_toggle_event", f"""WITH {_ITEMS}, {_NEW},
@@ -200,8 +211,8 @@ SELECT session_id, string_agg(id, ',' ORDER BY o) AS plan FROM (
   SELECT session_id, item_id AS id, k * 2 + 1 AS o FROM rest
   UNION ALL SELECT session_id, nid, ix * 2 FROM pt WHERE NOT EXISTS (SELECT 1 FROM items i WHERE i.session_id = pt.session_id AND i.item_id = nid)) GROUP BY session_id""")
 def plan_toggle_event(t):
-    plan = I.toggle_event(F.col("items"), F.col("nid"), F.col("ns"), F.col("nad"))
-    return _with_new(t).select("session_id", F.array_join(plan, ",").alias("plan"))
+    rows = _rows(t)
+    return _listed(PR.toggle_event(rows, _new_items(t, rows)), "plan")
 
 
 @query("plan_list_edits", f"""WITH {_ITEMS}, l AS (SELECT session_id, list(item_id ORDER BY pos) AS p FROM items GROUP BY session_id)
@@ -211,15 +222,19 @@ SELECT session_id, array_to_string(list_concat(list_filter(p, lambda x: x <> p[1
   array_to_string(list_concat(p, ['p-new']), ',') AS place_added,
   array_to_string(list_filter(p, lambda x: starts_with(x, 'p')), ',') AS known_places FROM l""")
 def plan_list_edits(t):
-    p = I.ids(F.col("items"))
-    places = F.filter(p, lambda x: F.startswith(x, F.lit("p")))
-    return I.plan_lists(resolved(t)).select(
-        "session_id",
-        F.array_join(I.append_or_move(p, p[0]), ",").alias("moved"),
-        F.array_join(I.remove(p, p[2]), ",").alias("removed"),
-        F.array_join(I.swap(p, p[0], p[1]), ",").alias("swapped"),
-        F.array_join(I.toggle_place(p, F.lit("p-new")), ",").alias("place_added"),
-        F.array_join(I.keep_known(p, places), ",").alias("known_places"))
+    rows = _rows(t)
+    item = F.struct("item_id", "start_at", "all_day")
+    numbered = PR.ranked(rows).filter("n < 3")
+    heads = cut_lineage(numbered.groupBy("session_id").agg(*[
+        F.max(F.when(F.col("n") == k, item)).alias(f"i{k}") for k in range(3)]))
+    first, third = (heads.select("session_id", f"i{k}.*") for k in (0, 2))
+    pairs = heads.select("session_id", F.col("i0.item_id").alias("a"), F.col("i1.item_id").alias("b"))
+    place = heads.select("session_id", F.lit("p-new").alias("item_id"), F.lit(None).cast("timestamp").alias("start_at"), F.lit(None).cast("boolean").alias("all_day"))
+    out = _listed(PR.append_or_move(rows, first), "moved")
+    for name, edited in (("removed", PR.remove(rows, third)), ("swapped", PR.swap(rows, pairs)), ("place_added", PR.toggle_place(rows, place)),
+                         ("known_places", rows.filter(F.startswith("item_id", F.lit("p"))))):
+        out = out.join(_listed(edited, name), "session_id", "left")
+    return out.fillna("", ["known_places"])
 
 
 @query("effective_intervals", f"""SELECT id, strftime({ny('start_at')}, '%Y-%m-%d') AS day,
