@@ -72,21 +72,24 @@ def lanes_after(stored: DataFrame, before: DataFrame, after: DataFrame, group: s
     return stored.join(delta, group, "right").select(group, *sums).filter("n > 0").withColumn("editorial_hash", lanes_hash())
 
 
-def first_values(rows: DataFrame, group: str, limit: int = LIST_LIMIT) -> DataFrame:
-    """(group, kind, values): first ``limit`` distinct non-empty values per kind.
+def first_values(rows: DataFrame, group: str, limit: int | None = LIST_LIMIT) -> DataFrame:
+    """(group, kind, values): first ``limit`` distinct non-empty values per kind, or all of them.
 
     ``rows`` has group, kind, v and o (their order).
     """
     firsts = rows.filter("v <> ''").groupBy(group, "kind", "v").agg(F.min("o").alias("o"))
+    if limit is None:
+        return firsts.withColumn("at", F.col("o"))
     at = F.row_number().over(Window.partitionBy(group, "kind").orderBy("o", "v"))
     return firsts.withColumn("at", at).filter(F.col("at") <= limit)
 
 
-def editorial_inputs(members: DataFrame, group: str = "canonical_id") -> DataFrame:
+def editorial_inputs(members: DataFrame, group: str = "canonical_id", limit: int | None = LIST_LIMIT) -> DataFrame:
     """One row per group: hash, title and description variants, slugs, category hints.
 
-    ``members`` are listings of enabled sources with source_slug. Two passes: one
-    aggregate, and one over all values of all kinds.
+    ``members`` are listings of enabled sources with source_slug. A list holds the
+    first ``limit`` distinct values (all without one). Two passes: one aggregate,
+    and one over all values of all kinds.
     """
     rows = _input_rows(members)
     slugs = F.array_sort(F.collect_set("source_slug")).alias("source_slugs")
@@ -101,7 +104,7 @@ def editorial_inputs(members: DataFrame, group: str = "canonical_id") -> DataFra
         F.transform("categories", lambda c, i: one("hints", F.trim(c), i)))
     flat = rows.select(group, "start_at", "id", F.inline(values)).select(
         group, "kind", "v", F.struct("start_at", "id", "at").alias("o"))
-    kept = first_values(flat, group)
+    kept = first_values(flat, group, limit)
 
     def listed(kind: str) -> Column:
         pair = F.when(F.col("kind") == kind, F.struct("at", "v"))
@@ -113,7 +116,8 @@ def editorial_inputs(members: DataFrame, group: str = "canonical_id") -> DataFra
         {c: F.coalesce(c, empty) for c in ("titles", "descriptions", "hints")})
 
 
-def fallback_editorial(title: Column, description: Column, hints: Column, categories: Column) -> Column:
+def fallback_editorial(title: Column, description: Column, hints: Column, categories: Column, tags: int | None = 4) -> Column:
+    """What a group shows without curated values; ``tags`` is the number of tags kept."""
     source = F.coalesce(nonempty(html_to_text(description)), clean_inline(title))
     return F.struct(
         clean_inline(title).alias("deduped_title"),
@@ -121,7 +125,7 @@ def fallback_editorial(title: Column, description: Column, hints: Column, catego
         F.array(F.lit("cultural")).alias("vibes"),
         F.lit("all_ages").alias("audience"),
         F.lit("both").alias("indoor_outdoor"),
-        canonical_tags(F.when(F.size(hints) > 0, hints).otherwise(categories), 4).alias("tags"),
+        canonical_tags(F.when(F.size(hints) > 0, hints).otherwise(categories), tags).alias("tags"),
         F.lit(None).cast("string").alias("why_its_cool"),
         F.lit(0.5).alias("editorial_score"))
 

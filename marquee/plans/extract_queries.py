@@ -10,7 +10,7 @@ from marquee.operators import normalize as N
 from marquee.plans.registry import query
 from marquee.plans.views import local_instant, ny
 from marquee.schemas import EXTRACTED_EVENT_TYPES
-from marquee.sources import feeds as X, html as H, links as K, reduce as D, structured as J
+from marquee.sources import adapters, feeds as X, html as H, links as K, reduce as D, structured as J
 
 
 def cat(*parts) -> Column:
@@ -252,13 +252,25 @@ def feed_over_page(t):
     return X.prefer_feed(t.listings("id", "title"), feed, "id", ["title"])
 
 
-@query("rss_items", """SELECT id, CAST(id AS VARCHAR) AS eid, title || ' & co' AS title, 'https://cityofsafetyharbor.com/Calendar.aspx?EID=' || id AS url, 'Hint' || chr(10) || 'two' AS hint FROM v_listings""")
+@query("calendar_over_pages", f"""WITH {_JSONLD} SELECT id, title || ', live' AS title, 'https://e.example.com/' || id AS event_url FROM v_listings WHERE id % 11 <> 0
+UNION ALL SELECT id, title, NULL FROM jl WHERE id % 11 = 0""")
+def calendar_over_pages(t):
+    """Pages of one source, with the calendar's event where it has the page's path."""
+    pages = jsonld_pages(t).withColumn("url", F.concat(F.lit("https://p.example.com/"), "id"))
+    adapter = adapters.calendar_first(ical_feeds(t).withColumnRenamed("id", "feed_id"), ["feed_id"])
+    return adapter(pages, ["id"]).select("id", "title", "event_url")
+
+
+_RSS = """SELECT id, CAST(id AS VARCHAR) AS eid, title || ' & co' AS title, 'https://cityofsafetyharbor.com/Calendar.aspx?EID=' || id AS url, 'Hint' || chr(10) || 'two' AS hint FROM v_listings"""
+
+
+@query("rss_items", _RSS)
 def rss_items(t):
     text = cat(
         "<rss><channel><item><title>", F.col("title"), " &amp; co</title><link>https://x.example.com/Calendar.aspx?EID=", F.col("id"),
         "&amp;m=1</link><description><![CDATA[Hint<br/>two]]></description></item><item><title>dup</title><link>https://x.example.com/?EID=", F.col("id"),
         "</link></item><item><title>none</title><link>https://x.example.com/</link></item></channel></rss>")
-    return X.rss_items(t.listings("id", "title").select("id", text.alias("text")), ["id"])
+    return adapters.LISTINGS["safety_harbor"](t.listings("id", "title").select("id", text.alias("text")), ["id"])
 
 
 def plugin_feeds(t):

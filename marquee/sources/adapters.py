@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from marquee.functions.prices import default_offer
-from marquee.sources import feeds, structured
+from marquee.functions.urls import path_id
+from marquee.sources import feeds, links, structured
 
 Adapter = Callable[[DataFrame, list[str]], DataFrame]
 
@@ -35,6 +36,36 @@ def offered_page_events(pages: DataFrame, keys: list[str]) -> DataFrame:
         "event_url", F.coalesce("event_url", "page_url")).drop("page_url")
 
 
+def calendar_first(calendars: DataFrame, feed_keys: list[str]) -> Adapter:
+    """An adapter for pages of a source that publishes calendars too (columns ``feed_keys`` and text).
+
+    A page whose path is that of a calendar event's address takes that event; of
+    several the last counts. Other pages are read as usual.
+    """
+    order = [*feed_keys, "pos"]
+    feed = feeds.ical_extracted(feeds.ical_events(calendars, feed_keys), order)
+    fields = [c for c in feed.columns if c not in order]
+    last = feed.groupBy(path_id(F.col("event_url")).alias("_path")).agg(
+        F.max_by(F.struct(*fields), F.struct(*order)).alias("_feed"))
+
+    def run(pages: DataFrame, keys: list[str]) -> DataFrame:
+        found = page_events(pages, keys)
+        known = pages.select(*keys, path_id(F.col("url")).alias("_path")).join(last, "_path").select(*keys, "_feed")
+        listed = known.select(*[
+            c if c in keys else F.col(f"_feed.{c}").alias(c) if c in fields else F.lit(None).cast(found.schema[c].dataType).alias(c)
+            for c in found.columns])
+        return found.join(known, keys, "left_anti").unionByName(listed)
+
+    return run
+
+
+def _linked(slug: str) -> Adapter:
+    return lambda pages, keys: links.listing_links(pages.withColumn("source_slug", F.lit(slug)), key=tuple(keys))
+
+
+# How the items of a source are found: links on its pages, or its feed.
+LISTINGS: dict[str, Adapter] = {**{slug: _linked(slug) for slug in links.LINK_RULES}, "safety_harbor": feeds.rss_items}
+
 ADAPTERS: dict[str, Adapter] = {
     **{slug: offered_page_events for slug in WITH_DEFAULT_OFFER},
     **{slug: page_events for slug in ("tampa_gov", "visit_st_pete_clearwater", "visit_tampa_bay", "unation",
