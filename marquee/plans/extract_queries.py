@@ -326,6 +326,18 @@ def ticketing_feed_events(t):
         F.array_join("categories", "|").alias("categories"), "image_url", "offer.status", "offer.on_sale_local", F.size("offer.tiers").alias("tiers"))
 
 
+_TSTART = "CASE WHEN id % 3 = 0 THEN strftime(start_at, '%Y-%m-%dT00:00:00') ELSE strftime(start_at, '%Y-%m-%dT%H:%M:%S') END"
+
+
+@query("ticketing_feed_text", f"""SELECT id, 'JSON-LD:' || chr(10) || '{{"@context":"https://schema.org","@type":"Event","name":"' || title || '","description":"Info\\n\\nNote","startDate":"' || {_TSTART}
+ || '","url":"https://t.example.com/' || id || '","image":"https://i.example.com/l","location":{{"@type":"Place","name":"' || venue_name || '","address":"5 Gulf, Clearwater, FL, 33755"}},"offers":{{"@type":"AggregateOffer","priceCurrency":"usd","lowPrice":'
+ || CASE WHEN id % 4 = 0 THEN '0.0,"highPrice":0.0' ELSE '20.0,"highPrice":40.0' END || '}},"keywords":["art","theater"]}}' || chr(10) || chr(10) || 'Text:' || chr(10) || 'Source: Tickets' || chr(10) || 'Title: ' || title
+ || chr(10) || 'Venue: ' || venue_name || chr(10) || 'Address: 5 Gulf, Clearwater, FL, 33755' || chr(10) || 'Starts (local): ' || {_TSTART} || chr(10) || 'Price: $' || CASE WHEN id % 4 = 0 THEN '0' ELSE '20 – $40' END
+ || chr(10) || chr(10) || 'Info' || chr(10) || chr(10) || 'Note' AS reduced FROM v_listings""")
+def ticketing_feed_text(t):
+    return X.ticketing_text(ticketing_feeds(t), ["id"], "Tickets").select("id", "reduced")
+
+
 @query("local_time_strings", f"""SELECT id, strftime({ny('start_at')}, '%Y-%m-%dT%H:%M:%S') AS from_utc, strftime(start_at, '%Y-%m-%dT%H:%M:00') AS from_minutes,
   strftime(start_at + INTERVAL 5 HOUR, '%Y-%m-%dT%H:%M:%S') AS spaced, CAST(NULL AS VARCHAR) AS junk FROM v_listings""")
 def local_time_strings(t):

@@ -232,11 +232,8 @@ def preferred_range(ranges: Column) -> Column:
         F.get(ranges, F.lit(0)))
 
 
-def ticketing_extracted(feeds: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Ticketing feed to extracted events, first per id.
-
-    The on-sale instant becomes New York local time.
-    """
+def _ticketing_fields(feeds: DataFrame, key: list[str], text: str) -> DataFrame:
+    """Records of the feed, first per id, with what both readings of them need."""
     parsed = F.from_json(F.col(text), TICKETING_SCHEMA)["_embedded"]["events"]
     rows = feeds.select(*key, F.posexplode(parsed).alias("pos", "e")).filter("e.id <> '' and e.name <> ''")
     rows = rows.groupBy(*key, F.col("e.id").alias("source_event_id")).agg(F.min_by("e", "pos").alias("e"))
@@ -246,19 +243,56 @@ def ticketing_extracted(feeds: DataFrame, key: list[str], text: str = "text") ->
              F.coalesce(venue["state"]["stateCode"], venue["state"]["name"]), venue["postalCode"]]
     start, end = e["dates"]["start"], e["dates"]["end"]
     price = preferred_range(e["priceRanges"])
-    money = F.coalesce(currency(F.get(e["priceRanges"], F.lit(0))["currency"]), F.lit("USD"))
     names = F.flatten(F.transform(
         F.coalesce(e["classifications"], F.array()),
         lambda c: F.filter(F.array(c["segment"]["name"], c["genre"]["name"], c["subGenre"]["name"]), lambda n: n != "")))
     segments = F.filter(F.transform(F.array(e["description"], e["info"], e["pleaseNote"]), html_to_text), lambda s: s != "")
-    rows = rows.withColumns({
+    return rows.withColumns({
+        "names": names,
         "start_local": pick_local_iso(start["localDate"], start["localTime"]),
         "end_local": pick_local_iso(end["localDate"], end["localTime"]),
         "venue_name": nonempty(clean_inline(venue["name"])),
         "address": nonempty(clean_inline(join_parts([F.coalesce(p, F.lit("")) for p in parts]))),
         "low": price["min"], "high": F.coalesce(price["max"], price["min"]), "text": F.array_join(segments, "\n\n"),
         "is_free": F.coalesce((price["min"] == 0) & (F.coalesce(price["max"], F.lit(0.0)) == 0), F.lit(False)),
-    }).filter("start_local is not null")
+    })
+
+
+def ticketing_text(feeds: DataFrame, key: list[str], label: str, text: str = "text") -> DataFrame:
+    """Text document of a ticketing record, for the text path."""
+    rows = _ticketing_fields(feeds, key, text).withColumn("title", clean_inline(F.col("e.name")))
+    e = F.col("e")
+    document = F.to_json(F.struct(
+        F.lit("https://schema.org").alias("@context"), F.lit("Event").alias("@type"), F.col("title").alias("name"),
+        F.col("text").alias("description"), F.coalesce("start_local", F.lit("")).alias("startDate"), F.col("end_local").alias("endDate"),
+        e["url"].alias("url"), best_image(e["images"]).alias("image"),
+        F.when(F.size(e["_embedded"]["venues"]) > 0, F.struct(
+            F.lit("Place").alias("@type"), F.col("venue_name").alias("name"), F.col("address").alias("address"))).alias("location"),
+        F.when(F.col("low").isNotNull(), F.struct(
+            F.lit("AggregateOffer").alias("@type"), F.coalesce(F.get(e["priceRanges"], F.lit(0))["currency"], F.lit("USD")).alias("priceCurrency"),
+            F.col("low").alias("lowPrice"), F.col("high").alias("highPrice"))).alias("offers"),
+        canonical_tags(F.col("names")).alias("keywords")))
+    plain = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
+    dash = F.when(F.coalesce(F.col("high") != 0, F.lit(False)) & (F.col("high") != F.col("low")), F.concat(F.lit(" \u2013 $"), plain(F.col("high"))))
+    lines = F.concat_ws(
+        "\n", F.lit(f"Source: {label}"), F.concat(F.lit("Title: "), "title"), F.concat(F.lit("Venue: "), "venue_name"),
+        F.concat(F.lit("Address: "), "address"), F.concat(F.lit("Starts (local): "), "start_local"),
+        F.concat(F.lit("Ends (local): "), "end_local"),
+        F.concat(F.lit("Price: $"), plain(F.col("low")), F.coalesce(dash, F.lit(""))), F.concat(F.lit("\n"), nonempty(F.col("text"))))
+    whole = F.concat_ws("\n", F.lit("JSON-LD:"), document, F.lit(""), F.lit("Text:"), lines)
+    return rows.select(*key, "source_event_id", whole.alias("reduced"))
+
+
+def ticketing_extracted(feeds: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """Ticketing feed to extracted events, first per id.
+
+    The on-sale instant becomes New York local time.
+    """
+    rows = _ticketing_fields(feeds, key, text).filter("start_local is not null")
+    e = F.col("e")
+    start = e["dates"]["start"]
+    names = F.col("names")
+    money = F.coalesce(currency(F.get(e["priceRanges"], F.lit(0))["currency"]), F.lit("USD"))
     status = F.when(F.col("is_free"), "free").otherwise(
         lookup(TICKETING_STATUS, F.lower(e["dates"]["status"]["code"]), F.lit("on_sale")))
     on_sale = F.date_format(F.from_utc_timestamp(
