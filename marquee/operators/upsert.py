@@ -121,12 +121,19 @@ def window_gate(low: datetime, high: datetime) -> Column:
     return overlaps(F.col("start_at"), F.col("end_at"), F.lit(low), F.lit(high))
 
 
-def run_stats(plan: DataFrame, source: str = "source_id") -> DataFrame:
-    """Outcome counters per source, plus the total (null source)."""
+def run_stats(plan: DataFrame, source: str = "source_id", paths: DataFrame | None = None) -> DataFrame:
+    """Outcome counters per source, plus the total (null source).
+
+    ``paths`` (source and the path each item took) adds ``structured_hits``.
+    """
     touched = plan.filter(F.col("outcome").isNotNull())
-    return touched.rollup(source).agg(
+    stats = touched.rollup(source).agg(
         F.count("*").alias("seen"),
         *[F.count_if(F.col("outcome") == o).alias(o) for o in ("inserted", "updated", "skipped")])
+    if paths is None:
+        return stats
+    hits = paths.rollup(F.col(source).alias("_source")).agg(F.count_if(F.col("path") == "structured").alias("structured_hits"))
+    return stats.join(hits, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source").fillna(0, ["structured_hits"])
 
 
 def run_log(plan: DataFrame, started: datetime, finished: datetime, errors: DataFrame | None = None) -> DataFrame:
@@ -141,6 +148,17 @@ def run_log(plan: DataFrame, started: datetime, finished: datetime, errors: Data
         "started_at": F.lit(started), "finished_at": F.lit(finished), "status": status})
 
 
+def source_status(sources: DataFrame, runs: DataFrame) -> DataFrame:
+    """Sources with the time, status and error of their last run; those without a run keep what they have."""
+    old = {c: F.col(c) if c in sources.columns else F.lit(None).cast(kind) for c, kind in (
+        ("last_run_at", "timestamp"), ("last_status", "string"), ("last_error", "string"))}
+    last = runs.groupBy("source_id").agg(F.max(F.struct("finished_at", "status", "error")).alias("_run"))
+    ran = F.col("_run").isNotNull()
+    return sources.withColumns(old).join(last, "source_id", "left").withColumns({
+        "last_run_at": F.coalesce("_run.finished_at", "last_run_at"), "last_status": F.coalesce("_run.status", "last_status"),
+        "last_error": F.when(ran, F.col("_run.error")).otherwise(F.col("last_error"))}).drop("_run")
+
+
 def upsert_sources(stored: DataFrame, adapters: DataFrame) -> DataFrame:
     """Sources by slug: label and base URL refreshed, ids kept, new ones enabled.
 

@@ -12,11 +12,12 @@ from marquee.functions.clock import is_fresh
 from marquee.operators import (
     editorial as E, lifecycle as Z, listing as L, logs, resolve as R, upsert as U, validate as V,
 )
+from marquee.plans import extract_queries
 from marquee.plans.listing_queries import ELECTION
 from marquee.plans.registry import query
 from marquee.plans.views import NOW, NOW_SQL
 from marquee.session import shared_folder
-from marquee.sources import classify
+from marquee.sources import classify, structured
 from marquee.streaming import ingest
 
 KEYS = ["source_id", "source_event_id"]
@@ -84,6 +85,27 @@ def upsert_run_stats(t):
     return U.run_stats(plan(t))
 
 
+@query("run_stats_structured", f"""WITH {_PLAN}, hit AS (SELECT source_id, count(*) AS n FROM v_listings WHERE id % 4 <> 3 AND id % 7 <> 5 GROUP BY ROLLUP (source_id)),
+st AS (SELECT source_id, count(*) AS seen, count(*) FILTER (WHERE outcome = 'updated') AS updated FROM plan GROUP BY ROLLUP (source_id))
+SELECT st.source_id, seen, updated, coalesce(n, 0) AS structured_hits FROM st LEFT JOIN hit ON hit.source_id IS NOT DISTINCT FROM st.source_id""")
+def run_stats_structured(t):
+    """Run counters with the items whose page gave a structured event."""
+    pages = extract_queries.jsonld_pages(t)
+    found = structured.structured_or_text(
+        pages, extract_queries.jsonld(t), pages.select("id", F.lit("").alias("reduced")), ["id"])
+    paths = found.join(t.listings("id", "source_id"), "id")
+    return U.run_stats(plan(t), paths=paths).select("source_id", "seen", "updated", "structured_hits")
+
+
+@query("source_status", f"""WITH {_PLAN}, r AS (SELECT source_id, bool_or(source_id % 7 = 3) AS failed FROM plan GROUP BY source_id)
+SELECT source_id, CASE WHEN failed IS NOT NULL THEN {NOW_SQL} END AS last_run_at, CASE WHEN failed THEN 'error: HTTP 503' WHEN NOT failed THEN 'ok' END AS last_status,
+  CASE WHEN failed THEN 'HTTP 503' END AS last_error FROM v_sources LEFT JOIN r USING (source_id)""")
+def source_status(t):
+    errors = t.sources().filter("source_id % 7 = 3").select("source_id", F.lit("HTTP 503").alias("error"))
+    runs = U.run_log(plan(t), NOW, NOW, errors)
+    return U.source_status(t.sources(), runs).select("source_id", "last_run_at", "last_status", "last_error")
+
+
 @query("run_log_rows", f"""WITH {_PLAN}, e AS (SELECT source_id, 'HTTP 503' AS error FROM v_sources WHERE source_id % 7 = 3)
 SELECT source_id, count(*) AS seen, error, CASE WHEN error IS NULL THEN 'ok' ELSE 'error: ' || error END AS status
 FROM plan LEFT JOIN e USING (source_id) GROUP BY source_id, error""")
