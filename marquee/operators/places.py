@@ -267,3 +267,23 @@ def reconcile(places: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def nonzero(name: str) -> Column:
     return F.nullif(F.col(name), F.lit(0))
+
+
+def reconcile_counts(reconciled: DataFrame) -> DataFrame:
+    """One row of counters of a reconciliation."""
+    return reconciled.agg(
+        F.count("*").alias("total"), F.count_if("updated").alias("enriched"),
+        F.count_if(F.coalesce("coords_fixed", F.lit(False))).alias("coords_fixed"),
+        F.count_if(F.coalesce("image_resolved", F.lit(False))).alias("image_resolved"))
+
+
+def discovery_counts(stages: dict[str, DataFrame], plan: DataFrame) -> DataFrame:
+    """(counter, n): rows out of each named stage of a discovery run, and what the upsert did with the last."""
+    out = None
+    for name, rows in stages.items():
+        row = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n")
+        out = row if out is None else out.unionByName(row)
+    done = plan.agg(
+        F.count_if(F.col("outcome").isin("inserted", "updated")).alias("upserted"),
+        F.count_if(F.col("reason") == "hash_match").alias("skipped_unchanged"))
+    return out.unionByName(done.unpivot([], ["upserted", "skipped_unchanged"], "counter", "n"))

@@ -205,6 +205,10 @@ SELECT p.id, CASE WHEN (image_url IS NULL OR {_BAD_IMAGE}) AND fi IS NOT NULL TH
   ((image_url IS NULL OR {_BAD_IMAGE}) AND fi IS NOT NULL) OR (address IS NULL AND fa IS NOT NULL) OR (web_rating = 0 AND fr IS NOT NULL) AS updated
 FROM v_places p LEFT JOIN f USING (id)""")
 def places_reconciled(t):
+    return _reconciled(t).select("id", "image_url", "address", "web_rating", "updated")
+
+
+def _reconciled(t):
     none = F.lit(None)
     fresh = t.places().filter("id % 3 <> 0").select(
         "id", none.cast("double").alias("f_lat"), none.cast("double").alias("f_lng"),
@@ -212,7 +216,15 @@ def places_reconciled(t):
         F.when(F.col("id") % 2 == 0, F.concat(F.col("id").cast("string"), F.lit(" New St"))).alias("f_address"),
         none.cast("string").alias("f_phone_number"), none.cast("array<string>").alias("f_hours"),
         F.lit(4.5).alias("f_web_rating"), none.cast("int").alias("f_web_review_count"))
-    return P.reconcile(t.places(), fresh).select("id", "image_url", "address", "web_rating", "updated")
+    return P.reconcile(t.places(), fresh)
+
+
+@query("reconcile_counts", f"""WITH f AS (SELECT id, id % 2 = 0 AS fa FROM v_places WHERE id % 3 <> 0)
+SELECT count(*) AS total, count(*) FILTER (WHERE f.id IS NOT NULL AND (image_url IS NULL OR {_BAD_IMAGE} OR (address IS NULL AND fa) OR web_rating = 0)) AS enriched,
+  0::BIGINT AS coords_fixed, count(*) FILTER (WHERE f.id IS NOT NULL AND (image_url IS NULL OR {_BAD_IMAGE})) AS image_resolved
+FROM v_places p LEFT JOIN f USING (id)""")
+def reconcile_counts(t):
+    return P.reconcile_counts(_reconciled(t))
 
 
 @query("places_image_filled", """SELECT id, CASE WHEN image_url IS NULL AND website_url IS NOT NULL AND id % 2 = 0 THEN 'https://og.example.com/' || id ELSE image_url END AS image_url FROM v_places""")
@@ -260,18 +272,37 @@ def hours_lists(t):
 _SLUG = "left(trim(regexp_replace(lower({0} || '-' || {1}), '[^a-z0-9]+', '-', 'g'), '-'), 80)"
 
 
+def _incoming(found):
+    """Discovered rows with the fields that later stages fill, empty."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return P.incoming_places(found.withColumns({
+        **{c: none("string") for c in ("address", "map_address", "phone_number", "image_url")}, **{c: none("double") for c in ("lat", "lng", "web_rating")},
+        "web_review_count": none("int"), "hours": none("array<string>"), "source_id": F.lit(1)}))
+
+
+def _stored_by_slug(t):
+    """The stored places, every second one under the slug of its name."""
+    slug = F.when(F.col("id") % 2 == 0, text.place_slug(F.col("name"), F.col("city"))).otherwise(F.col("slug"))
+    return t.places().withColumns({"slug": slug, "source_id": F.lit(1), "content_hash": F.lit("old")})
+
+
+@query("discovery_counts", f"""WITH {FOUND}, fresh AS (SELECT * FROM firsts WHERE NOT EXISTS (SELECT 1 FROM v_places p
+  WHERE p.id % 4 = 0 AND p.city = firsts.city AND regexp_replace(lower(p.name), '[^a-z0-9]', '', 'g') = firsts.k))
+SELECT 'existing_places' AS counter, count(*) AS n FROM v_places UNION ALL SELECT 'discovered', count(*) FROM found UNION ALL SELECT 'after_dedup', count(*) FROM firsts
+UNION ALL SELECT 'new_candidates', count(*) FROM fresh UNION ALL SELECT 'upserted', count(*) FROM fresh UNION ALL SELECT 'skipped_unchanged', 0""")
+def discovery_counts(t):
+    rows, firsts = found(t), P.first_per_name(found(t)).drop("name_key")
+    fresh = P.new_candidates(firsts, t.places().filter("id % 4 = 0").select("name", "city"))
+    plan = upsert.plan_upsert(_stored_by_slug(t), _incoming(fresh), ["source_id", "slug"], NOW)
+    return P.discovery_counts({"existing_places": t.places(), "discovered": rows, "after_dedup": firsts, "new_candidates": fresh}, plan)
+
+
 @query("place_inserts", f"""WITH {FOUND}, old AS (SELECT {_SLUG.format('name', 'city')} AS slug FROM v_places WHERE id % 2 = 0)
 SELECT {_SLUG.format('f.name', 'f.city')} AS slug, f.name, CASE WHEN old.slug IS NULL THEN 'inserted' ELSE 'updated' END AS outcome
 FROM firsts f LEFT JOIN old ON old.slug = {_SLUG.format('f.name', 'f.city')}""")
 def place_inserts(t):
     """Discovered places into the stored ones: every second is known under its slug."""
-    none = lambda kind: F.lit(None).cast(kind)
-    batch = P.incoming_places(P.first_per_name(found(t)).withColumns({
-        **{c: none("string") for c in ("address", "map_address", "phone_number", "image_url")}, **{c: none("double") for c in ("lat", "lng", "web_rating")},
-        "web_review_count": none("int"), "hours": none("array<string>"), "source_id": F.lit(1)}))
-    slug = F.when(F.col("id") % 2 == 0, text.place_slug(F.col("name"), F.col("city"))).otherwise(F.col("slug"))
-    stored = t.places().withColumns({"slug": slug, "source_id": F.lit(1), "content_hash": F.lit("old")})
-    plan = upsert.plan_upsert(stored, batch, ["source_id", "slug"], NOW)
+    plan = upsert.plan_upsert(_stored_by_slug(t), _incoming(P.first_per_name(found(t))), ["source_id", "slug"], NOW)
     return plan.filter("outcome is not null").select("slug", "name", "outcome")
 
 
