@@ -295,11 +295,19 @@ def plugin_feed_events(t):
         F.array_join("categories", "|").alias("categories"), "image_url", "offer.status")
 
 
-@query("plugin_feed_text", """SELECT id, 'Source: Plug' || chr(10) || 'Title: ' || title || ' ’26' || CASE WHEN id % 2 = 0 THEN chr(10) || 'Venue: ' || venue_name || chr(10) || 'Address: 1 Main, Dunedin, FL' ELSE '' END
-  || chr(10) || 'Cost: ' || CASE WHEN id % 5 = 0 THEN ' Free ' ELSE '$9' END || chr(10) || 'Starts (local): ' || strftime(start_at, '%Y-%m-%d %H:%M:%S') || chr(10) || chr(10) || 'A' AS body FROM v_listings""")
+_PSTART = "strftime(start_at, '%Y-%m-%dT%H:%M:%S')"
+
+
+@query("plugin_feed_text", f"""SELECT id, 'JSON-LD:' || chr(10) || '{{"@context":"https://schema.org","@type":"Event","name":"' || title || ' ’26","description":"A","startDate":"' || {_PSTART} || '","url":"https://p.example.com/' || id || '"'
+  || CASE WHEN id % 2 = 0 THEN ',"image":"https://i.example.com/' || id || '"' ELSE '' END || ',"isAccessibleForFree":' || CASE WHEN id % 5 = 0 THEN 'true' ELSE 'false' END
+  || CASE WHEN id % 3 = 0 THEN ',"offers":{{"@type":"Offer","priceCurrency":"USD","price":7.5,"highPrice":12.0}}' ELSE '' END || ',"location":{{"@type":"Place"'
+  || CASE WHEN id % 2 = 0 THEN ',"name":"' || venue_name || '","address":"1 Main, Dunedin, FL"' ELSE '' END || '}},"keywords":["music","late"]}}' || chr(10) || chr(10)
+  || 'MetaTags:' || chr(10) || 'og:title: ' || title || ' ’26' || chr(10) || 'og:url: https://p.example.com/' || id || CASE WHEN id % 2 = 0 THEN chr(10) || 'og:image: https://i.example.com/' || id ELSE '' END
+  || chr(10) || 'event:start_time: ' || {_PSTART} || chr(10) || 'event:cost: ' || CASE WHEN id % 5 = 0 THEN ' Free ' ELSE '$9' END || chr(10) || chr(10)
+  || 'Text:' || chr(10) || 'Source: Plug' || chr(10) || 'Title: ' || title || ' ’26' || CASE WHEN id % 2 = 0 THEN chr(10) || 'Venue: ' || venue_name || chr(10) || 'Address: 1 Main, Dunedin, FL' ELSE '' END
+  || chr(10) || 'Cost: ' || CASE WHEN id % 5 = 0 THEN ' Free ' ELSE '$9' END || chr(10) || 'Starts (local): ' || strftime(start_at, '%Y-%m-%d %H:%M:%S') || chr(10) || chr(10) || 'A' AS reduced FROM v_listings""")
 def plugin_feed_text(t):
-    rows = X.plugin_text(plugin_feeds(t), ["id"], "Plug")
-    return rows.select("id", F.substring_index("reduced", "\nText:\n", -1).alias("body"))
+    return X.plugin_text(plugin_feeds(t), ["id"], "Plug").select("id", "reduced")
 
 
 def ticketing_feeds(t):

@@ -247,6 +247,14 @@ def effective_intervals(t):
         "id", local_day(F.col("start_at")).alias("day"), low.alias("low"), high.alias("high"))
 
 
+@query("parsed_tag_lists", """SELECT id, CASE WHEN id % 3 = 0 THEN '' ELSE array_to_string(categories, '|') END AS tags FROM v_listings""")
+def parsed_tag_lists(t):
+    """Tags kept as JSON text back to lists; in every third row a number among them makes the list void."""
+    whole = F.to_json("categories")
+    stored = F.when(F.col("id") % 3 == 0, F.replace(whole, F.lit("]"), F.lit(", 7]"))).otherwise(whole)
+    return t.listings("id", "categories").select("id", F.array_join(I.parse_tag_list(stored), "|").alias("tags"))
+
+
 @query("parsed_id_lists", """WITH j AS (SELECT session_id, '["' || string_agg(DISTINCT session_id, '","') || '"]' AS s FROM v_metrics GROUP BY session_id)
 SELECT session_id, session_id AS ids, 0 AS bad FROM j""")
 def parsed_id_lists(t):
