@@ -53,12 +53,17 @@ def jsonld_events(pages: DataFrame, key: list[str], html: str = "html") -> DataF
     """
     # The brackets make text behind a value an error, as it is to a JSON parser that reads to the end.
     parsed = _list(F.try_parse_json(F.concat(F.lit("["), F.col("text"), F.lit("]"))))
-    level = (
-        pages.filter(F.contains(html, F.lit("ld+json")))
-        .select(*key, F.posexplode(jsonld_blocks(F.col(html))).alias("n", "text"))
-        .select(*key, F.array("n").alias("path"), parsed.alias("nodes")).filter(F.size("nodes") == 1)
-        .select(*key, "path", F.get("nodes", F.lit(0)).alias("node")))
-    found = None
+
+    def nodes(some: DataFrame) -> DataFrame:
+        return some.select(*key, F.array("n").alias("path"), parsed.alias("nodes")).filter(F.size("nodes") == 1).select(
+            *key, "path", F.get("nodes", F.lit(0)).alias("node"))
+
+    blocks = cut_lineage(pages.filter(F.contains(html, F.lit("ld+json"))).select(
+        *key, F.posexplode(jsonld_blocks(F.col(html))).alias("n", "text")))
+    # Only such texts hold more than one object that counts; the last test is for names in escapes.
+    text = F.col("text")
+    holding = F.startswith(text, F.lit("[")) | F.contains(text, F.lit("@graph")) | F.contains(text, F.lit("\\u"))
+    level, inside, found = nodes(blocks), nodes(blocks.filter(holding)), None
     while found is None or not level.isEmpty():
         node, path = F.col("node"), F.col("path")
         events = level.filter(_is_event(node)).select(*key, F.concat(path, F.array(F.lit(1))).alias("pos"), node.alias("ev"))
@@ -67,8 +72,8 @@ def jsonld_events(pages: DataFrame, key: list[str], html: str = "html") -> DataF
             F.transform(_list(node), lambda x, i: F.struct(F.concat(path, F.array(i)).alias("path"), x.alias("node"))),
             F.transform(F.try_variant_get(node, "$['@graph']", "array<variant>"), lambda x, i: F.struct(
                 F.concat(path, F.array(F.lit(0), i)).alias("path"), x.alias("node"))))
-        level = cut_lineage(level.select(*key, F.inline(inner)))
-    return found
+        level = inside = cut_lineage(inside.select(*key, F.inline(inner)))
+    return cut_lineage(found)  # one table: what reads it is planned once and not for each level
 
 
 def _fields(v: Column, *names: str) -> Column:
