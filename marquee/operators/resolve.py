@@ -108,7 +108,7 @@ def candidate_counts(listings: DataFrame) -> DataFrame:
     )
     near, far, span = SHORT_HOURS * HOUR, LONG_HOURS * HOUR, COUNT_DAYS * 24 * HOUR
     hour, bin = F.floor(F.col("at") / HOUR), F.floor(F.col("seed") / span)
-    histogram = cut_lineage(
+    histogram = (
         rows.groupBy("city", "at").agg(F.count("*").alias("n"), F.count_if("all_day").alias("d"))
         .withColumn("scope", F.explode(F.array("city", F.lit("*"))))
         .groupBy("scope", "at").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).withColumn("hour", hour))
@@ -360,15 +360,13 @@ def _place_pairs(places: DataFrame) -> DataFrame:
     Places carry a prefix of one character that tells venues from addresses. Each
     is looked up by its rarest n-gram (three characters, or all of a shorter one).
     """
-    found = None
-    for n in (3, 2, 1):
-        size = F.length("place") - 1
-        inner = places.filter(size == n) if n < 3 else places.filter(size >= n)
-        pairs = contained_pairs(
-            inner.select("block", F.substring("place", 1, 1).alias("side"), F.expr("substring(place, 2)").alias("text")),
-            places.select("block", F.substring("place", 1, 1).alias("side"), F.expr("substring(place, 2)").alias("text")),
-            ["block", "side"], "text", n)
-        found = pairs if found is None else found.unionByName(pairs)
+    text = places.select("block", F.substring("place", 1, 1).alias("side"), F.expr("substring(place, 2)").alias("text"))
+    size = F.length("text")
+    found = contained_pairs(text.filter(size >= 3), text, ["block", "side"], "text", 3)
+    short = text.filter(size < 3)
+    if not short.isEmpty():
+        for n in (2, 1):
+            found = found.unionByName(contained_pairs(short.filter(size == n), text, ["block", "side"], "text", n))
     inside = found.filter("inner_text <> outer_text").select(
         "block", F.concat("side", "inner_text").alias("place1"), F.concat("side", "outer_text").alias("place2"))
     return inside.unionByName(inside.select("block", F.col("place2").alias("place1"), F.col("place1").alias("place2")))
@@ -388,19 +386,23 @@ def _categories_limit(v1: Column, k1: Column, v2: Column, k2: Column) -> Column:
     return limit
 
 
-def _met(pairs: DataFrame, points: DataFrame, places: DataFrame | None, keys: list[str], reach: int) -> DataFrame:
-    """Points of both titles of each pair, in bins at most ``reach`` apart and at equal or nested places."""
-    one = points.select(*[F.col(c).alias(f"{c}1") for c in points.columns])
-    two = points.select(*[F.col(c).alias(f"{c}2") for c in points.columns])
-    left = pairs.join(one.withColumnsRenamed({"block1": "block", "title_key1": "t1", "visitor1": "v1", "long_bin1": "b1"}), ["block", "t1", "v1", "b1"])
+def _met(pairs: DataFrame, first: DataFrame, second: DataFrame, places: DataFrame | None, reach: int) -> DataFrame:
+    """Points of both titles of each pair, in bins at most ``reach`` apart and, given ``places``, at equal or nested places."""
+    names = {"block": "block", "title_key": "t", "visitor": "v", "long_bin": "b"}
+
+    def side(points: DataFrame, n: str) -> DataFrame:
+        return points.select(*[F.col(c).alias(c if c == "block" else f"{names.get(c, c)}{n}") for c in points.columns])
+
+    left = pairs.join(side(first, "1"), ["block", "t1", "v1", "b1"])
     left = left.withColumn("bin2", F.explode(F.array(*[F.col("bin1") + d for d in range(-reach, reach + 1)])))
+    keys = ["block", "t2", "v2", "b2", "bin2"]
     if places is not None:
-        nested = left.join(places, ["block", "place1"])
-        left = left.withColumn("place2", F.col("place1")).unionByName(nested)
-    right = two.withColumnsRenamed({"block2": "block", "title_key2": "t2", "visitor2": "v2", "long_bin2": "b2"})
-    met = left.join(right, ["block", "t2", "v2", "b2", "bin2", *[f"{k}2" for k in keys]])
+        left = left.withColumn("place2", F.col("place1")).unionByName(left.join(places, ["block", "place1"]))
+        keys.append("place2")
+    met = left.join(side(second, "2"), keys)
+    # All moments of one bin lie before all of another.
     nearest = F.greatest(F.col("low2") - F.col("high1"), F.col("low1") - F.col("high2"))
-    return met.withColumn("gap", F.when(F.col("bin1") == F.col("bin2"), 0).otherwise(nearest) / 3.6e9)
+    return met.withColumn("gap", F.when(F.col("bin1") == F.col("bin2"), 0).otherwise(nearest) / HOUR)
 
 
 def similar_edges(keyed: DataFrame, cells: DataFrame) -> DataFrame:
@@ -408,45 +410,53 @@ def similar_edges(keyed: DataFrame, cells: DataFrame) -> DataFrame:
 
     All rows of a cell are one group, so one link for two cells is enough. Each
     band of the rule (a similarity, hours apart, with or without a common place)
-    folds the rows to the first and last moment of every bin as wide as its hours
-    (long rows: of every cell and day range). Two bins hold a pair within those
-    hours exactly if they are the same, or if the last moment of one and the
-    first of the next are. So the rows of a title count no more than its bins and
-    places, whatever their number, and links grow with the rows, not with pairs.
+    folds the rows to the first and last moment of every bin of some hours (long
+    rows: of every cell and day range). Two bins hold a pair within given hours
+    exactly if they are the same and no wider, or if the last moment of one and
+    the first of the other are. So the rows of a title count no more than its
+    bins and places, whatever their number, and links grow with the rows, not
+    with pairs.
     """
     pairs = cut_lineage(similar_titles(keyed).withColumn(
         "score", title_similarity(F.col("t1"), F.col("t2"), match_tokens(F.col("t1")), match_tokens(F.col("t2")))))
     titles = pairs.select(F.explode(F.array("t1", "t2")).alias("title_key")).distinct()
-    at = F.unix_micros("start_at")
     rows = _blocks(
         keyed.join(titles, "title_key", "left_semi").join(cells.select(*CELL, "node"), CELL)
         .withColumn("long_bin", F.floor(F.col("slot") / BIN_SLOTS)))
     rows = cut_lineage(rows.select(
-        "title_key", "block", "visitor", "long_bin", "kind", "slot", "day_low", "day_high", "node", at.alias("at"), "venue_key", "address_key"))
+        "title_key", "block", "visitor", "long_bin", "kind", "slot", "day_low", "day_high", "node",
+        F.unix_micros("start_at").alias("at"), "venue_key", "address_key"))
     names = F.filter(F.array(F.concat(F.lit("v"), "venue_key"), F.concat(F.lit("a"), "address_key")), lambda x: F.length(x) > 1)
     placed = rows.withColumn("place", F.explode(names))
     places = cut_lineage(_place_pairs(placed.select("block", "place").distinct()))
-    spot = ["title_key", "block", "visitor", "long_bin", "node"]
-    moments = (F.min("at").alias("low"), F.max("at").alias("high"))
-    found = []
-    for score, hours, by_place in ((0.88, 6, False), (0.75, 3, True), (0.67, 2, True)):
-        some = (placed if by_place else rows).filter("kind = 'short'").withColumn("bin", F.floor(F.col("at") / (hours * 3_600_000_000)))
-        keys = ["place"] if by_place else []
-        points = some.groupBy(*spot, "bin", *keys).agg(*moments)
-        met = _met(pairs.filter(F.col("score") >= score), points, places if by_place else None, keys, 1)
-        found.append(met.filter(F.col("gap") <= hours).select("node1", "node2"))
-    for score, by_place in ((0.82, False), (0.67, True)):
+    turned = pairs.unionByName(pairs.select("block", "score", *[F.col(f"{c}{m}").alias(f"{c}{n}") for n, m in ((1, 2), (2, 1)) for c in "tvb"]))
+
+    def points(some: DataFrame, *keys: str) -> DataFrame:
+        return some.groupBy("title_key", "block", "visitor", "long_bin", "node", "bin", *keys).agg(
+            F.min("at").alias("low"), F.max("at").alias("high"))
+
+    def timed(by_place: bool, hours: int, reach: int) -> DataFrame:
+        some = (placed if by_place else rows).filter("kind = 'short'").withColumn("bin", F.floor(F.col("at") / (hours * HOUR)))
+        folded = points(some, *(["place"] if by_place else []))
+        return _met(pairs, folded, folded, places if by_place else None, reach)
+
+    def by_day(by_place: bool) -> DataFrame:
         some = (placed if by_place else rows).withColumn("bin", F.col("slot"))
-        keys = ["place"] if by_place else []
-        points = some.groupBy(*spot, "bin", "kind", "day_low", "day_high", *keys).agg(*moments)
-        met = _met(pairs.filter(F.col("score") >= score), points, places if by_place else None, keys, BIN_SLOTS)
+        folded = points(some, "kind", "day_low", "day_high", *(["place"] if by_place else []))
+        # The first row is a long one; pairs are taken both ways.
+        met = _met(turned, folded.filter("kind <> 'short'"), folded, places if by_place else None, BIN_SLOTS)
         days_meet = F.greatest("day_low1", "day_low2") <= F.least("day_high1", "day_high2")
-        some_long = (F.col("kind1") != "short") | (F.col("kind2") != "short")
         limit = _categories_limit(F.col("v1"), F.col("kind1"), F.col("v2"), F.col("kind2"))
-        found.append(met.filter(some_long & days_meet & (F.col("gap") <= limit)).select("node1", "node2"))
-    links = found[0]
+        return met.filter(days_meet & (F.col("gap") <= limit))
+
+    score, gap = F.col("score"), F.col("gap")
+    found = [
+        timed(False, 6, 1).filter((score >= 0.88) & (gap <= 6)),
+        timed(True, 1, 3).filter(((score >= 0.75) & (gap <= 3)) | ((score >= 0.67) & (gap <= 2))),
+        by_day(False).filter(score >= 0.82), by_day(True).filter(score >= 0.67)]
+    links = found[0].select("node1", "node2")
     for more in found[1:]:
-        links = links.unionByName(more)
+        links = links.unionByName(more.select("node1", "node2"))
     return links.filter("node1 <> node2").select(
         F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
