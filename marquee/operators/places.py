@@ -78,7 +78,8 @@ def _nearest_nested(names: DataFrame, registry: DataFrame) -> DataFrame:
     One side's names are a dictionary that is probed with the other side's
     substrings of the lengths present in it, both ways. Hits are folded to the
     best one of each name as they are found: no list of pairs is built, so a
-    short name that lies in all others costs a row for each of them.
+    short name that lies in all others costs a row for each of them. Both sides
+    grow with their tables and are merged, never broadcast.
     """
 
     def lengths(df: DataFrame) -> list[int]:
@@ -88,9 +89,9 @@ def _nearest_nested(names: DataFrame, registry: DataFrame) -> DataFrame:
     rank = F.struct(apart.alias("apart"), "map_id")
     inside = _substrings(registry, lengths(names)).select(
         "city", F.col("part").alias("name_key"), F.col("name_key").alias("reg_key"), "map_id").join(
-        names, ["city", "name_key"], "left_semi")
+        names.hint("merge"), ["city", "name_key"], "left_semi")
     around = _substrings(names, lengths(registry)).select("city", "name_key", F.col("part").alias("reg_key")).join(
-        registry.withColumnRenamed("name_key", "reg_key"), ["city", "reg_key"])
+        registry.withColumnRenamed("name_key", "reg_key").hint("merge"), ["city", "reg_key"])
     both = [hits.groupBy("city", "name_key").agg(F.min(rank).alias("best")) for hits in (inside, around)]
     return both[0].unionByName(both[1]).groupBy("city", "name_key").agg(F.min("best")["map_id"].alias("map_id"))
 
@@ -107,17 +108,18 @@ def verify(places: DataFrame, registry: DataFrame) -> DataFrame:
     reg = registry.withColumn("name_key", name_key(F.col("name"))).filter("name_key <> ''")
     fields = ["map_id", "lat", "lng", "street", "locality", "region", "postcode", "phone", "website"]
     entry = F.struct("map_id", *[F.col(f) for f in fields[1:]])
+    # Well compressed names look small to the planner and are not so on the driver: all joins are merges.
     one = reg.groupBy("city", "name_key").agg(F.min_by(entry, "map_id").alias("entry"))
     keyed = places.withColumn("name_key", name_key(F.col("name")))
     names = keyed.select("city", "name_key").distinct()
 
     long_names = names.filter(F.length("name_key") >= MIN_NAME)
     long_reg = one.select("city", "name_key", F.col("entry.map_id").alias("map_id")).filter(F.length("name_key") >= MIN_NAME)
-    left = long_names.join(long_reg, ["city", "name_key"], "left_anti")
+    left = long_names.join(long_reg.hint("merge"), ["city", "name_key"], "left_anti")
     best = _nearest_nested(left, long_reg)
-    near = best.join(one.select("city", F.col("entry").alias("near"), F.col("entry.map_id").alias("map_id")), ["city", "map_id"]).select(
-        "city", "name_key", "near")
-    joined = keyed.join(one, ["city", "name_key"], "left").join(near, ["city", "name_key"], "left")
+    entries = one.select("city", F.col("entry").alias("near"), F.col("entry.map_id").alias("map_id"))
+    near = best.join(entries.hint("merge"), ["city", "map_id"]).select("city", "name_key", "near")
+    joined = keyed.join(one.hint("merge"), ["city", "name_key"], "left").join(near.hint("merge"), ["city", "name_key"], "left")
     hit = F.coalesce("entry", "near")
     address = F.when(hit.isNotNull(), nonempty(join_parts(
         [F.coalesce(hit[f], F.lit("")) for f in ("street", "locality", "region", "postcode")])))
