@@ -14,3 +14,9 @@ def test_registry_names_are_not_broadcast(spark):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_tasks_grow_with_the_rows(spark, tmp_path):
+    spark.range(1_000_000).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert Tables(spark, str(tmp_path)).spread("orders").rdd.getNumPartitions() == 20
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
