@@ -1,8 +1,11 @@
 """Steps that held at the size of the test tables and not at sixty times it."""
 
-from marquee.operators import places as P
+from pyspark.sql import functions as F
+
+from marquee.operators import places as P, resolve as R
 from marquee.plans.place_queries import registry
 from marquee.plans.views import Tables
+from marquee.sources.reduce import reduce_page
 
 T = "/root/testdata/sf0.001"
 
@@ -20,3 +23,22 @@ def test_tasks_grow_with_the_rows(spark, tmp_path):
     spark.range(1_000_000).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     assert Tables(spark, str(tmp_path)).spread("orders").rdd.getNumPartitions() == 20
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+
+
+def test_similar_titles_are_judged_once(spark):
+    """Two similar titles on 400 days in two cities: one pair, and the days are linked."""
+    rows = spark.range(1600).select(
+        "id", F.when(F.col("id") % 2 == 0, "river jazz fest").otherwise("the river jazz fest show").alias("title"),
+        F.when(F.col("id") % 4 < 2, "tampa").otherwise("brandon").alias("city"),
+        (F.lit("2026-01-01 10:00:00").cast("timestamp") + F.make_dt_interval(days=F.floor(F.col("id") / 4).cast("int"))).alias("start_at"),
+        F.lit(None).cast("timestamp").alias("end_at"), F.lit(False).alias("all_day"),
+        F.lit("Hall").alias("venue_name"), F.lit(None).cast("string").alias("address"))
+    keyed = R.keyed_rows(rows)
+    found = R.similar_titles(keyed)
+    assert isinstance(found, tuple) and found[1].count() == 1 and found[0].count() == 2
+    assert R.similar_edges(keyed, R.title_cells(keyed)).count() == 800
+    assert R.similar_pairs(keyed).count() == 800
+
+
+def test_blanks_of_reduced_text():
+    assert reduce_page("<p>a   b\t\tc \u00a0\u00a0 d\n\n\n\n\ne f </p>") == "Text:\na b c d\n\ne f"
