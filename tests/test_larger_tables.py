@@ -25,6 +25,18 @@ def test_tasks_grow_with_the_rows(spark, tmp_path):
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
 
 
+def test_shuffles_grow_with_the_rows(spark, tmp_path):
+    """A sort for a group has a share of the rows, whatever their number."""
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.range(1_000_000).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    try:
+        rows = Tables(spark, str(tmp_path)).spread("orders").groupBy("id").agg(F.max("id"))
+        assert "hashpartitioning(id" in (plan := rows._jdf.queryExecution().executedPlan().toString())
+        assert int(plan.split("hashpartitioning(id")[1].split(",")[1].split(")")[0]) == 20
+    finally:
+        spark.conf.unset(key)
+
+
 def test_similar_titles_are_judged_once(spark):
     """Two similar titles on 400 days in two cities: one pair, and the days are linked."""
     rows = spark.range(1600).select(
