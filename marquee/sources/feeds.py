@@ -109,12 +109,13 @@ def _element(item: Column, name: str) -> Column:
 
 def rss_items(feeds: DataFrame, key: list[str], text: str = "text", origin: str = "https://cityofsafetyharbor.com") -> DataFrame:
     """Feed items with an ``EID`` in their link, first per id."""
-    items = feeds.select(*key, F.posexplode(
-        F.regexp_extract_all(F.col(text), F.lit(r"(?is)<item\b[^>]*>(.*?)</item\s*>"), 1)).alias("pos", "item"))
-    rows = items.select(
-        *key, "pos", F.regexp_extract(strip(_element(F.col("item"), "link")), r"(?i)[?&]EID=(\d+)", 1).alias("eid"),
-        clean_inline(_element(F.col("item"), "title")).alias("title"),
-        html_to_text(_element(F.col("item"), "description")).alias("hint")).filter("eid <> ''")
+    items = F.regexp_extract_all(F.col(text), F.lit(r"(?is)<item\b[^>]*>(.*?)</item\s*>"), 1)
+    numbered = F.transform(items, lambda item, pos: F.struct(
+        pos.alias("pos"), item.alias("item"),
+        F.regexp_extract(strip(_element(item, "link")), r"(?i)[?&]EID=(\d+)", 1).alias("eid")))
+    rows = feeds.select(*key, F.inline(F.filter(numbered, lambda i: i["eid"] != ""))).select(
+        *key, "pos", "eid", clean_inline(_element(F.col("item"), "title")).alias("title"),
+        html_to_text(_element(F.col("item"), "description")).alias("hint"))
     first = F.min_by(F.struct("title", "hint"), "pos")
     url = F.concat(F.lit(f"{origin}/Calendar.aspx?EID="), "eid")
     return rows.groupBy(*key, "eid").agg(first.alias("f")).select(*key, "eid", "f.title", url.alias("url"), "f.hint")
