@@ -14,10 +14,10 @@ from marquee.functions.clock import iso_to_local
 from marquee.functions.prices import currency, parse_price
 from marquee.functions.tags import plain_tags
 from marquee.functions.text import (
-    clean_inline, detect_city, html_to_text, join_parts, nonempty, strip,
+    clean_inline, detect_city, html_to_text, join_parts, let, nonempty, strip,
 )
 from marquee.functions.urls import http_url
-from marquee.session import cut_lineage
+from marquee.session import write_table
 
 _BLOCK = r"""(?is)<script\b[^>]*?\stype\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script\s*>"""
 _EVENT_KINDS = ["Event", "Festival", "Hackathon"]
@@ -54,26 +54,25 @@ def jsonld_events(pages: DataFrame, key: list[str], html: str = "html") -> DataF
     # The brackets make text behind a value an error, as it is to a JSON parser that reads to the end.
     parsed = _list(F.try_parse_json(F.concat(F.lit("["), F.col("text"), F.lit("]"))))
 
-    def nodes(some: DataFrame) -> DataFrame:
-        return some.select(*key, F.array("n").alias("path"), parsed.alias("nodes")).filter(F.size("nodes") == 1).select(
-            *key, "path", F.get("nodes", F.lit(0)).alias("node"))
-
-    blocks = cut_lineage(pages.filter(F.contains(html, F.lit("ld+json"))).select(
-        *key, F.posexplode(jsonld_blocks(F.col(html))).alias("n", "text")))
-    # Only such texts hold more than one object that counts; the last test is for names in escapes.
+    # What is exploded is computed once; a filter on a computed column would compute it again for each use.
+    whole = let(parsed, lambda items: F.when(F.size(items) == 1, items))
     text = F.col("text")
+    # Only such texts hold more than one object that counts; the last test is for names in escapes.
     holding = F.startswith(text, F.lit("[")) | F.contains(text, F.lit("@graph")) | F.contains(text, F.lit("\\u"))
-    level, inside, found = nodes(blocks), nodes(blocks.filter(holding)), None
-    while found is None or not level.isEmpty():
-        node, path = F.col("node"), F.col("path")
-        events = level.filter(_is_event(node)).select(*key, F.concat(path, F.array(F.lit(1))).alias("pos"), node.alias("ev"))
-        found = events if found is None else found.unionByName(events)
-        inner = F.coalesce(
-            F.transform(_list(node), lambda x, i: F.struct(F.concat(path, F.array(i)).alias("path"), x.alias("node"))),
-            F.transform(F.try_variant_get(node, "$['@graph']", "array<variant>"), lambda x, i: F.struct(
-                F.concat(path, F.array(F.lit(0), i)).alias("path"), x.alias("node"))))
-        level = inside = cut_lineage(inside.select(*key, F.inline(inner)))
-    return cut_lineage(found)  # one table: what reads it is planned once and not for each level
+    holds = F.contains(html, F.lit("ld+json"))
+    blocks = pages.select(*key, F.posexplode(F.when(holds, jsonld_blocks(F.col(html)))).alias("n", "text"))
+    level = blocks.select(*key, F.array("n").alias("path"), holding.alias("holding"), F.explode(whole).alias("node"))
+    node, path = F.col("node"), F.col("path")
+    inner = F.coalesce(
+        F.transform(_list(node), lambda x, i: F.struct(F.concat(path, F.array(i)).alias("path"), x.alias("node"))),
+        F.transform(F.try_variant_get(node, "$['@graph']", "array<variant>"), lambda x, i: F.struct(
+            F.concat(path, F.array(F.lit(0), i)).alias("path"), x.alias("node"))))
+    read, levels = pages.sparkSession.read.schema(level.schema), []
+    while not levels or not read.parquet(levels[-1]).isEmpty():
+        levels.append(write_table(level))
+        level = read.parquet(levels[-1]).filter("holding").select(*key, "holding", F.inline(inner)).select(level.columns)
+    # One scan of all levels: each text is parsed once, and what reads the events is planned once.
+    return read.parquet(*levels).filter(_is_event(node)).select(*key, F.concat(path, F.array(F.lit(1))).alias("pos"), node.alias("ev"))
 
 
 def _fields(v: Column, *names: str) -> Column:
@@ -149,11 +148,14 @@ def extracted_events(events: DataFrame, key: list[str]) -> DataFrame:
     """JSON-LD Variants to extracted events; rows without name or start drop."""
     rows = events.select(*key, "pos", _fields(F.col("ev"), *_EVENT_FIELDS).alias("e"))
     v = F.col("e")
-    rows = rows.select(
-        *key, "pos", "e", _text(v["name"]).alias("name"), _text(v["startDate"]).alias("start"),
-        F.get(_items(v["location"]), F.lit(0)).alias("where"),
-        F.transform(_items(v["offers"]), lambda o: _fields(o, *_OFFER_FIELDS)).alias("offers"),
-    ).filter("name <> '' and start <> ''")
+    start = _text(v["startDate"])
+    named = F.array(F.struct(_text(v["name"]).alias("name"), start.alias("start"), iso_to_local(start).alias("start_local")))
+    # Filtered as an array: a filter of rows would be moved below and open every object again for each use.
+    rows = rows.select(*key, "pos", "e", F.inline(F.filter(
+        named, lambda n: (n["name"] != "") & (n["start"] != "") & n["start_local"].isNotNull())))
+    rows = rows.withColumns({
+        "where": F.get(_items(v["location"]), F.lit(0)),
+        "offers": F.transform(_items(v["offers"]), lambda o: _fields(o, *_OFFER_FIELDS))})
     rows = rows.withColumn("place", _fields(F.col("where"), "name", "address"))
     rows = rows.withColumn("parts", _fields(F.col("place.address"), *_ADDRESS_FIELDS))
     place, parts, offers = F.col("place"), F.col("parts"), F.col("offers")
@@ -162,7 +164,6 @@ def extracted_events(events: DataFrame, key: list[str]) -> DataFrame:
     first = F.get(offers, F.lit(0))
     free_flag = F.try_variant_get(v["isAccessibleForFree"], "$", "string")
     rows = rows.withColumns({
-        "start_local": iso_to_local(F.col("start")),
         "end_local": iso_to_local(_text(v["endDate"])),
         "venue": nonempty(clean_inline(F.coalesce(_text(F.col("where")), _text(place["name"])))),
         "addr": nonempty(clean_inline(address)),
@@ -170,7 +171,7 @@ def extracted_events(events: DataFrame, key: list[str]) -> DataFrame:
         "high": F.coalesce(_price(first["highPrice"]), _price(first["price"]), _low(first)),
         "money": currency(_text(first["priceCurrency"])),
         "flagged": F.coalesce(F.lower(free_flag) == "true", F.lit(False)),
-    }).filter("start_local is not null")
+    })
     rows = rows.withColumn("is_free", F.col("flagged") | F.coalesce(
         (F.col("price_min") == 0) & (F.col("high") == 0), F.lit(False)))
     status = F.when(F.col("is_free"), "free").when(
