@@ -51,10 +51,12 @@ def calendar_first(calendars: DataFrame, feed_keys: list[str]) -> Adapter:
     def run(pages: DataFrame, keys: list[str]) -> DataFrame:
         found = page_events(pages, keys)
         known = pages.select(*keys, path_id(F.col("url")).alias("_path")).join(last, "_path").select(*keys, "_feed")
-        listed = known.select(*[
-            c if c in keys else F.col(f"_feed.{c}").alias(c) if c in fields else F.lit(None).cast(found.schema[c].dataType).alias(c)
+        listed = F.col("_feed").isNotNull()
+        # One join: each calendar and each page is read once.
+        return found.join(known, keys, "full").select(*[
+            c if c in keys else F.when(listed, F.col(f"_feed.{c}")).otherwise(F.col(c)).alias(c) if c in fields
+            else F.when(~listed, F.col(c)).alias(c)
             for c in found.columns])
-        return found.join(known, keys, "left_anti").unionByName(listed)
 
     return run
 

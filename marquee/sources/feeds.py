@@ -41,31 +41,35 @@ def _properties(block: Column) -> Column:
     return F.filter(F.transform(lines, of_line), lambda p: p["name"].isin(_PROPERTIES))
 
 
-def _property(properties: Column, name: str) -> tuple[Column, Column]:
-    """(parameters, value) of the last line with this name; null when absent."""
+def _property(properties: Column, name: str) -> Column:
+    """Parameters (``head``) and ``value`` of the last line with this name; null when absent."""
     last = F.get(F.reverse(F.filter(properties, lambda p: p["name"] == name)), F.lit(0))
-    return last["head"], _unescape(last["value"])
+    return let(last, lambda p: F.struct(p["head"].alias("head"), _unescape(p["value"]).alias("value")))
 
 
 def ical_events(feeds: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """Calendar text to one row per event that has a uid and a start."""
     unfolded = F.regexp_replace(F.regexp_replace(F.col(text), "\r\n", "\n"), r"\n[ \t]", "")
     tidy = F.regexp_replace(unfolded, r"(?m)^[ \t\r]+|[ \t\r]+$", "")
-    begun = F.split(tidy, r"(?m)^BEGIN:VEVENT$")
-    ended = F.transform(F.slice(begun, F.lit(2), F.size(begun)), lambda b: F.split(b, r"(?m)^END:VEVENT$"))
+    begun = let(F.split(tidy, r"(?m)^BEGIN:VEVENT$"), lambda parts: F.slice(parts, F.lit(2), F.size(parts)))
+    ended = F.transform(begun, lambda b: F.split(b, r"(?m)^END:VEVENT$"))
     chunks = F.transform(F.filter(ended, lambda b: F.size(b) > 1), lambda b: b[0])
     rows = feeds.select(*key, F.posexplode(chunks).alias("pos", "block")).select(*key, "pos", _properties(F.col("block")).alias("block"))
+    # Filtered as an array: a filter of rows would be moved below and read every line again for each use.
+    events = F.array(F.struct(*[_property(F.col("block"), name).alias(f"_{name.lower()}") for name in _PROPERTIES]))
+    rows = rows.select(*key, "pos", F.inline(F.filter(
+        events, lambda e: (e["_uid"]["value"] != "") & e["_dtstart"]["value"].isNotNull())))
     out = {}
     for name in ("uid", "summary", "description", "location", "url", "categories"):
-        out[name] = _property(F.col("block"), name.upper())[1]
+        out[name] = F.col(f"_{name}.value")
     for name in ("dtstart", "dtend"):
-        head, value = _property(F.col("block"), name.upper())
+        head, value = F.col(f"_{name}.head"), F.col(f"_{name}.value")
         out[name] = value
         out[f"{name}_date"] = F.coalesce(F.rlike(head, F.lit(r";VALUE=DATE(;|$)")), F.lit(False)) | F.coalesce(
             F.rlike(value, F.lit(r"^\d{8}$")), F.lit(False))
         out[f"{name}_utc"] = F.coalesce(F.endswith(value, F.lit("Z")), F.lit(False))
         out[f"{name}_tzid"] = nonempty(F.regexp_extract(head, r";TZID=([^;]*)", 1))
-    return rows.withColumns(out).drop("block").filter("uid <> '' and dtstart is not null")
+    return rows.select(*key, "pos", *[c.alias(name) for name, c in out.items()])
 
 
 def ical_extracted(events: DataFrame, key: list[str]) -> DataFrame:
