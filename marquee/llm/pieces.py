@@ -30,8 +30,9 @@ from marquee.llm.words import BASE, INVERSE, mix, powers
 SPACE_MARK = 0x2581
 DROPOUT = 0.1
 SEED = 17
-BLOCK_CHARS = 1 << 18
+BLOCK_CHARS = 1 << 15  # what a block works on stays in a core's cache
 UNKNOWN = -1
+SLOT = (1 << 32) - 1  # the lower half of an agenda's entry
 
 
 class Model:
@@ -47,6 +48,7 @@ class Model:
         self.size = size
         self.score = np.array([sp.get_score(i) for i in range(size)])
         self.rank = np.argsort(np.argsort(-self.score, kind="stable"), kind="stable")  # 0 is merged first
+        self.turn = np.append(self.rank, size) << 32  # of UNKNOWN, the last one: never
         self.of_char = np.full(0x110000, UNKNOWN, dtype=np.int64)
         for p, i in plain.items():
             if len(p) == 1:
@@ -99,59 +101,65 @@ class Model:
 
 
 def agendas(model: Model, chars: np.ndarray, length: np.ndarray, key: np.ndarray, dropout: float):
-    """Pieces of many parts (``chars`` one after another): (symbols, count of each part); UNKNOWN stays for characters without a piece."""
+    """Pieces of many parts (``chars`` one after another): (symbols, count of each part); UNKNOWN stays for characters without a piece.
+
+    Symbols stay in the slot of their first character and know their neighbours'
+    slots, so a round moves nothing: it takes the least entry of every part, made
+    of the rank and the slot of the pair's left symbol, and weighs two pairs anew.
+    """
     limit = np.uint64(min(int(dropout * 2.0 ** 64), 2 ** 64 - 1))
-    none = np.int64(1) << 40
+    n = len(chars)
     part = np.repeat(np.arange(len(length)), length)
-    symbol = model.of_char[chars]
-    place = np.arange(len(chars)) - np.repeat(np.cumsum(length) - length, length)
-
-    def candidates(at: np.ndarray, symbol, place, part) -> tuple[np.ndarray, np.ndarray]:
-        """The piece and the rank of the pair that begins at each of ``at``."""
-        nxt = np.minimum(at + 1, len(symbol) - 1)
-        piece = model.merge(symbol[at], symbol[nxt])
-        piece[(nxt == at) | (part[at] != part[nxt])] = UNKNOWN
+    size = length[length > 0]
+    ends = np.cumsum(size)
+    first = ends - size
+    # The last slot stands for the missing neighbour at both ends of every part; it merges with nothing.
+    symbol = np.append(model.of_char[chars], UNKNOWN)
+    right, left = np.arange(1, n + 2), np.arange(-1, n)
+    right[ends - 1] = left[first] = right[n] = n
+    place = (np.arange(n) - np.repeat(first, size)).astype(np.uint64)
+    as_left = np.append(key[part] + place * np.uint64(BASE), np.uint64(0))
+    as_right = np.append(place * np.uint64(BASE >> 7 | 1), np.uint64(0))
+    piece, entry = np.empty(n + 1, dtype=np.int64), np.empty(n + 1, dtype=np.int64)
+    none = np.int64(model.size) << 32
+
+    def weigh(i: np.ndarray, j: np.ndarray) -> None:
+        """The piece and the entry of the pairs in the slots ``i`` and ``j``."""
+        found = model.merge(symbol[i], symbol[j])
         if dropout > 0:
-            good = np.flatnonzero(piece >= 0)
-            i = at[good]
-            h = mix(key[part[i]] + place[i].astype(np.uint64) * np.uint64(BASE) + place[i + 1].astype(np.uint64) * np.uint64(BASE >> 7 | 1)
-                    + piece[good].astype(np.uint64) * np.uint64(INVERSE))
-            piece[good[h < limit]] = UNKNOWN
-        return piece, np.where(piece >= 0, model.rank[np.maximum(piece, 0)], none)
-
-    piece, rank = candidates(np.arange(len(symbol)), symbol, place, part)
-    done = []
-    while len(symbol):
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        best = np.minimum.reduceat(rank, first)
-        size = np.diff(np.append(first, len(part)))
+            good = np.flatnonzero(found >= 0)
+            of = found[good]
+            h = mix(as_left[i[good]] + as_right[j[good]] + of.astype(np.uint64) * np.uint64(INVERSE))
+            found[good[h < limit]] = UNKNOWN
+        piece[i] = found
+        entry[i] = model.turn[found] | i
+
+    weigh(np.arange(n), right[:n])
+    slot, out, kept = np.arange(n), symbol[:n].copy(), np.ones(n, dtype=bool)
+    while len(first):
+        best = np.minimum.reduceat(entry[:-1], first)
         live = best < none
-        if not live.all():
-            over = np.repeat(~live, size)
-            done.append((part[over], symbol[over]))
-            keep = ~over
-            symbol, place, part, piece, rank = (x[keep] for x in (symbol, place, part, piece, rank))
-            if not len(symbol):
-                break
-            best, size = best[live], size[live]
+        if 2 * np.count_nonzero(live) <= len(live):  # parts that are done leave, half of them at a time
+            stay = np.repeat(live, size)
+            out[slot[~stay]] = symbol[:-1][~stay]
+            moved = np.append(np.cumsum(stay) - 1, np.count_nonzero(stay))
+            stay = np.append(stay, True)
+            left, right = moved[left[stay]], moved[right[stay]]
+            symbol, as_left, as_right, piece = symbol[stay], as_left[stay], as_right[stay], piece[stay]
+            slot, entry = slot[stay[:-1]], entry[stay] & ~SLOT | np.arange(len(symbol))
+            size, best = size[live], best[live]
             first = np.cumsum(size) - size
-        # Of equal ranks in a part the leftmost.
-        hit = np.flatnonzero(rank == np.repeat(best, size))
-        hit = hit[np.concatenate(([True], part[hit][1:] != part[hit][:-1]))]
+            hit = moved[best & SLOT]
+        else:
+            hit = best[live] & SLOT
+        gone, before = right[hit], left[hit]
+        after = right[gone]
         symbol[hit] = piece[hit]
-        keep = np.ones(len(symbol), dtype=bool)
-        keep[hit + 1] = False
-        moved = np.cumsum(keep) - 1
-        symbol, place, part, piece, rank = (x[keep] for x in (symbol, place, part, piece, rank))
-        at = moved[hit]
-        before = at[(at > 0)] - 1
-        fresh = np.unique(np.concatenate((at, before)))
-        piece[fresh], rank[fresh] = candidates(fresh, symbol, place, part)
-    if not done:
-        return np.zeros(0, dtype=np.int64), np.zeros(len(length), dtype=np.int64)
-    part, symbol = (np.concatenate(x) for x in zip(*done))
-    order = np.argsort(part, kind="stable")
-    return symbol[order], np.bincount(part, minlength=len(length))
+        kept[slot[gone]] = False
+        entry[gone] = none
+        right[hit], left[after] = after, hit
+        weigh(np.concatenate((hit, before)), np.concatenate((after, hit)))
+    return out[kept], np.bincount(part[kept], minlength=len(length))
 
 
 def _within(sizes: np.ndarray) -> np.ndarray:

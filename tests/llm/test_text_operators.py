@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -243,6 +244,20 @@ def test_merges_follow_the_agenda():
         at += c
 
 
+def test_a_round_moves_no_symbols():
+    """A merge in a long part costs about the same as one in a short part."""
+    model = pieces.Model(open(MODEL, "rb").read())
+
+    def seconds(n):
+        word = "".join(np.random.default_rng(1).choice(list("etaoinshrdlu"), n))
+        start = time.process_time()
+        pieces.encode_block(model, [word])
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(40_000) < 18 * min(seconds(5_000) for _ in range(3))
+
+
 def test_dropout_is_drawn_for_each_occurrence():
     model = pieces.Model(open(MODEL, "rb").read())
     texts = [f"t{k}" + " internationalization the" * 40 for k in range(100)]
