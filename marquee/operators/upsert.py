@@ -54,6 +54,7 @@ def plan_upsert(
     identity: tuple[str, ...] = ("id",),
     reject: str | None = None,
     arrival: str | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """Stored and new rows with ``outcome`` and ``reason``.
 
@@ -63,52 +64,69 @@ def plan_upsert(
     ``identity`` columns of a stored row never change. Rows the batch does not
     name have a null outcome. Of several batch rows with one key the last by
     ``arrival`` counts. A new row without an ``id`` gets one derived from its key.
+
+    ``whole`` says that about as many rows are stored as come: both sides are
+    shuffled once, for one full join, and the batch is not written.
     """
     batch = last_per_key(batch, keys, arrival)
     payload = [c for c in stored.columns if c not in keys]
     fresh = [c for c in payload if c in batch.columns and c not in identity and c != "last_seen_at"]
     failed = F.col(reject).isNotNull() if reject else F.lit(False)
     inside = F.lit(True) if gate is None else F.coalesce(gate, F.lit(False))
-    checked = cut_lineage(batch.withColumn("_failed", failed).withColumn("_inside", inside))
-    hot = checked.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in fresh], "_failed", "_inside", F.lit(True).alias("_hit"))
-    joined = stored.join(hot, keys, "left")
-    same = F.col("content_hash") == F.col("_n_content_hash")
-    reason = (
-        F.when(F.col("_hit").isNull(), None).when(same, "hash_match")
-        .when(F.col("_failed"), "normalize_failed").when(~F.col("_inside"), "out_of_window"))
-    joined = joined.withColumn("reason", reason).withColumn(
-        "outcome", F.when(F.col("_hit").isNull(), None).when(F.col("reason").isNotNull(), "skipped").otherwise("updated"))
+    checked = batch.withColumn("_failed", failed).withColumn("_inside", inside)
+    stored_row = F.lit(True) if not whole else F.coalesce("_old", F.lit(False))
+    if whole:
+        names = {c: f"_n_{c}" for c in batch.columns if c not in keys}
+        joined = stored.withColumn("_old", F.lit(True)).join(
+            checked.withColumnsRenamed(names).withColumn("_hit", F.lit(True)), keys, "full_outer")
+    else:
+        checked = cut_lineage(checked)
+        hot = checked.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in fresh], "_failed", "_inside", F.lit(True).alias("_hit"))
+        joined = stored.join(hot, keys, "left")
+    same = stored_row & (F.col("content_hash") == F.col("_n_content_hash"))
+    refused = F.when(F.col("_failed"), "normalize_failed").when(~F.col("_inside"), "out_of_window")
+    joined = joined.withColumn("reason", F.when(F.col("_hit").isNull(), None).when(same, "hash_match").otherwise(refused))
+    joined = joined.withColumn(
+        "outcome", F.when(F.col("_hit").isNull(), None).when(F.col("reason").isNotNull(), "skipped")
+        .when(stored_row, "updated").otherwise("inserted"))
     updated = F.coalesce(F.col("outcome") == "updated", F.lit(False))
     seen = updated | F.coalesce(F.col("reason") == "hash_match", F.lit(False))
-    kept = joined.select(
-        *keys,
-        *[
-            F.when(seen, F.lit(now)).otherwise(F.col(c)).alias(c) if c == "last_seen_at"
-            else F.when(updated, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in fresh
-            else F.col(c)
-            for c in payload
-        ],
-        "outcome", "reason", F.lit(False).alias("is_new"))
+    kept = {
+        c: F.when(seen, F.lit(now)).otherwise(F.col(c)) if c == "last_seen_at"
+        else F.when(updated, F.col(f"_n_{c}")).otherwise(F.col(c)) if c in fresh
+        else F.col(c)
+        for c in payload}
+
+    def new(c: str, of: str) -> Column:
+        """A column of a new row; those of the batch begin with ``of``."""
+        if c == "last_seen_at":
+            return F.lit(now)
+        if c == "id":
+            return _new_id(batch, stored, keys, of)
+        return F.col(of + c) if c in batch.columns else F.lit(None).cast(stored.schema[c].dataType)
+
+    if whole:
+        return joined.select(
+            *keys, *[F.when(stored_row, kept[c]).otherwise(new(c, "_n_")).alias(c) for c in payload],
+            "outcome", "reason", (~stored_row).alias("is_new"))
+    known_rows = joined.select(*keys, *[kept[c].alias(c) for c in payload], "outcome", "reason", F.lit(False).alias("is_new"))
     # Stored keys are cut down to those of the batch first: an anti join could only broadcast the stored side.
     known = stored.select(*keys).join(checked.select(*keys), keys, "left_semi")
     unknown = checked.join(known, keys, "left_anti")
-    reason = F.when(F.col("_failed"), "normalize_failed").when(~F.col("_inside"), "out_of_window")
     added = unknown.select(
-        *keys,
-        *[F.lit(now).alias(c) if c == "last_seen_at" else _new_id(batch, stored, keys) if c == "id"
-          else F.col(c) if c in batch.columns else F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in payload],
-        F.when(reason.isNotNull(), "skipped").otherwise("inserted").alias("outcome"), reason.alias("reason"),
+        *keys, *[new(c, "").alias(c) for c in payload],
+        F.when(refused.isNotNull(), "skipped").otherwise("inserted").alias("outcome"), refused.alias("reason"),
         F.lit(True).alias("is_new"))
-    return kept.unionByName(added)
+    return known_rows.unionByName(added)
 
 
-def _new_id(batch: DataFrame, stored: DataFrame, keys: list[str]) -> Column:
+def _new_id(batch: DataFrame, stored: DataFrame, keys: list[str], of: str = "") -> Column:
     kind = stored.schema["id"].dataType
     if "id" not in batch.columns:
-        return derived_id(keys, kind).alias("id")
+        return derived_id(keys, kind)
     if isinstance(kind, (T.LongType, T.StringType)):
-        return F.coalesce(F.col("id").cast(kind), derived_id(keys, kind)).alias("id")
-    return F.col("id")
+        return F.coalesce(F.col(f"{of}id").cast(kind), derived_id(keys, kind))
+    return F.col(f"{of}id")
 
 
 def applied(plan: DataFrame) -> DataFrame:

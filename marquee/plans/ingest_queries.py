@@ -59,8 +59,9 @@ def stream_equals_batch(t):
     root = f"{shared_folder(t.spark)}/marquee-stream-{uuid.uuid4().hex}"
     stored, batch = t.listings(), t.incoming().withColumn("arrival", F.col("id"))
     ingest.start_table(stored, f"{root}/table", pattern="yyyy-MM")
-    batch.repartition(3, "id").write.parquet(f"{root}/in")
-    stream = ingest.file_stream(t.spark, f"{root}/in", batch.schema, files_per_trigger=1)
+    batch.withColumn("third", F.col("id") % 3).write.partitionBy("third").parquet(f"{root}/in")
+    files = len(t.spark.read.schema(batch.schema).parquet(f"{root}/in").inputFiles())
+    stream = ingest.file_stream(t.spark, f"{root}/in", batch.schema, files_per_trigger=-(-files // 3))
     ingest.start_upserts(
         stream, f"{root}/table", f"{root}/checkpoint", stored.schema, KEYS, "arrival", lambda: NOW, ("id", "canonical_id"),
         U.window_gate(*GATE), pattern="yyyy-MM").awaitTermination()

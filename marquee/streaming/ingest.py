@@ -10,12 +10,15 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, IntegerType, LongType, StringType, StructType, TimestampType
 
 from marquee.operators.logs import accepted_metrics
-from marquee.operators.upsert import applied, last_per_key, plan_upsert
+from marquee.operators.upsert import applied, plan_upsert
 from marquee.session import cut_lineage
 
+HASHED_ALIKE = (LongType(), IntegerType(), StringType(), DateType(), TimestampType())  # where equal keys have equal hashes
+MOST_BITS = 27
+
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
     """A stream of Parquet files as they arrive."""
@@ -41,16 +44,47 @@ def _write_manifest(spark: SparkSession, root: str, version: int, live: dict[str
     rows.coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/of={version}")
 
 
-def _write_rows(df: DataFrame, root: str, version: int, start: str, pattern: str) -> set[str]:
-    """Write the partitions of a version; a second attempt replaces them. Returns their periods."""
+def _write_rows(df: DataFrame, root: str, version: int, start: str, pattern: str, as_they_lie: DataFrame | None = None) -> set[str]:
+    """Write the partitions of a version; a second attempt replaces them. Returns their periods.
+
+    Rows of ``as_they_lie`` come from files of one period each and are not shuffled.
+    """
     seen = Observation()
-    rows = df.withColumns({"period": _period(start, pattern), "version": F.lit(version)}).observe(
-        seen, F.collect_set("period").alias("periods"))
-    (rows.hint("rebalance", "period").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"period": _period(start, pattern), "version": F.lit(version)})
+
+    rows = placed(df).hint("rebalance", "period")
+    if as_they_lie is not None:
+        rows = rows.unionByName(placed(as_they_lie))
+    (rows.observe(seen, F.collect_set("period").alias("periods"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("period", "version").parquet(f"{root}/rows"))
     return set(seen.get["periods"])
 
 
+def _may_meet(batch: DataFrame, keys: list[str], rows: int, schema: StructType) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``_met`` to stored rows: false where no key of ``batch`` can be theirs.
+
+    The batch's keys are marked by hash in a bitmap of eight to sixteen bits a
+    key, 16 MB at most, that every task gets. Some rows are met by chance; a
+    join decides them.
+    """
+    if any(schema[k].dataType not in HASHED_ALIKE or schema[k].dataType != batch.schema[k].dataType for k in keys):
+        return lambda stored: stored.withColumn("_met", F.lit(True))
+    bits = 1 << min(max((8 * rows - 1).bit_length(), 15), MOST_BITS)
+    place = F.xxhash64(*keys).bitwiseAND(F.lit(bits - 1))
+    bucket, at = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    marks = cut_lineage(batch.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(at).alias("_marks")))
+
+    def met(stored: DataFrame) -> DataFrame:
+        byte = F.conv(F.hex(F.substr(F.col("_marks"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        joined = stored.withColumn("_bucket", bucket).join(F.broadcast(marks), "_bucket", "left")
+        return joined.withColumn("_met", F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).drop("_bucket", "_marks")
+
+    return met
+
+
 def _rows(spark: SparkSession, root: str, schema: StructType, live: list) -> DataFrame:
     """The rows of these partitions; files of others are not even listed."""
     if not live:
@@ -88,18 +122,21 @@ def upsert_batch(
 
     Only the periods that the batch touches are read whole and written: those of
     its rows, and those where its keys are stored now (found by the key columns
-    alone). The manifest of the version names the partition that is live for each
+    alone). Stored rows that the batch cannot name are copied without a shuffle.
+    The batch is written once and read from there. The manifest of the version names the partition that is live for each
     period. Nothing that an earlier version names is changed, so a batch that is
     run again reads the same input and replaces its own output.
     """
     live = {r["period"]: r["version"] for r in _manifest(spark, root, version - 1)}
-    batch = cut_lineage(last_per_key(batch, keys, arrival))
-    stored = _rows(spark, root, schema, list(live.items()))
-    at = [r[0] for r in stored.join(batch.select(*keys), keys, "left_semi").select(_period(start, pattern)).distinct().collect()]
-    to = [r[0] for r in batch.select(_period(start, pattern)).distinct().collect()]
+    batch = cut_lineage(batch)
+    to = {r[0]: r[1] for r in batch.groupBy(_period(start, pattern)).count().collect()}
+    met = _may_meet(batch, keys, sum(to.values()), schema)
+    named = met(_rows(spark, root, schema, list(live.items())).select(*dict.fromkeys([*keys, start]))).filter("_met")
+    at = [r[0] for r in named.join(batch.select(*keys), keys, "left_semi").select(_period(start, pattern)).distinct().collect()]
     touched = [(p, live[p]) for p in {*at, *to} if p in live]
-    plan = plan_upsert(_rows(spark, root, schema, touched), batch, keys, now, gate, identity, arrival=arrival)
-    written = _write_rows(applied(plan), root, version, start, pattern)
+    stored = met(_rows(spark, root, schema, touched))
+    plan = plan_upsert(stored.filter("_met").drop("_met"), batch, keys, now, gate, identity, arrival=arrival, whole=True)
+    written = _write_rows(applied(plan), root, version, start, pattern, stored.filter("NOT _met").drop("_met"))
     kept = {p: v for p, v in live.items() if p not in dict(touched)}
     _write_manifest(spark, root, version, {**kept, **{p: version for p in written}})
 

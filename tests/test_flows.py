@@ -184,6 +184,36 @@ def test_a_batch_writes_the_days_it_touches(spark, tmp_path):
     assert take(3, (2, "k2", "t2", day(3), "h2", NOW)) == second
 
 
+def test_a_batch_shuffles_the_rows_it_may_name_only(spark, tmp_path, monkeypatch):
+    schema = "id long, k string, title string, start_at timestamp, content_hash string, last_seen_at timestamp"
+    day = datetime(2026, 5, 1, tzinfo=timezone.utc)
+    stored = spark.createDataFrame([(i, f"k{i}", f"t{i}", day, f"h{i}", NOW) for i in range(2000)], schema)
+    batch = spark.createDataFrame([(i, f"k{i}", "new", day, "x", NOW, 1) for i in (3, 4, 5000)], schema + ", arrival long")
+    root, write, seen = str(tmp_path), ingest._write_rows, []
+    ingest.start_table(stored, root)
+    monkeypatch.setattr(ingest, "_write_rows", lambda *a: seen.append(a) or write(*a))
+    ingest.upsert_batch(spark, batch, root, 1, stored.schema, ["k"], "arrival", NOW)
+    joined, still = seen[0][0], seen[0][5]
+    assert 3 <= joined.count() < 50 and joined.count() + still.count() == 2001
+    plan = still._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    want = upsert.applied(upsert.plan_upsert(stored, batch, ["k"], NOW, arrival="arrival"))
+    assert rows(ingest.read_table(spark, root, stored.schema)) == rows(want)
+
+
+def test_one_full_join_plans_the_same(spark):
+    stored = spark.createDataFrame(
+        [(1, "a", "x", "h1", NOW), (2, "b", None, "h2", None), (3, None, "z", "h3", NOW), (4, "d", "u", None, NOW), (5, "a", "twice", "h5", NOW)],
+        "id long, k string, title string, content_hash string, last_seen_at timestamp")
+    batch = spark.createDataFrame(
+        [("a", "x2", "h1", None, 1, True), ("b", "y2", "n", None, 1, True), ("b", "y3", "n3", None, 2, None), (None, "w", "h3", None, 1, True),
+         ("e", "new", "h", None, 1, True), ("f", "bad", "h", "broken", 1, True), ("g", "late", "h", None, 1, False), ("d", "v", None, None, 1, True)],
+        "k string, title string, content_hash string, failed string, came int, inside boolean")
+    for some in (batch, batch.withColumn("id", F.lit(70).cast("int")), batch.limit(0)):
+        one, two = (upsert.plan_upsert(stored, some, ["k"], NOW, F.col("inside"), reject="failed", arrival="came", whole=w) for w in (False, True))
+        assert one.columns == two.columns and rows(one) == rows(two)
+
+
 def test_stream_counts_equal_batch(spark, tmp_path):
     metrics = Tables(spark, T).metrics()
     last = metrics.agg(F.max("created_at")).first()[0]
