@@ -32,15 +32,19 @@ def _hour_entry(entry: Column) -> Column:
     text = F.regexp_replace(text, "\\s*[-\u2013\u2014]\\s*", "-")
     # A colon between digits is part of a time; any other separates day and time.
     text = F.regexp_replace(text, r"\s*(?<!\d):\s*|\s*:(?!\d)\s*|\s+:\s*|\s*:\s+", " ")
-    text = strip(F.regexp_replace(text, r"\s{2,}", " "))
-    return F.when((text != "") & ~F.rlike(text, F.lit(r"(?i)^\s*closed\s*$")), text)
+    return strip(F.regexp_replace(text, r"\s{2,}", " "))
 
 
 def opening_hours(entries: Column) -> Column:
-    """Normalized entries; closed days dropped; null when nothing is left."""
-    clean = F.transform(entries, lambda e: F.when(strip(e) != "", _hour_entry(strip(e))))
-    kept = F.filter(clean, lambda e: e.isNotNull())
-    return F.when(F.size(kept) > 0, kept)
+    """Normalized entries; closed days dropped; null when nothing is left.
+
+    Each step is a pass over the list of the step before: inside a function of
+    elements Spark computes an expression again for each of its uses.
+    """
+    given = F.filter(F.transform(entries, strip), lambda e: e != "")
+    clean = F.transform(given, _hour_entry)
+    kept = F.filter(clean, lambda e: (e != "") & ~F.rlike(e, F.lit(r"(?i)^\s*closed\s*$")))
+    return F.get(F.filter(F.array(kept), lambda k: F.size(k) > 0), F.lit(0))
 
 
 def price_range(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from marquee.functions import text
+from marquee.functions.places import opening_hours
 from marquee.operators import listing as L, places as P, resolve as R
 from marquee.plans.place_queries import registry
 from marquee.plans.listing_queries import whole
@@ -22,6 +23,20 @@ def test_registry_names_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
 
 
+def test_places_spread_and_hours_are_worked_out_once(spark):
+    passed = P.normalization_pass(Tables(spark, T).places())
+    assert passed.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = passed.select("hours")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("11:00 AM") > 0 and plan.count("monday") == 1
+
+
+def test_odd_hours(spark):
+    given = [None, [], [None, " ", ""], ["closed", " CLOSED "], [None, "Monday 9am", "closed", "Tue: 10:00 p.m."], ["closed day"], [" - "]]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, hours array<string>").repartition(2)
+    got = rows.select("i", opening_hours(F.col("hours")).alias("h")).orderBy("i").collect()
+    assert [r["h"] for r in got] == [None, None, None, None, ["Mon 9:00am", "Tue 10:00pm"], ["closed day"], ["-"]]
+
+
 def test_tasks_grow_with_the_rows(spark, tmp_path):
     spark.range(1_000_000).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     assert Tables(spark, str(tmp_path)).spread("orders").rdd.getNumPartitions() == 20
