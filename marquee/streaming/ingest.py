@@ -17,7 +17,7 @@ from marquee.operators.upsert import applied, plan_upsert
 from marquee.session import cut_lineage
 
 HASHED_ALIKE = (LongType(), IntegerType(), StringType(), DateType(), TimestampType())  # where equal keys have equal hashes
-MOST_BITS = 27
+MAP_BITS, MOST_BITS = 1 << 15, 1 << 28  # of one bitmap (Spark's bitmaps have as many), of all
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -66,21 +66,27 @@ def _write_rows(df: DataFrame, root: str, version: int, start: str, pattern: str
 def _may_meet(batch: DataFrame, keys: list[str], rows: int, schema: StructType) -> Callable[[DataFrame], DataFrame]:
     """A function that adds ``_met`` to stored rows: false where no key of ``batch`` can be theirs.
 
-    The batch's keys are marked by hash in a bitmap of eight to sixteen bits a
-    key, 16 MB at most, that every task gets. Some rows are met by chance; a
-    join decides them.
+    The batch's keys are marked by hash, two bits each, in bitmaps of sixteen to
+    thirty-two bits a key, 32 MB at most, that every task gets. A few rows are
+    met by chance; a join decides them.
     """
     if any(schema[k].dataType not in HASHED_ALIKE or schema[k].dataType != batch.schema[k].dataType for k in keys):
         return lambda stored: stored.withColumn("_met", F.lit(True))
-    bits = 1 << min(max((8 * rows - 1).bit_length(), 15), MOST_BITS)
-    place = F.xxhash64(*keys).bitwiseAND(F.lit(bits - 1))
-    bucket, at = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
-    marks = cut_lineage(batch.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(at).alias("_marks")))
+    hashed = F.xxhash64(*keys)
+    maps = max(1, min(1 << (16 * rows - 1).bit_length(), MOST_BITS) // MAP_BITS)
+    bucket = hashed.bitwiseAND(F.lit(maps - 1))
+    places = [F.shiftrightunsigned(hashed, by).bitwiseAND(F.lit(MAP_BITS - 1)) for by in (30, 49)]
+    marks = cut_lineage(
+        batch.select(bucket.alias("_bucket"), F.explode(F.array(*places)).alias("_place"))
+        .groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_marks")))
 
     def met(stored: DataFrame) -> DataFrame:
-        byte = F.conv(F.hex(F.substr(F.col("_marks"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         joined = stored.withColumn("_bucket", bucket).join(F.broadcast(marks), "_bucket", "left")
-        return joined.withColumn("_met", F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).drop("_bucket", "_marks")
+        found = F.col("_marks").isNotNull()
+        for at in places:
+            byte = F.conv(F.hex(F.substr(F.col("_marks"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            found = found & (F.getbit(byte, at % 8) == 1)
+        return joined.withColumn("_met", found).drop("_bucket", "_marks")
 
     return met
 
