@@ -70,6 +70,17 @@ def test_groups_equal_brute_force(spark, seed, n):
     assert sticky == components([r[0] for r in rows], [(a, b) for a, b, _ in pairs] + held)
 
 
+def test_shuffle_files_go_with_a_table(spark):
+    from marquee.session import CLEAN_SHUFFLES, cut_lineage
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum(str(f).find("shuffle_") >= 0 for f in blocks.getAllFiles().mkString("\n").split("\n"))
+    before = files()
+    assert cut_lineage(rows).agg(F.sum("n")).first()[0] == 1000
+    after = files()
+    assert after - before <= 8 and spark.conf.get(CLEAN_SHUFFLES) == "false"
+
+
 def test_candidate_counts_equal_brute_force(spark):
     df = spark.createDataFrame(random_rows(7, 150), SCHEMA)
     rows = R.match_columns(df)
