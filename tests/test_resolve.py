@@ -70,6 +70,30 @@ def test_groups_equal_brute_force(spark, seed, n):
     assert sticky == components([r[0] for r in rows], [(a, b) for a, b, _ in pairs] + held)
 
 
+def test_cells_of_one_half_day_hide_no_link(spark):
+    """A short row and an all-day row 46 hours apart, each with one of the other kind in its own half day."""
+    t = lambda d, h: datetime(2026, 5, d, h, tzinfo=timezone.utc)
+    rows = [(i, "small plate", "brandon", s, None, day, "Hall", None, None) for i, (s, day) in enumerate([
+        (t(6, 2), True), (t(6, 10), False), (t(8, 8), True), (t(8, 11), False)])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    cells = R.title_cells(R.keyed_rows(df))
+    edges = [(r["a"], r["b"]) for r in R.equal_title_edges(cells).collect()]
+    assert components(range(4), edges) == {0: 0, 1: 0, 2: 0, 3: 0}
+    assert {r["id"]: r["group_id"] for r in R.duplicate_groups(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 0}
+
+
+def test_runs_of_a_title_are_one_node(spark):
+    """A daily title of two years is one node, and no links are left; a row without a city stays by itself."""
+    days = spark.range(730).select(
+        "id", F.lit("jazz").alias("title"), F.when(F.col("id") < 728, "tampa").alias("city"),
+        (F.lit(BASE) + F.make_dt_interval(days=F.floor(F.col("id") / 2).cast("int"), hours=(F.col("id") % 2 * 12).cast("int"))).alias("start_at"),
+        F.lit(None).cast("timestamp").alias("end_at"), F.lit(False).alias("all_day"), F.lit("Hall").alias("venue_name"),
+        F.lit(None).cast("string").alias("address"))
+    cells = R.merged_cells(R.title_cells(R.keyed_rows(days)))
+    assert sorted(r[0] for r in cells.select("node").distinct().collect()) == [0, 728, 729]
+    assert R.equal_title_edges(cells.filter("city is not null")).count() == 0
+
+
 def test_shuffle_files_go_with_a_table(spark):
     from marquee.session import CLEAN_SHUFFLES, cut_lineage
     rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
