@@ -94,6 +94,22 @@ def test_runs_of_a_title_are_one_node(spark):
     assert R.equal_title_edges(cells.filter("city is not null")).count() == 0
 
 
+def test_similar_pairs_are_met_once(spark):
+    """Pairs at a common venue and a common address, of a score that needs a place and of one that needs none: no list to make distinct."""
+    t = lambda h: datetime(2026, 5, 1, h, tzinfo=timezone.utc)
+    titles = ["one two three four five six", "one two three four five seven", "one two three four five", "one two three four five six nine"]
+    rows = [(4 * k + n, title, city, t(10 + n % 2), None, k % 3 == 2, "Hall", "1 Main St", None)
+            for k, city in enumerate(["tampa", "tampa", "tampa", "other"]) for n, title in enumerate(titles)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = R.similar_pairs(R.keyed_rows(df))
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r["a"], r["b"]) for r in found.collect()]
+    want = {(a, b) for a, b, equal in all_pairs(df) if not equal}
+    assert len(got) == len(set(got)) and set(got) == want
+    twice = R.similar_pairs(R.keyed_rows(df.unionByName(df)))
+    assert sorted((r["a"], r["b"]) for r in twice.collect()) == sorted(want)
+
+
 def test_shuffle_files_go_with_a_table(spark):
     from marquee.session import CLEAN_SHUFFLES, cut_lineage
     rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
